@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows a JVM-to-Python batch may hold; texts are long, so Spark's 10,000 would be tens of MB.
 ARROW_ROWS = 1000
+#: Folders of local sessions without a shared folder, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> None:
@@ -23,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        found = tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="docquarry-"))
     return found.rstrip("/")
 
 
