@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontam import op6_decontamination
+from .neardup import op9_near_dedup
 
 QUERIES = {
     "op6_decontamination": op6_decontamination,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 #: None of these can be checked on whole tables by SQL in reasonable time but those named here.
