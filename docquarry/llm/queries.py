@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .neardup import op9_near_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: None of these can be checked on whole tables by SQL in reasonable time but those named here.
