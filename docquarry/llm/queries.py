@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .neardup import op9_near_dedup
+from .pitmanyor import op5_lm_scoring
 from .secrets import op4_secret_scans
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op4_secret_scans": op4_secret_scans,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
