@@ -7,11 +7,13 @@ from .neardup import op9_near_dedup
 from .pitmanyor import op5_lm_scoring
 from .secrets import op4_secret_scans
 from .toxicity import op10_toxicity
+from .warc import op7_warc_bundles
 
 QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
+    "op7_warc_bundles": op7_warc_bundles,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
