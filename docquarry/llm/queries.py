@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
 from .decontam import op6_decontamination
 from .neardup import op9_near_dedup
 from .pitmanyor import op5_lm_scoring
@@ -10,6 +11,7 @@ from .toxicity import op10_toxicity
 from .warc import op7_warc_bundles
 
 QUERIES = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op4_secret_scans": op4_secret_scans,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
