@@ -7,11 +7,13 @@ from .decontam import op6_decontamination
 from .neardup import op9_near_dedup
 from .pitmanyor import op5_lm_scoring
 from .secrets import op4_secret_scans
+from .tokencount import op3_token_counts
 from .toxicity import op10_toxicity
 from .warc import op7_warc_bundles
 
 QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
