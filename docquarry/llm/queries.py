@@ -8,6 +8,7 @@ from .neardup import op9_near_dedup
 from .pitmanyor import op5_lm_scoring
 from .secrets import op4_secret_scans
 from .tokencount import op3_token_counts
+from .toolcalls import op8_tool_calls
 from .toxicity import op10_toxicity
 from .warc import op7_warc_bundles
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_tool_calls": op8_tool_calls,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
