@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op2_nearest_neighbours
 from .decontam import op6_decontamination
 from .neardup import op9_near_dedup
+from .pieces import op1_sentencepiece
 from .pitmanyor import op5_lm_scoring
 from .secrets import op4_secret_scans
 from .tokencount import op3_token_counts
@@ -13,6 +14,7 @@ from .toxicity import op10_toxicity
 from .warc import op7_warc_bundles
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
