@@ -40,6 +40,9 @@ THRESHOLD = 0.3
 #: Smoothing of counts, L2 penalty of weights, and steps of training.
 ALPHA, PENALTY, STEPS = 0.5, 1e-3, 400
 
+#: Bytes of text whose n-grams are hashed at once.
+STRETCH = 1 << 19
+
 _U = np.uint64
 
 
@@ -96,20 +99,21 @@ class Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    for rows, _, _ in chunks(batches, "text"):
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for rows, _, _ in chunks(batches, "text", STRETCH):
         doc, f = present([x or "" for x in column(rows, "text").to_pylist()])
         toxic = column(rows, "toxic").to_numpy()[doc] == 1
         for k in (0, 1):
-            counts[k] += np.bincount(f[toxic == k], minlength=1 << BITS)
+            some, n = np.unique(f[toxic == k], return_counts=True)
+            counts[k, some] += n.astype(np.int32)
     f = np.flatnonzero(counts.any(0))
     for at in range(0, len(f), 50_000):
         part = f[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], ["f", "q", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(counts[k, part].astype(np.int64)) for k in (0, 1))], ["f", "q", "p"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for rows, _, _ in chunks(batches, "text"):
+    for rows, _, _ in chunks(batches, "text", STRETCH):
         doc, f = present([x or "" for x in column(rows, "text").to_pylist()], codes)
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)), pa.array(f.astype(np.int32)))
         yield pa.RecordBatch.from_arrays([column(rows, "toxic").cast(pa.int32()), lists], ["toxic", "f"])
@@ -146,7 +150,7 @@ def fit(rows: list[tuple[int, list[int]]], ratio: np.ndarray) -> tuple[np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from labelled documents; `labels` has `ids` and `label` (0 or 1)."""
-    codes = np.full(1 << BITS, -1, np.int64)
+    codes = np.full(1 << BITS, -1, np.int32)
     known = labels.select(F.col(ids).alias("__id"), F.col(label).cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
@@ -178,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
 
 
 def _scored(batches: Iterator[pa.RecordBatch], text: str, model: Model, out: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for rows, _, _ in chunks(batches, text, 1 << 20):
+    for rows, _, _ in chunks(batches, text, STRETCH):
         s = model.scores([x or "" for x in column(rows, text).to_pylist()])
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], schema=schema)
 
