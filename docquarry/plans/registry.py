@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mentions as M
 from ..functions import text as T
-from ..operators import chunk, graph, parse, retrieve, validate
+from ..operators import chunk, clean, graph, parse, retrieve, validate
 from . import pipeline
 
 QUERIES: dict = {}
@@ -78,8 +78,8 @@ def caption_cosine_topk(spark, d):
 
 
 @query("""
-with t as (select item_id as query_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9一-鿿+-]+', ' ', 'g'), ' '), x -> length(x) >= 2) as terms from benchmark),
-s as (select query_id, doc_id, list_sum(list_transform(terms, w -> case when contains(lower(text), w) then 1 else 0 end))::int as score from t, documents),
+with t as (select item_id as query_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9一-鿿+-]+', ' ', 'g'), ' '), lambda x: length(x) >= 2) as terms from benchmark),
+s as (select query_id, doc_id, list_sum(list_transform(terms, lambda w: case when contains(lower(text), w) then 1 else 0 end))::int as score from t, documents),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0)
 select query_id, doc_id, score, rank::int as rank from r where rank <= 20""")
 def lexical_retrieve(spark, d):
@@ -159,7 +159,7 @@ def mention_equations(spark, d):
 
 @query("""
 select o_orderkey, array_to_string(list_sort(list_distinct(list_transform(list_concat(case when o_orderkey % 9 >= o_orderkey % 5 then range(o_orderkey % 5 + 1, o_orderkey % 9 + 2) else [] end,
- [o_orderkey % 20 + 1]), x -> 'ref_' || x))), ',') as found from orders""")
+ [o_orderkey % 20 + 1]), lambda x: 'ref_' || x))), ',') as found from orders""")
 def citation_ranges(spark, d):
     return _prose(spark, d).select("o_orderkey", _joined(M.citations(F.col("text"))).alias("found"))
 
@@ -370,7 +370,7 @@ def corpus_findings(spark, d):
 
 @query()
 def table_grids(spark, d):
-    parsed = parse.documents(papers(spark, d))
+    parsed = parse.documents(clean.clean_markdown(papers(spark, d)))
     return parse.exploded(parsed, "tables").select("doc_id", "table_number", _joined(F.col("data.columns")).alias("columns"), _joined(F.flatten("data.rows")).alias("cells"), F.col("data.data_start_row").alias("header_rows"))
 
 
