@@ -28,6 +28,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
+# What is run for a kind, where that is not its pattern: the same matches without those that are too
+# short, since runs of one class end where they end, wherever in a run a match begins. (Not so for
+# assign, whose short matches use up text that another match could begin in.)
+RUN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
 #: Runs the Markov models judge, and the shortest.
 TOKEN, SHORTEST = r"[A-Za-z0-9+/_=-]", 20
@@ -138,7 +142,7 @@ def _markov(text: Column, model: list[float], least: float) -> Column:
 def scan(docs: DataFrame, model: list[float], text: str = "text", least: float = LEAST, base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """`docs` with two columns of spans (start, rank, kind, stop), in order: of the base patterns, and all."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn(base, F.array_sort(F.concat(*[_placed(body, p, g, n, k, kind) for k, (kind, p, g, n) in enumerate(KINDS)])))
+    found = docs.withColumn(base, F.array_sort(F.concat(*[_placed(body, RUN.get(kind, p), g, n, k, kind) for k, (kind, p, g, n) in enumerate(KINDS)])))
     found = found.withColumn("__markov", _markov(body, model, least))
     free = F.filter("__markov", lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return found.withColumn(spans, F.when(F.size("__markov") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), free)))).drop("__markov")
