@@ -13,9 +13,11 @@ the set. Then
 2. a list isn't expanded into its pairs. Each list picks as centre the set that shares most of
    its values, and pairs are (member, centre). The similarity estimated on the union's sketch
    drops pairs, the exact Jaccard of the full sets decides, and links join into components.
-3. lists whose members lie in different components after that are compared in blocks of
-   bounded size, only across components and outsiders of the centre's component against all;
-   estimates above the bound are verified on full sets too. So no link between components is lost.
+3. lists whose other members lie in different components after that are compared in blocks of
+   bounded size, only across components: outsiders of the list's largest component against all.
+   Two sets can share only shingles that two of these sets have, which rules out most pairs
+   exactly; estimates above the bound are verified on full sets too. So no link between
+   components is lost.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
@@ -26,7 +28,6 @@ each gets its row. Other columns don't matter.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,50 +135,74 @@ def _sizes_fit(n_a, n_b, num: int, den: int):
     return (den * F.least(n_a, n_b)) >= (num * F.greatest(n_a, n_b))
 
 
+def _padded(lists: pa.ListArray, width: int, fill: int) -> np.ndarray:
+    out = np.full((len(lists), width), fill, np.int64)
+    size = np.diff(lists.offsets.to_numpy())
+    out[np.arange(width) < size[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+_GROUP = ("kind", "value", "i", "j")
+
+
 def _cross(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows of (list, i, j) groups: pairs of a left and a right row in different components whose estimate passes, each in the first list they share."""
-    held: list[pa.Table] = []
 
-    def out(group: pa.Table):
-        left = column(group, "left").to_numpy(zero_copy_only=False)
-        key, comp, n = (column(group, c).to_numpy() for c in ("key", "root", "n"))
-        value = column(group, "value")[0].as_py()
-        sketch, lists = column(group, "vals").to_pylist(), column(group, "lists").to_pylist()
+    def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        left = column(t, "left").to_numpy(zero_copy_only=False)
+        key, comp, n, value, held = (column(t, c).to_numpy() for c in ("key", "root", "n", "value", "held"))
+        g = np.stack([column(t, c).to_numpy() for c in _GROUP])
+        group = np.concatenate([[0], np.cumsum((g[:, 1:] != g[:, :-1]).any(0))])
         L, R = np.flatnonzero(left), np.flatnonzero(~left)
-        fit = (comp[L][:, None] != comp[R][None]) & (den * np.minimum(n[L][:, None], n[R][None]) >= num * np.maximum(n[L][:, None], n[R][None]))
-        pairs = set()
-        for x, y in zip(*np.nonzero(fit), strict=True):
-            p, q = L[x], R[y]
-            if min(set(lists[p]) & set(lists[q])) != value:
-                continue
-            a, b = set(sketch[p]), set(sketch[q])
-            shared = a & b
-            if n[p] <= k and n[q] <= k:
-                ok = den * len(shared) >= num * (n[p] + n[q] - len(shared))
-            else:
-                union = sorted(a | b)[:k]
-                ok = sum(v in shared for v in union) >= math.floor(SHARED * len(union))
-            if ok:
-                pairs.add((max(key[p], key[q]), min(key[p], key[q])))
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        return None
-
+        lo, hi = np.searchsorted(group[R], group[L], "left"), np.searchsorted(group[R], group[L], "right")
+        sketch = lists = None
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(L):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+            m = hi[at:stop] - lo[at:stop]
+            p = np.repeat(L[at:stop], m)
+            q = R[np.arange(m.sum()) + np.repeat(lo[at:stop] - (np.cumsum(m) - m), m)]
+            at = stop
+            fit = (comp[p] != comp[q]) & (den * np.minimum(n[p], n[q]) >= num * np.maximum(n[p], n[q]))
+            fit &= (num + den) * np.minimum(held[p], held[q]) >= num * (n[p] + n[q])  # the most they can share
+            p, q = p[fit], q[fit]
+            if len(p) and sketch is None:
+                sketch, lists = _padded(column(t, "vals"), k, -1), _padded(column(t, "lists"), k, -1)
+            for x in range(0, len(p), 1 << 14):
+                a, b = p[x : x + (1 << 14)], q[x : x + (1 << 14)]
+                both = np.sort(np.concatenate([lists[a], lists[b]], 1), 1)
+                same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+                first = both[np.arange(len(a)), same.argmax(1)] == value[a]
+                a, b = a[first], b[first]
+                both = np.sort(np.concatenate([sketch[a], sketch[b]], 1), 1)
+                real = both >= 0
+                twice = np.zeros(both.shape, bool)
+                twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+                rank = np.cumsum(real & ~twice, 1)
+                union = np.minimum(rank[:, -1], k)
+                shared, near = twice.sum(1), (twice & (rank <= k)).sum(1)
+                whole = (n[a] <= k) & (n[b] <= k)
+                ok = np.where(whole, den * shared >= num * (n[a] + n[b] - shared), near >= np.floor(SHARED * union))
+                if ok.any():
+                    u, v = key[a[ok]], key[b[ok]]
+                    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        g = np.stack([column(t, c).to_numpy() for c in ("value", "i", "j")])
-        cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
-        edges = [0, *cut.tolist(), batch.num_rows]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            part = t.slice(lo, hi - lo)
-            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("value", "i", "j")):
-                if (x := out(pa.concat_tables(held).combine_chunks())) is not None:
-                    yield x
-                held.clear()
-            held.append(part)
-    if held and (x := out(pa.concat_tables(held).combine_chunks())) is not None:
-        yield x
+        t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
+        last = [t.column(c)[-1].as_py() for c in _GROUP]
+        other = np.zeros(t.num_rows, bool)
+        for c, x in zip(_GROUP, last, strict=True):
+            other |= column(t, c).to_numpy() != x
+        cut = int(other.sum())  # rows are sorted: those of the last group come last
+        if cut:
+            yield from compared(t.slice(0, cut).combine_chunks())
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield from compared(rest.combine_chunks())
 
 
 def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (4, 5), k: int = SKETCH) -> DataFrame:
@@ -215,26 +240,37 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", wo
     links = _verified(written(pairs, "pairs"), nodes, source, words, num, den)
     roots = components(links)
 
-    # 3. lists across components
-    labelled = members.join(roots, "key", "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("value").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = mixed.join(centres.select("value", F.col("c.key").alias("centre")), "value").join(roots.select(F.col("key").alias("centre"), F.col("root").alias("home")), "centre", "left")
-    open_ = open_.select("value", F.coalesce("home", "centre").alias("home"))
-    cases = written(labelled.join(open_, "value").select("value", "key", "root", "n", (F.col("root") != F.col("home")).alias("out")), "open")
-    blocks = cases.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("right_n"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("left_n"))
-    if blocks.isEmpty():
-        more = None
-    else:
-        own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-        sides = cases.join(blocks, "value")
-        zero = F.lit(0)
-        left = sides.where("out").select("value", "key", "root", "n", F.lit(True).alias("left"), own("left_n").alias("i"), F.explode(F.sequence(zero, F.col("right_n") - 1)).alias("j"))
-        right = sides.select("value", "key", "root", "n", F.lit(False).alias("left"), F.explode(F.sequence(zero, F.col("left_n") - 1)).alias("i"), own("right_n").alias("j"))
-        full = left.unionByName(right).join(nodes.select("key", "vals"), "key").join(lists.select("key", "lists"), "key")
-        got = full.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").select("value", "i", "j", "left", "key", "root", "n", "vals", "lists").mapInArrow(lambda it: _cross(it, k, num, den), "a long, b long")
-        size = nodes.select("key", "n")
-        got = got.distinct().join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").select("a", "b", ((F.col("n_a") <= k) & (F.col("n_b") <= k)).alias("sure"))
-        more = _verified(written(got, "pairs"), nodes, source, words, num, den)
+    # 3. lists across components; pairs with a list's centre have been decided
+    labelled = members.join(centres.select("value", F.col("c.key").alias("centre")), "value").where("key <> centre").join(roots, "key", "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
+    cases = written(_mixed(labelled), "open")
+    more = None
+    if not cases.isEmpty():
+        # the most frequent root of a list is at home: outsiders are compared with all
+        home = cases.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max(F.struct("m", "root")).alias("home"), F.sum("m").alias("m"))
+        cases = written(cases.join(home.select("value", "m", F.col("home.root").alias("home")), "value"), "homes")
+        small = cases.where(F.col("m") <= BLOCK).join(lists.select("key", "lists"), "key").select("value", "key", "root", "n", F.col("n").alias("held"), "lists", "home", "m", F.lit(0).alias("kind"))
+        # long lists of one home are one set of members; shingles that no other of them has can't be in an overlap
+        long = cases.where(F.col("m") > BLOCK).select(F.col("home").alias("value"), "key", "root", "n", "home").distinct()
+        full = written(_full_sets(long.select("key").distinct(), nodes, source, words), "sets")
+        each = full.select("key", F.explode("vals").alias("value"))
+        twice = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
+        held = each.join(twice, "value").groupBy("key").agg(F.count("*").alias("held"))
+        long = long.join(held, "key").where(F.col("held") * den >= F.col("n") * num)
+        long = written(long.join(long.groupBy("value").agg(F.count("*").alias("m")), "value").select("value", "key", "root", "n", "held", F.array("value").alias("lists"), "home", "m", F.lit(1).alias("kind")), "long")
+        cases = small.unionByName(long)
+        outside = cases.where("root <> home").groupBy("kind", "value").agg(F.count("*").alias("outside"))
+        sides, zero = cases.join(outside, ["kind", "value"]).withColumn("left_n", F.ceil(F.col("outside") / BLOCK)).withColumn("right_n", F.ceil(F.col("m") / BLOCK)), F.lit(0).cast("long")
+        own = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+        shape = ["kind", "value", "key", "root", "n", "held", "lists"]
+        left = sides.where("root <> home").select(*shape, F.lit(True).alias("left"), own("left_n").alias("i"), F.explode(F.sequence(zero, F.col("right_n") - 1)).alias("j"))
+        right = sides.select(*shape, F.lit(False).alias("left"), F.explode(F.sequence(zero, F.col("left_n") - 1)).alias("i"), own("right_n").alias("j"))
+        # 31 bits of a value do for an estimate: values that fall together can only add to it
+        short = nodes.select("key", F.transform("vals", lambda x: F.shiftrightunsigned(x, 21).cast("int")).alias("vals"))
+        both = left.unionByName(right).join(short, "key")
+        keys = ["kind", "value", "i", "j"]
+        got = both.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "left", "key", "root", "n", "held", "vals", "lists").mapInArrow(lambda it: _cross(it, k, num, den), "a long, b long")
+        got = written(got.distinct(), "pairs")
+        more = _verified(got.withColumn("sure", F.lit(False)), nodes, source, words, num, den)
     if more is not None and not more.isEmpty():
         roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
 
@@ -246,17 +282,32 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", wo
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The linked ones of `pairs`, by exact Jaccard on full sets; pairs marked sure were compared on whole sets before."""
-    unsure = pairs.where("not sure")
-    wanted = unsure.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select(F.col("at").alias("doc_id"), F.col("key").alias("want"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of lists (value) whose members have more than one root."""
+    mixed = rows.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
+    return rows.join(mixed, "value")
+
+
+def _full_sets(keys: DataFrame, nodes: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """(key, vals) with the full sets of some nodes, from the texts again."""
+    wanted = keys.join(nodes, "key").select(F.col("at").alias("doc_id"), F.col("key").alias("want"))
     texts = source.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = texts.mapInArrow(lambda it: _sets(it, "doc_id", "text", words, None), _SETS).join(wanted, "doc_id").where("key = want").groupBy("key").agg(F.first("vals").alias("vals"))
-    full = written(full, "sets")
+    found = texts.mapInArrow(lambda it: _sets(it, "doc_id", "text", words, None), _SETS)
+    return found.join(wanted, "doc_id").where("key = want").groupBy("key").agg(F.first("vals").alias("vals"))
+
+
+def _exact(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """The linked ones of `pairs`, by exact Jaccard on full sets."""
     side = lambda x: full.select(F.col("key").alias(x), F.col("vals").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    exact = unsure.join(side("a"), "a").join(side("b"), "b").where(den * both >= num * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
-    return written(pairs.where("sure").select("a", "b").union(exact), "links")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(den * both >= num * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The linked ones of `pairs`; pairs marked sure were compared on whole sets before."""
+    unsure = pairs.where("not sure")
+    full = written(_full_sets(unsure.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, source, words), "sets")
+    return written(pairs.where("sure").select("a", "b").union(_exact(unsure, full, num, den)), "links")
 
 
 def keep_one(docs: DataFrame, ids: str = "doc_id", **options) -> DataFrame:
