@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import mentions as M
 from ..functions import text as T
 from ..operators import chunk, clean, graph, parse, retrieve, validate
+from ..sources.shared import new_folder
 from . import pipeline
 
 QUERIES: dict = {}
@@ -358,14 +359,18 @@ def papers(spark, d) -> DataFrame:
     return read(spark, d, "documents").select(k.alias("doc_id"), F.lit("paper.md").alias("source_file"), md.alias("md_text"))
 
 
+def _built(spark, d) -> pipeline.Built:
+    return pipeline.build(papers(spark, d), keep=new_folder(spark, "built"))
+
+
 @query()
 def corpus_statistics(spark, d):
-    return pipeline.build(papers(spark, d)).statistics()
+    return _built(spark, d).statistics()
 
 
 @query()
 def corpus_findings(spark, d):
-    return validate.report(pipeline.checked(pipeline.build(papers(spark, d))))
+    return validate.report(pipeline.checked(_built(spark, d)))
 
 
 @query()
@@ -377,5 +382,5 @@ def table_grids(spark, d):
 @query()
 def retrieve_expand(spark, d):
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Why? "), F.col("text")).alias("query"))
-    found = pipeline.answer(pipeline.build(papers(spark, d)), asked)
+    found = pipeline.answer(_built(spark, d), asked)
     return found.evidence.select("query_id", "bucket", "doc_id", "node_id", "expand_role", "kept_rank", "tokens", "display")
