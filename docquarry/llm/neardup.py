@@ -16,8 +16,9 @@ the set. Then
 3. lists whose other members lie in different components after that are compared in blocks of
    bounded size, only across components: outsiders of the list's largest component against all.
    Two sets can share only shingles that two of these sets have, which rules out most pairs
-   exactly; estimates above the bound are verified on full sets too. So no link between
-   components is lost.
+   exactly. Blocks of short lists give pairs whose estimate passes, to be verified on full sets;
+   blocks of long lists hold full sets and give links, one for each pair of components. So no
+   link between components is lost.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
@@ -146,9 +147,51 @@ _GROUP = ("kind", "value", "i", "j")
 
 
 def _cross(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of (list, i, j) groups: pairs of a left and a right row in different components whose estimate passes, each in the first list they share."""
+    """Sorted rows of (kind, list, i, j) groups: pairs of a left and a right row in different components. Of kind 0, those whose
+    estimate passes, each in the first list they share; of kind 1, links by full sets."""
+
+    def verified(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Links between a group's left and right rows by their full sets; one for each pair of components."""
+        left = column(t, "left").to_numpy(zero_copy_only=False)
+        key, comp, n, held = (column(t, c).to_numpy() for c in ("key", "root", "n", "held"))
+        lists = column(t, "full")
+        values, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        _, number, often = np.unique(values, return_inverse=True, return_counts=True)
+        new = np.cumsum(often > 1) - 1  # values of one row alone are never shared
+        number, row = new[number[(two := often[number] > 1)]], row[two]
+        order = np.argsort(number, kind="stable")
+        number, row = number[order], row[order]
+        place, (L, R) = np.zeros(len(left), int), (np.flatnonzero(left), np.flatnonzero(~left))
+        place[L], place[R] = np.arange(len(L)), np.arange(len(R))
+        shared = np.zeros((len(L), len(R)), np.float32)
+        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 1 << 14):
+            a, b = np.searchsorted(number, [lo, lo + (1 << 14)])
+            c, r = number[a:b] - lo, row[a:b]
+            x, y = np.zeros((len(L), 1 << 14), np.float32), np.zeros((len(R), 1 << 14), np.float32)
+            x[place[r[left[r]]], c[left[r]]] = 1
+            y[place[r[~left[r]]], c[~left[r]]] = 1
+            shared += x @ y.T
+        shared = shared.astype(np.int64)
+        i, j = np.nonzero((comp[L][:, None] != comp[R][None]) & (den * shared >= num * (n[L][:, None] + n[R][None] - shared)))
+        if len(i):
+            u, v = comp[L[i]], comp[R[j]]
+            _, first = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0, return_index=True)
+            u, v = key[L[i[first]]], key[R[j[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["a", "b"])
 
     def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind = column(t, "kind").to_numpy()
+        cut = int(np.searchsorted(kind, 1))
+        if cut:
+            yield from estimated(t.slice(0, cut).combine_chunks())
+        if cut < len(kind):
+            rest = t.slice(cut).combine_chunks()
+            g = np.stack([column(rest, c).to_numpy() for c in _GROUP])
+            ends = [0, *(np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1).tolist(), rest.num_rows]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                yield from verified(rest.slice(lo, hi - lo).combine_chunks())
+
+    def estimated(t: pa.Table) -> Iterator[pa.RecordBatch]:
         left = column(t, "left").to_numpy(zero_copy_only=False)
         key, comp, n, value, held = (column(t, c).to_numpy() for c in ("key", "root", "n", "value", "held"))
         g = np.stack([column(t, c).to_numpy() for c in _GROUP])
@@ -266,9 +309,12 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", wo
         right = sides.select(*shape, F.lit(False).alias("left"), F.explode(F.sequence(zero, F.col("left_n") - 1)).alias("i"), own("right_n").alias("j"))
         # 31 bits of a value do for an estimate: values that fall together can only add to it
         short = nodes.select("key", F.transform("vals", lambda x: F.shiftrightunsigned(x, 21).cast("int")).alias("vals"))
-        both = left.unionByName(right).join(short, "key")
+        deep = long.select("key").distinct().join(full, "key").select("key", F.col("vals").alias("full"))
+        every = left.unionByName(right)
+        none = F.lit(None)
+        both = every.where("kind = 0").join(short, "key").withColumn("full", none.cast("array<bigint>")).unionByName(every.where("kind = 1").join(deep, "key").withColumn("vals", none.cast("array<int>")))
         keys = ["kind", "value", "i", "j"]
-        got = both.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "left", "key", "root", "n", "held", "vals", "lists").mapInArrow(lambda it: _cross(it, k, num, den), "a long, b long")
+        got = both.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "left", "key", "root", "n", "held", "vals", "full", "lists").mapInArrow(lambda it: _cross(it, k, num, den), "a long, b long")
         got = written(got.distinct(), "pairs")
         more = _verified(got.withColumn("sure", F.lit(False)), nodes, source, words, num, den)
     if more is not None and not more.isEmpty():
