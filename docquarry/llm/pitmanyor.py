@@ -1,21 +1,26 @@
-"""LM scoring by a hierarchical Pitman-Yor model, and by a smoothed unigram base.
-
-Texts are words and an end, which is the empty word. The top restaurant seats one customer for
-each training token. Its base distribution spells words byte by byte: restaurants of the two
-bytes before (a space before the word and as its end), which share parents: those of one byte,
-and they the root over all 256 bytes. A table opened in the word restaurant sends its word's
-bytes as customers to the byte restaurants, a table there sends one to the parent.
-
-Seating is sampled by Gibbs sweeps: given the parent's probabilities and the number of tables,
-each word's customers are seated anew by the Chinese-restaurant rule, one by one up to ONE_BY_ONE
-and in growing blocks of customers beyond; then byte restaurants level by level. After BURN_IN
-sweeps, the probabilities under SAMPLES states are averaged.
-
-What grows with the corpus stays distributed: word counts are a table, seating runs over its
-partitions (random numbers are hashes of the word and the sweep, so a lost task repeats its
-draws). Only byte restaurants reach the driver: at most 65,793 of 256 bytes, whatever the corpus.
-For scoring, documents meet in blocks of about BLOCK_TOKENS tokens; a block asks once for each
-distinct word, so the join carries no row per token, and hot words no more than one per block.
+"""LM scoring by a hierarchical Pitman-Yor model of word bigrams, and by a smoothed unigram base.
+
+Texts are words and an end, which is the empty word; the word before the first one is empty too.
+Each word is a context with a restaurant of its own, which seats one customer for each training
+token after it. A table opened there sends a customer to the word restaurant, the parent of them
+all. Its base distribution spells words byte by byte: restaurants of the two bytes before (a space
+before the word and as its end), which share parents: those of one byte, and they the root over
+all 256 bytes. A table of the word restaurant sends its word's bytes as customers to the byte
+restaurants, a table there sends one to the parent.
+
+Seating is sampled by Gibbs sweeps from one table for each dish on: given the parent's
+probabilities and the number of tables, the customers of each pair of words, then those of each
+word are seated anew by the Chinese-restaurant rule, one by one up to ONE_BY_ONE and in growing
+blocks of customers beyond; then byte restaurants level by level, without a state of their own
+from sweep to sweep. After BURN_IN sweeps, the probabilities under SAMPLES states are averaged.
+
+What grows with the corpus stays distributed: counts of pairs and of words are tables, seating
+runs over their partitions (random numbers are hashes of the words and the sweep, so a lost task
+repeats its draws, and scoring repeats them instead of keeping tables of each pair). A pair that
+occurs once has one table always, so that only others are joined in a sweep. Words are told apart
+by 64-bit hashes. Only byte restaurants reach the driver: at most 65,793 of 256 bytes, whatever
+the corpus. Documents meet in blocks of about BLOCK_TOKENS tokens; a block asks once for each
+distinct word and pair, so no join carries a row per token, and hot ones no more than one per block.
 
 Defined cases: null texts are empty (one end token); rows with a null id are training rows and
 score like others; repeated rows count as often as they occur; an empty table scores nothing.
@@ -29,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import table, written
@@ -139,28 +144,52 @@ def _predict(c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return (np.maximum(c - BYTE_DISCOUNT * t, 0) + (BYTE_STRENGTH + BYTE_DISCOUNT * tables) * parent) / (n + BYTE_STRENGTH)
 
 
+@dataclass
+class State:
+    """Of the word restaurant and below: the spelling it was seated by, its number of tables before, its sweep, its own customers, tables and spelling."""
+
+    before: Spelling
+    tables_before: float
+    sweep: int
+    customers: int
+    tables: float
+    after: Spelling
+
+    def log(self, words: pa.Array, count: np.ndarray, seed: np.ndarray, spell=None) -> np.ndarray:
+        """Log probabilities of words with `count` customers."""
+        spell = spell or (lambda s: s.words(words).astype(float))
+        all_ = math.log(STRENGTH + self.customers)
+        new = math.log(STRENGTH + DISCOUNT * self.tables) - all_ + spell(self.after)
+        seen = np.flatnonzero(count)
+        own = np.full(len(count), -np.inf)
+        if len(seen):
+            t = self.seated(count[seen], spell(self.before)[seen], seed[seen])
+            own[seen] = np.log(np.maximum(count[seen] - DISCOUNT * t, 1e-300)) - all_
+        return np.logaddexp(own, new)
+
+    def seated(self, count: np.ndarray, spelled_: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        if self.sweep == 0:
+            return (count > 0).astype(float)
+        return seated(count, np.exp(spelled_), seed + _U(self.sweep), DISCOUNT, STRENGTH + DISCOUNT * self.tables_before)
+
+
 @dataclass
 class Model:
-    """Totals, and for each kept state: the spelling it was seated by, its number of tables before, its sweep, its own tables and spelling."""
+    """Totals, and the states in order; the last `kept` are averaged."""
 
     tokens: int
     distinct: int
-    states: list[tuple[Spelling, float, int, float, Spelling]]
+    states: list[State]
+    kept: int
 
     def log10(self, words: pa.Array, count: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        """Averaged log10 probabilities of words seen `count` times."""
+        """Averaged log10 probabilities in the word restaurant, of words with `count` customers in every state."""
         total = np.full(len(count), -np.inf)
         cache: dict[int, np.ndarray] = {}
         spell = lambda s: cache.setdefault(id(s), s.words(words).astype(float))
-        for before, tables_before, sweep, tables, after in self.states:
-            new = math.log(STRENGTH + DISCOUNT * tables) - math.log(STRENGTH + self.tokens) + spell(after)
-            seen = np.flatnonzero(count)
-            own = np.full(len(count), -np.inf)
-            if len(seen):
-                t = seated(count[seen], np.exp(spell(before)[seen]), seed[seen] + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * tables_before)
-                own[seen] = np.log(np.maximum(count[seen] - DISCOUNT * t, 1e-300)) - math.log(STRENGTH + self.tokens)
-            total = np.logaddexp(total, np.logaddexp(own, new))
-        return (total - math.log(len(self.states))) / math.log(10)
+        for state in self.states[-self.kept :]:
+            total = np.logaddexp(total, state.log(words, count, seed, spell))
+        return (total - math.log(self.kept)) / math.log(10)
 
 
 def _word_seed(words: pa.Array) -> np.ndarray:
@@ -185,12 +214,14 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _customers(batches: Iterator[pa.RecordBatch], state: tuple | None) -> Iterator[pa.RecordBatch]:
+def _customers(batches: Iterator[pa.RecordBatch], name: str, state: tuple | None) -> Iterator[pa.RecordBatch]:
     """One row of (at, n) for each context and byte: customers of the byte restaurants; -1 counts tables."""
     total, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
     tables = 0.0
     for batch in batches:
-        words, count = column(batch, "word"), column(batch, "c").to_numpy()
+        words, count = column(batch, "word"), column(batch, name).to_numpy()
+        seats = count > 0
+        words, count = words.filter(pa.array(seats)), count[seats]
         context, byte, start = spelled(words)
         if state is None:
             t = np.ones(len(count))
@@ -207,59 +238,152 @@ def _customers(batches: Iterator[pa.RecordBatch], state: tuple | None) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(held[lo : lo + 20_000]), pa.array(total[lo : lo + 20_000])], ["at", "n"])
 
 
+def _swept(words: DataFrame, name: str, last: State | None) -> State:
+    """The next state of the word restaurant and below; column `name` of `words` has its customers."""
+    spark = words.sparkSession
+    sweep = last.sweep + 1 if last else 0
+    shared = spark.sparkContext.broadcast((last.after, last.tables, sweep) if last else None)
+    rows = words.mapInArrow(lambda it: _customers(it, name, shared.value), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 ** 24 + 1 at most
+    at, n = np.array([r.at for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    by = np.argsort(at)
+    at, n = at[by], n[by]
+    own = at >= 0
+    customers = words.agg(F.sum(name)).first()[0] or 0
+    after = spelling(n[own], at[own], sweep)
+    return State(last.after if last else after, last.tables if last else 0.0, sweep, customers, float(n[~own].sum()), after)
+
+
 def fit(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """The model of a vocabulary table (word, c)."""
-    spark = vocab.sparkSession
+    """The word restaurant and below alone, seating every token of a vocabulary table (word, c)."""
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    states = [_swept(vocab, "c", None)]
+    for _ in range(burn_in + samples):
+        states.append(_swept(vocab, "c", states[-1]))
+    return Model(total.n or 0, total.v or 0, states, samples)
 
-    def swept(state: tuple | None, sweep: int) -> tuple[Spelling, float]:
-        shared = spark.sparkContext.broadcast(state)
-        rows = vocab.mapInArrow(lambda it: _customers(it, shared.value), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 ** 24 + 1 at most
-        at, n = np.array([r.at for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
-        by = np.argsort(at)
-        at, n = at[by], n[by]
-        own = at >= 0
-        return spelling(n[own], at[own], sweep), float(n[~own].sum())
-
-    spell, tables = swept(None, 0)
-    states = []
-    for sweep in range(1, burn_in + samples + 1):
-        before, tables_before = spell, tables
-        spell, tables = swept((before, tables_before, sweep), sweep)
-        if sweep > burn_in:
-            states.append((before, tables_before, sweep, tables, spell))
-    return Model(total.n or 0, total.v or 0, states)
+
+def _stream(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the word before and of the word, and the text, for each token of n texts with their ends."""
+    word = np.zeros(len(w.hash) + n, _U)
+    word[np.arange(len(w.hash)) + w.doc] = w.hash
+    before = np.zeros(len(word), _U)
+    before[1:] = word[:-1]
+    return before, word, np.repeat(np.arange(n), np.diff(w.bounds) + 1)
+
+
+def _pair_seed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before + _U(0xD1B54A32D192ED03)) + word)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _hashes(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return column(batch, name).to_numpy().view(_U)
 
 
 def _asked(rows: pa.Table) -> pa.Table:
+    """Distinct hashes of a block's words."""
     buf, offsets = buffers(column(rows, "text"))
-    w = Words(buf, offsets, NOT_SPACE)
-    _, first = np.unique(w.hash, return_index=True)
-    words = pa.concat_arrays([pa.array([""], pa.string()), w.strings(first)])
-    return pa.table({"block": pa.array(np.full(len(words), column(rows, "block")[0].as_py()), pa.int64()), "word": words})
+    h = np.unique(np.concatenate([np.zeros(1, _U), Words(buf, offsets, NOT_SPACE).hash]))
+    return pa.table({"block": pa.array(np.full(len(h), column(rows, "block")[0].as_py()), pa.int64()), "h": _long(h)})
 
 
-def _answered(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _asked_pairs(rows: pa.Table) -> pa.Table:
+    """Distinct pairs of a block, and how often they occur in its training rows."""
+    buf, offsets = buffers(column(rows, "text"))
+    before, word, doc = _stream(Words(buf, offsets, NOT_SPACE), len(offsets) - 1)
+    train = ~column(rows, "held_out").to_numpy(zero_copy_only=False).astype(bool)
+    _, first, back = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
+    n = np.bincount(back, train[doc].astype(float), len(first)).astype(np.int64)
+    block = pa.array(np.full(len(first), column(rows, "block")[0].as_py()), pa.int64())
+    return pa.table({"block": block, "u": _long(before[first]), "w": _long(word[first]), "n": pa.array(n)})
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = column(batch, "word")
+        yield pa.RecordBatch.from_arrays([words, _long(_word_seed(words)), column(batch, "c")], ["word", "h", "c"])
+
+
+def _seat_pairs(batches: Iterator[pa.RecordBatch], sweep: int) -> Iterator[pa.RecordBatch]:
+    """Tables that pairs open: (h, k) sent to the parent by a word, (h, tt) in the restaurant of a word."""
+    for batch in batches:
+        u, w, c = _hashes(batch, "u"), _hashes(batch, "w"), column(batch, "c").to_numpy()
+        t = np.ones(len(c))
+        if sweep:
+            t = pair_tables(u, w, c, column(batch, "p").to_numpy(), column(batch, "tt").to_numpy(), sweep)
+        h, back = np.unique(np.concatenate([w, u]), return_inverse=True)
+        k, tt = np.bincount(back[: len(c)], t, len(h)), np.bincount(back[len(c) :], t, len(h))
+        yield pa.RecordBatch.from_arrays([_long(h), pa.array(k.astype(np.int64)), pa.array(tt.astype(np.int64))], ["h", "k", "tt"])
+
+
+def pair_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, tt: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of pairs in a sweep; p: log probability of the word in the word restaurant before, tt: tables of the context before."""
+    return seated(c, np.exp(p), _pair_seed(u, w) + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * tt)
+
+
+def _with_p(batches: Iterator[pa.RecordBatch], state: State) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, c = column(batch, "word"), column(batch, "c").to_numpy()
-        yield pa.RecordBatch.from_arrays([words, column(batch, "c"), pa.array(model.log10(words, c, _word_seed(words)))], ["word", "c", "lp"])
+        words, k = column(batch, "word"), column(batch, "k").to_numpy()
+        yield batch.append_column("now", pa.array(state.log(words, k, _word_seed(words)), pa.float64()))
+
+
+def fit_pairs(vocab: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[Model, DataFrame]:
+    """The model of a vocabulary table (word, c) and counts (u, w, c) of pairs of hashes; and for each word its hash h, c, and
+    p and tt: its log probability in the word restaurant and the tables of its own restaurant, in the last samples + 1 states."""
+    spark = vocab.sparkSession
+    total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = lambda rows, sweep: rows.mapInArrow(lambda it: _seat_pairs(it, sweep), "h long, k long, tt long").groupBy("h").agg(F.sum("k").alias("k"), F.sum("tt").alias("tt"))
+    once = sums(pairs.where("c = 1"), 0).select("h", F.col("k").alias("k1"), F.col("tt").alias("tt1"))
+    words = vocab.mapInArrow(_hashed, "word string, h long, c long").join(once, "h", "left")
+    words = written(words.select("word", "h", "c", F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("tt1", F.lit(0)).alias("tt1"), F.array().cast("array<long>").alias("tt"), F.array().cast("array<double>").alias("p")), "words")
+    more = written(pairs.where("c > 1").select("u", "w", "c"), "more")
+    states: list[State] = []
+    for sweep in range(burn_in + samples + 1):
+        rows = more
+        if sweep:
+            rows = rows.join(words.select(F.col("h").alias("w"), F.element_at("p", -1).alias("p")), "w").join(words.select(F.col("h").alias("u"), F.element_at("tt", -1).alias("tt")), "u")
+        new = sums(rows, sweep).select("h", F.col("k").alias("k2"), F.col("tt").alias("tt2"))
+        own = (F.col("k1") + F.coalesce("k2", F.lit(0))).alias("k")
+        seats = F.concat("tt", F.array(F.col("tt1") + F.coalesce("tt2", F.lit(0)))).alias("tt")
+        seated_ = written(words.join(new, "h", "left").select("word", "h", "c", "k1", "tt1", own, seats, "p"), "seated")
+        states.append(_swept(seated_, "k", states[-1] if states else None))
+        shared = spark.sparkContext.broadcast(states[-1])
+        schema = ", ".join(f"{c} {t}" for c, t in seated_.dtypes) + ", now double"
+        words = seated_.mapInArrow(lambda it, s=shared: _with_p(it, s.value), schema)
+        words = written(words.select("word", "h", "c", "k1", "tt1", F.slice("tt", -samples - 1, samples + 1).alias("tt") if sweep > samples else "tt", F.concat("p" if sweep <= samples else F.slice("p", -samples, samples), F.array("now")).alias("p")), "words")
+    return Model(total.n or 0, total.v or 0, states, samples), words.select("h", "c", "p", "tt")
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted `keys` have each of `wanted`, and whether they do."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
-    known_hash = _word_seed(column(known, "word"))
-    order = np.argsort(known_hash)
-    known_hash = known_hash[order]
-    known_c, known_lp = column(known, "c").to_numpy()[order], column(known, "lp").to_numpy()[order]
+    pair = np.asarray(column(known, "w").is_valid())
+    of_words, of_pairs = known.filter(pa.array(~pair)), known.filter(pa.array(pair))
+    s = model.kept + 1
+    word_key = _hashes(of_words, "u")
+    by = np.argsort(word_key)
+    word_key, word_c = word_key[by], column(of_words, "c").to_numpy()[by]
+    word_p, word_tt = (column(of_words, x).flatten().to_numpy().reshape(-1, s)[by] for x in ("p", "tt"))
+    pair_key = _pair_seed(_hashes(of_pairs, "u"), _hashes(of_pairs, "w"))
+    by = np.argsort(pair_key)
+    pair_key, pair_c = pair_key[by], column(of_pairs, "c").to_numpy()[by]
     out = []
     for rows, buf, offsets in gathered(docs.to_batches(), "text", 8 << 20):
         w = Words(buf, offsets, NOT_SPACE)
         n = len(offsets) - 1
+        before, word, doc = _stream(w, n)
         hashes, first, back = np.unique(np.concatenate([np.zeros(1, _U), w.hash]), return_index=True, return_inverse=True)
-        at = np.searchsorted(known_hash, hashes)
-        at[at == len(known_hash)] = 0
-        hit = known_hash[at] == hashes if len(known_hash) else np.zeros(len(hashes), bool)
-        c, lp = np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-        c[hit], lp[hit] = known_c[at[hit]], known_lp[at[hit]]
+        at, hit = _found(word_key, hashes)
+        c, p, tt = np.zeros(len(hashes), np.int64), np.zeros((len(hashes), s)), np.zeros((len(hashes), s))
+        c[hit], p[hit], tt[hit] = word_c[at[hit]], word_p[at[hit]], word_tt[at[hit]]
         miss = np.flatnonzero(~hit)
         if len(miss):
             end = first[miss] == 0
@@ -267,11 +391,25 @@ def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) ->
             if end.any():
                 where = int(np.flatnonzero(end)[0])
                 texts = pa.concat_arrays([texts.slice(0, where), pa.array([""], pa.string()), texts.slice(where)])
-            lp[miss] = model.log10(texts, np.zeros(len(miss), np.int64), np.zeros(len(miss), _U))
+            none = np.zeros(len(miss), np.int64)
+            for j, state in enumerate(model.states[-s:]):
+                p[miss, j] = state.log(texts, none, none.astype(_U))
         base = np.log10((c + ADDED) / (model.tokens + ADDED * (model.distinct + 1)))
+        _, one, which = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
+        u, v = before[one], word[one]
+        at, hit = _found(pair_key, _pair_seed(u, v))
+        count = np.zeros(len(one), np.int64)
+        count[hit] = pair_c[at[hit]]
+        iu, iv = np.searchsorted(hashes, u), np.searchsorted(hashes, v)
+        lp = np.full(len(one), -np.inf)
+        for j, state in enumerate(model.states[-model.kept :], 1):
+            t = pair_tables(u, v, count, p[iv, j - 1], tt[iu, j - 1], state.sweep)
+            own = np.log(np.maximum(count - DISCOUNT * t, 1e-300))
+            lp = np.logaddexp(lp, np.logaddexp(own, np.log(STRENGTH + DISCOUNT * tt[iu, j]) + p[iv, j]) - np.log(STRENGTH + c[iu]))
+        lp = (lp - math.log(model.kept)) / math.log(10)
         end, token = back[0], back[1:]
         add = lambda x: np.bincount(w.doc, x[token], n) + x[end]
-        new = [pa.array(np.diff(w.bounds) + 1, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, model.tokens), pa.int64()), pa.array(add(base)), pa.array(add(lp))]
+        new = [pa.array(np.diff(w.bounds) + 1, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, model.tokens), pa.int64()), pa.array(add(base)), pa.array(np.bincount(doc, lp[which], n))]
         out.append(pa.Table.from_arrays([*(rows.column(f.name) for f in schema if f.name in rows.column_names), *new], schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -280,13 +418,17 @@ def score(docs: DataFrame, train, ids: str = "doc_id", text: str = "text", block
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a boolean column of the training rows."""
     rows = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), train.alias("train"))
     vocab = written(vocabulary(rows.where("train")), "vocabulary")
-    model = fit(vocab)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    blocks = max(1, math.ceil(model.tokens / block_tokens))
+    blocks = max(1, math.ceil((vocab.agg(F.sum("c")).first()[0] or 0) / block_tokens))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", (~F.col("train")).alias("held_out"), "text")
-    asked = dealt.groupBy("block").applyInArrow(_asked, "block long, word string")
-    known = vocab.mapInArrow(lambda it: _answered(it, shared.value), "word string, c long, lp double")
-    known = asked.join(known, "word").select("block", "word", "c", "lp")
+    same = Window.partitionBy("u", "w")
+    asked = dealt.groupBy("block").applyInArrow(_asked_pairs, "block long, u long, w long, n long")
+    counted = asked.select("block", "u", "w", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    counted = written(counted, "pairs")
+    model, words = fit_pairs(vocab, counted.where("first and c > 0"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    known = dealt.groupBy("block").applyInArrow(_asked, "block long, h long").join(words, "h")
+    known = known.select("block", F.col("h").alias("u"), F.lit(None).cast("long").alias("w"), "c", "p", "tt")
+    known = known.unionByName(counted.where("c > 0").select("block", "u", "w", "c"), allowMissingColumns=True)
     result = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(dict(dealt.dtypes)["doc_id"])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

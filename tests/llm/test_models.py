@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import ann, pieces, pitmanyor, queries, tokencount, toolcalls, warc
@@ -88,6 +89,19 @@ def test_language_model_probabilities_add_up(spark):
     assert 0.5 < p.sum() <= 1 + 1e-9 and p[words.index("a")] > p[words.index("b")] > p[words.index("z")]
 
 
+def test_language_model_reads_word_order(spark):
+    """The same words in another order score lower, and scores do not depend on blocks."""
+    rows = [(i, "red apples grow on tall trees while small birds sing") for i in range(50)] + [(100, "red apples grow on tall trees"), (101, "trees on apples tall red grow")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pitmanyor.score(docs, F.col("doc_id") < 100).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 3
+    follow = spark.createDataFrame([(i, "a b a b a c b a") for i in range(9)] + [(100, "a"), *((200 + k, f"a {w}") for k, w in enumerate("abcdefgh"))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitmanyor.score(follow, F.col("doc_id") < 100, block_tokens=20).collect()}
+    again = {r.doc_id: r.score for r in pitmanyor.score(follow, F.col("doc_id") < 100).collect()}
+    assert got == pytest.approx(again)  # whatever the blocks
+    assert got[201] > got[203]
+
+
 def test_token_attribution(spark, odd):
     from tokenizers import Tokenizer
 
