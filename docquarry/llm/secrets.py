@@ -4,9 +4,11 @@ Base kinds are leftmost non-overlapping matches of fixed patterns; too short one
 Positions come from the pieces between matches: split() and regexp_extract_all() run the same
 pattern, so a match begins where the pieces and matches before it end.
 
-The method adds kind `markov`: maximal runs of TOKEN characters whose log-likelihood ratio
-between a Markov model (first order, over printable ASCII) of random strings and one of
-ordinary identifiers is LEAST bits or more, unless they overlap a base match. Both models are
+The method adds kind `markov`: segments of runs of TOKEN characters outside base matches whose
+log-likelihood ratio between a Markov model (first order, over printable ASCII) of random strings
+and one of ordinary identifiers is LEAST bits or more. A segment begins where the running ratio
+is at zero, stops at its peak, and is over when the ratio is at zero again or LEAST bits below the
+peak; so a run may hold several, and what is ordinary beside a secret counts nothing. Both models are
 trained from labelled samples (`samples()` makes 2 * SAMPLE of them by rule); they meet as one
 table of log ratios of 95 * 95 entries at most, which enters the plan as a literal.
 
@@ -33,8 +35,8 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 # assign, whose short matches use up text that another match could begin in.)
 RUN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
-#: Runs the Markov models judge, and the shortest.
-TOKEN, SHORTEST = r"[A-Za-z0-9+/_=-]", 20
+#: Runs the Markov models judge, and the shortest: the least length of an assigned secret.
+TOKEN, SHORTEST = r"[A-Za-z0-9+/_=-]", 12
 #: Least log-likelihood ratio of a secret, in bits.
 LEAST = 24.0
 #: Labelled strings of each class that samples() makes.
@@ -126,26 +128,56 @@ def train(labelled: DataFrame) -> list[float]:
     return [round(math.log2(prob(True, s) / prob(False, s)), 6) for s in range(STATES * STATES)]
 
 
-def _ratio(string: Column, ratios: Column) -> Column:
-    return F.aggregate(_bind(_codes(string), _steps), F.lit(0.0), lambda a, s: a + F.element_at(ratios, s))
+def _segments(string: Column, ratios: Column, least: float) -> Column:
+    """Segments (lo, hi) of a string whose log ratios add up to `least` or more."""
+    values = F.transform(_bind(_codes(string), _steps), lambda s: F.element_at(ratios, s))
+    kind = "struct<i:int,now:double,lo:int,best:double,hi:int,out:array<struct<lo:int,hi:int>>>"
+    state = lambda i, now, lo, best, hi, out: F.struct(i.alias("i"), now.alias("now"), lo.alias("lo"), best.alias("best"), hi.alias("hi"), out.alias("out")).cast(kind)
+    zero, none = F.lit(0), F.lit(0.0)
+    out = lambda a: F.when(a["best"] >= least, F.concat(a["out"], F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        now, i = a["now"] + x, a["i"] + 1
+        peak = now > a["best"]
+        over = state(i, none, i, none, i, out(a))
+        on = state(i, now, a["lo"], F.greatest(a["best"], now), F.when(peak, i).otherwise(a["hi"]), a["out"])
+        return F.when((now <= 0) | (now <= a["best"] - least), over).otherwise(on)
+
+    nullable = F.when(F.length(string) >= 0, state(zero, none, zero, none, zero, F.array().cast("array<struct<lo:int,hi:int>>")))
+    return F.aggregate(values, nullable, step, out)
 
 
 def _markov(text: Column, model: list[float], least: float) -> Column:
     ratios = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folds into a literal
     pattern = f"{TOKEN}{{{SHORTEST},}}"
     strings = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = _bind(ratios, lambda t: F.transform(strings, lambda s: _ratio(s, t) >= least))
-    kept = F.filter(F.arrays_zip(_placed(text, pattern, 0, 0, len(KINDS), "markov").alias("at"), judged.alias("ok")), lambda x: x["ok"])
-    return F.when(text.rlike(pattern), F.transform(kept, lambda x: x["at"])).otherwise(F.array().cast(_ARRAY))
+    judged = _bind(ratios, lambda t: F.transform(strings, lambda s: _segments(s, t, least)))
+    kept = F.filter(F.arrays_zip(_placed(text, pattern, 0, 0, len(KINDS), "markov").alias("at"), judged.alias("in")), lambda x: F.size(x["in"]) > 0)
+    span = lambda at, x: F.struct((at["start"] + x["lo"]).alias("start"), at["rank"].alias("rank"), at["kind"].alias("kind"), (at["start"] + x["hi"]).alias("stop"))
+    spans = F.flatten(F.transform(kept, lambda x: F.transform(x["in"], lambda y: span(x["at"], y))))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_ARRAY))
+
+
+def _blanked(text: Column, spans: str) -> Column:
+    """The text with spaces in place of its spans."""
+    step = lambda a, x: F.struct(
+        F.greatest(a["pos"], x["stop"]).alias("pos"),
+        F.concat(
+            a["out"],
+            F.when(x["start"] > a["pos"], text.substr((a["pos"] + 1).cast("int"), (x["start"] - a["pos"]).cast("int"))).otherwise(""),
+            F.repeat(F.lit(" "), F.greatest(x["stop"] - F.greatest(a["pos"], x["start"]), F.lit(0)).cast("int")),
+        ).alias("out"),
+    )
+    done = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) == 0, text).otherwise(_bind(done, lambda d: F.concat(d["out"], text.substr((d["pos"] + 1).cast("int"), F.length(text)))))
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", least: float = LEAST, base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """`docs` with two columns of spans (start, rank, kind, stop), in order: of the base patterns, and all."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn(base, F.array_sort(F.concat(*[_placed(body, RUN.get(kind, p), g, n, k, kind) for k, (kind, p, g, n) in enumerate(KINDS)])))
-    found = found.withColumn("__markov", _markov(body, model, least))
-    free = F.filter("__markov", lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return found.withColumn(spans, F.when(F.size("__markov") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), free)))).drop("__markov")
+    found = found.withColumn("__rest", _blanked(body, base)).withColumn("__markov", _markov(F.col("__rest"), model, least))
+    return found.withColumn(spans, F.when(F.size("__markov") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), F.col("__markov"))))).drop("__rest", "__markov")
 
 
 def named(spans: str) -> Column:
