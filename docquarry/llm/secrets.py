@@ -8,7 +8,8 @@ The method adds kind `markov`: segments of runs of TOKEN characters outside base
 log-likelihood ratio between a Markov model (first order, over printable ASCII) of random strings
 and one of ordinary identifiers is LEAST bits or more. A segment begins where the running ratio
 is at zero, stops at its peak, and is over when the ratio is at zero again or LEAST bits below the
-peak; so a run may hold several, and what is ordinary beside a secret counts nothing. Both models are
+peak; so a run may hold several, and what is ordinary beside a secret counts nothing. Letters and
+digits on either side of a segment, up to a separator, are taken with it. Both models are
 trained from labelled samples (`samples()` makes 2 * SAMPLE of them by rule); they meet as one
 table of log ratios of 95 * 95 entries at most, which enters the plan as a literal.
 
@@ -42,6 +43,8 @@ LEAST = 24.0
 #: Labelled strings of each class that samples() makes.
 SAMPLE = 20_000
 STATES = 95
+#: Share of each state's transitions that samples may not show.
+UNSEEN = 0.02
 #: Words that ordinary identifiers are made of.
 IDENTIFIER_WORDS = (
     "account address admin alpha amount array author backup balance binary block buffer button cache callback category channel char client close "
@@ -51,6 +54,28 @@ IDENTIFIER_WORDS = (
     "import index info input insert instance integer internal invoice item key label language last layer layout length level library limit line link "
     "list load local location log lookup manager mapping message method model module name network node number object offset option order output page"
 ).split()
+IDENTIFIER_WORDS += (
+    "pair panel parent parse password path payload permission pixel platform plugin point policy pool port position prefix price primary process product "
+    "profile project property protocol provider proxy public publish quality quantity query queue quick quota quote radius random range rate read ready "
+    "record recent redirect reference refresh region register release remote render replace report request require reset resource response result retry "
+    "role root route row rule sample save scale schedule schema scope screen script scroll search section security select sequence serial server service "
+    "session setting shadow share shift signal simple size slot sort source space special split stack stage start state static status step stop store "
+    "stream string style submit summary support switch symbol sync system table target task template tenant text theme thread time title token tool total "
+    "trace track traffic transfer tree trigger type unique unit update upload url usage user utility valid value vector version video view virtual visible "
+    "volume wait warning watch web week weight widget width window word work wrap write year zero zip zone zoom adjust adaptive ajax apache async available "
+    "awk basic beta bin bridge bytes canvas change cluster com css dev dist drive dropdown enum exact express extra factory fix flex fuzzy general gnu "
+    "http html hybrid http java job join jquery json jump kernel lazy lib linux main major matrix max min mixin mixed net next node null obj org page "
+    "png processing puzzle python question regex schwarz sha simplex spark sql src suffix svg tax toggle txt unix usr utf var vertex why wiki www xml xpath yield"
+).split()
+#: Words of prose in other languages, and common endings.
+PROSE_WORDS = (
+    "the that with and which when where would other nation through through thought eight light shall every have here there their about after again always "
+    "tion ing ment able less ness ough wh sh th ed er ly hood ship hand stand hard width "
+    "que los las una por para como esta donde cuando hacer ocho quien pero desde sobre hasta entre nuestro tiempo ciudad ando iendo mente cion dad "
+    "les des une pour dans avec est sont vous nous leur aussi aux eux eau beaux deux jeux vieux oiseau autre elle quelque quand voix faire oui ait aient ment eur ique "
+    "der die das und nicht auch sich mit auf ein eine wurde werden zwischen schon durch gesellschaft fahrt dampf schiff pfad kopf pflanze zehn zeit heit keit "
+    "ung lich isch schaft katze pflicht ver zer be ge zu ich ach och euch zwei jahr jetzt"
+).split()
 #: Matches whose positions are summed up at once.
 STRIDE = 256
 
@@ -83,27 +108,60 @@ def _placed(text: Column, pattern: str, group: int, least: int, rank: int, kind:
 
 
 def samples(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
-    """Labelled strings (string, secret): digests in common alphabets, and identifiers in common styles."""
+    """Labelled strings (string, secret): digests in common alphabets; identifiers in common styles, with numbers and of one
+    letter's case, prose run together, dates, paths, numbers, alphabets, and rules of separators and of other single characters."""
     ids = spark.range(n)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(digest))
+    alnum = F.regexp_replace(b64, "[+/=]", "")
     size = (F.pmod(F.xxhash64("id"), F.lit(21)) + 20).cast("int")
-    text = F.element_at(F.array(digest, b64, F.translate(b64, "+/=", "-_"), F.upper(digest), F.regexp_replace(b64, "[+/=]", "")), (F.pmod("id", F.lit(5)) + 1).cast("int"))
+    text = F.element_at(F.array(digest, b64, F.translate(b64, "+/=", "-_"), F.upper(digest), alnum, F.lower(alnum), F.upper(alnum)), (F.pmod("id", F.lit(7)) + 1).cast("int"))
     random = ids.select(F.substring(text, F.lit(1), size).alias("string"), F.lit(True).alias("secret"))
-    words = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.size(words)) + 1).cast("int"))
-    four = F.array(*[word(k) for k in range(4)])
+    pick = lambda values, k: F.element_at(values, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.size(values)) + 1).cast("int"))
+    words, prose = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " "), F.split(F.lit(" ".join(PROSE_WORDS)), " ")
+    four = F.array(*[pick(words, k) for k in range(4)])
+    caps = F.transform(four, lambda x: F.initcap(x))
+    camel = F.concat(pick(words, "head"), F.array_join(caps, ""))
+    run = F.array_join(F.array(*[pick(prose, f"p{k}") for k in range(4)]), "")
     number = F.pmod(F.xxhash64("id", F.lit("n")), F.lit(3000)).cast("string")
+    short = F.pmod(F.xxhash64("id", F.lit("short")), F.lit(100)).cast("string")
+    long = F.abs(F.xxhash64("id", F.lit("long"))).cast("string")
+    when = F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit("t")), F.lit(2_000_000_000)))
+    date = F.date_format(when, "yyyy-MM-dd")
+    stamps = F.array(F.date_format(when, "yyyy-MM-dd'T'HH-mm-ss-SSSSSS"), F.date_format(when, "yyyy/MM/dd/"), F.date_format(when, "yyyyMMdd_HHmmss"), F.date_format(when, "yyyyMMdd'T'HHmmss'Z'"), F.concat(date, F.lit("_"), date))
+    separators = F.split(F.lit("- _ = + / - _ = -= =- -+ +- --+ ---+ _- _/ // /- =+ -_"), " ")
+    rule = F.repeat(pick(separators, "s"), 24)
+    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), F.pmod(F.xxhash64("id", F.lit("l")), F.lit(62)).cast("int") + 1, F.lit(1))
+    alphabet = pick(F.array(F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("0123456789"), F.lit("qwertyuiopasdfghjklzxcvbnm")), "a")
+    numbered = F.array_join(F.transform(four, lambda x: F.concat(x, short)), "_")
     styles = F.array(
         F.array_join(four, "_"),
         F.array_join(four, "-"),
         F.array_join(four, "/"),
         F.array_join(four, ""),
         F.upper(F.array_join(four, "_")),
-        F.array_join(F.transform(four, lambda x: F.initcap(x)), ""),
+        F.array_join(caps, ""),
         F.concat(F.array_join(four, "_"), F.lit("_"), number),
+        camel,
+        F.concat(F.lit("/"), F.array_join(caps, "/")),
+        F.concat(F.lit("/"), F.array_join(four, "/"), F.lit("/"), number, F.lit("-"), pick(words, "tail")),
+        F.concat(pick(stamps, "d"), F.lit("_"), pick(words, "tail")),
+        F.concat(pick(words, "head"), F.lit("-"), pick(stamps, "d")),
+        rule,
+        F.concat(pick(words, "head"), F.substring(rule, 1, 8), pick(words, "tail")),
+        F.repeat(letter, 150),
+        alphabet,
+        run,
+        F.initcap(run),
+        F.concat(F.upper(run), F.lit("_"), F.upper(pick(words, "tail"))),
+        F.concat(numbered, F.lit("-v"), short, F.lit("-"), number),
+        F.concat(F.initcap(pick(words, "head")), short, F.initcap(pick(words, "tail")), F.lit("V"), short),
+        F.concat(F.upper(pick(words, "head")), F.array_join(caps, ""), F.lit("ID")),
+        F.concat(F.upper(pick(words, "head")), F.lit("/"), short, F.lit("_"), number, F.lit("-"), F.upper(pick(words, "tail"))),
+        F.concat(F.array_join(caps, "-"), F.lit("="), long),
+        F.array_join(F.array(short, number, F.lit("x86"), short), "_"),
     )
-    plain = ids.select(F.element_at(styles, (F.pmod("id", F.lit(7)) + 1).cast("int")).alias("string"), F.lit(False).alias("secret"))
+    plain = ids.select(pick(styles, "style").alias("string"), F.lit(False).alias("secret"))
     return random.union(plain)
 
 
@@ -118,18 +176,18 @@ def _steps(codes: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log2 ratios of the transitions, from rows (string, secret), with add-half smoothing."""
+    """Log2 ratios of the transitions, from rows (string, secret), with add-half smoothing, and UNSEEN of each row's mass dealt evenly."""
     steps = labelled.where(F.length("string") > 0).select("secret", F.explode(_bind(_codes(F.col("string")), _steps)).alias("step"))
     counts = {(r.secret, r.step - 1): r.n for r in steps.groupBy("secret", "step").agg(F.count("*").alias("n")).collect()}  # 2 * STATES ** 2 rows at most
     total: dict[tuple[bool, int], float] = {}
     for (secret, step), n in counts.items():
         total[secret, step // STATES] = total.get((secret, step // STATES), 0) + n
-    prob = lambda c, s: (counts.get((c, s), 0) + 0.5) / (total.get((c, s // STATES), 0) + 0.5 * STATES)
+    prob = lambda c, s: (1 - UNSEEN) * (counts.get((c, s), 0) + 0.5) / (total.get((c, s // STATES), 0) + 0.5 * STATES) + UNSEEN / STATES
     return [round(math.log2(prob(True, s) / prob(False, s)), 6) for s in range(STATES * STATES)]
 
 
 def _segments(string: Column, ratios: Column, least: float) -> Column:
-    """Segments (lo, hi) of a string whose log ratios add up to `least` or more."""
+    """Segments (lo, hi) of a string whose log ratios add up to `least` or more, with the rest of the letters and digits at their ends."""
     values = F.transform(_bind(_codes(string), _steps), lambda s: F.element_at(ratios, s))
     kind = "struct<i:int,now:double,lo:int,best:double,hi:int,out:array<struct<lo:int,hi:int>>>"
     state = lambda i, now, lo, best, hi, out: F.struct(i.alias("i"), now.alias("now"), lo.alias("lo"), best.alias("best"), hi.alias("hi"), out.alias("out")).cast(kind)
@@ -144,7 +202,20 @@ def _segments(string: Column, ratios: Column, least: float) -> Column:
         return F.when((now <= 0) | (now <= a["best"] - least), over).otherwise(on)
 
     nullable = F.when(F.length(string) >= 0, state(zero, none, zero, none, zero, F.array().cast("array<struct<lo:int,hi:int>>")))
-    return F.aggregate(values, nullable, step, out)
+    found = F.aggregate(values, nullable, step, out)
+
+    def whole(x: Column) -> Column:
+        before = F.regexp_extract(string.substr(F.lit(1), x["lo"]), "(?<![A-Za-z0-9])[A-Za-z0-9]++$", 0)
+        after = F.regexp_extract(string.substr(x["hi"] + 1, F.length(string)), "^[A-Za-z0-9]++", 0)
+        return F.struct((x["lo"] - F.length(before)).alias("lo"), (x["hi"] + F.length(after)).alias("hi"))
+
+    def join(a: Column, x: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        one = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        meets = (F.size(a) > 0) & (x["lo"] <= last["hi"])
+        return F.when(meets, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(one))).otherwise(F.concat(a, F.array(x))).cast("array<struct<lo:int,hi:int>>")
+
+    return _bind(found, lambda f: F.when(F.size(f) == 0, f).otherwise(F.aggregate(F.transform(f, whole), F.slice(f, 1, 0), join)))
 
 
 def _markov(text: Column, model: list[float], least: float) -> Column:

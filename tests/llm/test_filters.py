@@ -155,6 +155,15 @@ def test_secrets_beside_ordinary_text(spark):
     assert not any(k[4:-4] in clean[i] for i in clean for k in keys) and access not in clean[3]
 
 
+def test_ordinary_strings_are_no_secrets(spark):
+    """Rules of separators, rare letters, digits in names, dates, paths and alphabets are left alone."""
+    texts = [*(c * 20 for c in "-_=+/a"), "-=-=" * 10, "+---+---+---+-----+", "requestHandlerQueueWorkerVersion", "query_size_zero_value_view_window", "2024-01-15T10-20-30-000000", "/wiki/Special/RecentChanges"]
+    texts += ["node_modules/jquery-ui/dist/jquery-3-7-1-min", "XMLHttpRequestFactoryBuilder", "utf8mb4_general_ci_v2", "getUserByIdV2Async", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "1234567890123456789", "Donaudampfschifffahrtsgesellschaft", "/questions/11227809/why-is-processing"]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id int, text string")
+    found = secrets.scan(df, secrets.train(secrets.samples(spark))).select("doc_id", F.explode(F.filter("spans", lambda x: x["kind"] == "markov"))).collect()
+    assert [texts[r.doc_id] for r in found] == []
+
+
 def test_secret_scan_runs_no_python(spark):
     plan = queries.QUERIES["op4_secret_scans"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
