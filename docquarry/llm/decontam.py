@@ -187,12 +187,13 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, hits: str, bench: Benchm
         best = np.zeros(n, np.int64)
         np.maximum.at(best, doc, length)
         start, stop = at.astype(np.int64), (at + size).astype(np.int64)
-        pair = np.unique(doc * max(len(bench.ids), 1) + item) if len(at) else np.zeros(0, np.int64)
-        item_doc, item = pair // max(len(bench.ids), 1), pair % max(len(bench.ids), 1)
+        ids, number = np.unique(bench.ids, return_inverse=True)  # an id may have several texts
+        pair = np.unique(doc * max(len(ids), 1) + number[item]) if len(at) else np.zeros(0, np.int64)
+        item_doc, item = pair // max(len(ids), 1), pair % max(len(ids), 1)
         base = w.bounds[:-1]
         d, a, b = _merged(doc, start, stop)
         spans = _lists(np.searchsorted(d, np.arange(n + 1)), pa.StructArray.from_arrays([pa.array(a - base[d], pa.int64()), pa.array(b - base[d], pa.int64())], ["first", "stop"]))
-        items = _lists(np.searchsorted(item_doc, np.arange(n + 1)), pa.array(bench.ids[item] if len(item) else item, pa.int64()))
+        items = _lists(np.searchsorted(item_doc, np.arange(n + 1)), pa.array(ids[item] if len(item) else item, pa.int64()))
         new = pa.StructArray.from_arrays([pa.array(np.diff(w.bounds), pa.int64()), spans, items, pa.array(best)], [f.name for f in _HITS])
         for out in rows.append_column(hits, new).cast(schema).to_batches():
             yield out

@@ -111,6 +111,14 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert {r.doc_id for r in decontam.remove_contaminated(odd, bench).collect()} == {4, 5, 8, 9, 10, 1, 2, 3, None} - {r.doc_id for r in odd.collect() if r.text and 20 * hit_words(r.text, [x for x in items if x[0]])[1] >= len(ALNUM.findall(lower(r.text))) > 0}
 
 
+def test_item_with_two_texts_counts_once(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(14)) for c in "ab")
+    bench = spark.createDataFrame([(7, one), (7, two), (3, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{one} and {two}")], "doc_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 10):
+        assert decontam.scan(docs, bench, block_bytes=block).first().hits.hit_items == [3, 7]
+
+
 BASE = (
     ("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18),
