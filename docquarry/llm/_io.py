@@ -5,19 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows a JVM-to-Python batch may hold; texts are long, so Spark's 10,000 would be tens of MB.
-ARROW_ROWS = 1000
+#: Rows and bytes that a batch from the JVM to Python may hold; texts are long, so Spark's 10,000 rows would be tens of MB.
+ARROW_ROWS, ARROW_BYTES = 1000, 1 << 20
 #: Folders of local sessions without a shared folder, by application.
 _LOCAL: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> None:
-    """Bounds Arrow batches unless the session has a bound of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the session's Arrow batches, where it has no bounds of its own; they are read when a frame runs, so they stay."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", str((1 << 31) - 1), ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) in (default, f"{default}b"):
+            spark.conf.set(key, str(own))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
+#: Where the tables of written() are.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: it cuts lineage and outlives lost executors.
+
+    The tables of the frames in `drop`, from calls before, are deleted once this one stands: nothing may read them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for old in drop:
+        dropped(old)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of finished steps
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(old: DataFrame) -> None:
+    """Deletes a table of written()."""
+    sc, path = old.sparkSession.sparkContext, _PATHS.pop(old)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 4096
 
 _U = np.uint64
@@ -38,18 +38,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _MULT)
-_POW: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of an array, sorted."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", int(_MULT)), ("down", pow(int(_MULT), -1, 1 << 64))):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _POW[name] = np.cumprod(p, dtype=_U)
-    return _POW["up"], _POW["down"]
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _MULT)
+#: Bytes that are hashed at once.
+STRIDE = 1 << 17
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(STRIDE, base, _U)]), dtype=_U) for base in (int(_MULT), pow(int(_MULT), -1, 1 << 64)))
+
+
+def _word_hashes(low: np.ndarray, inside: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words; those that reach over several strides are put together from their parts."""
+    out = (stop - start).astype(_U)
+    for lo in range(0, len(low), STRIDE):
+        hi = min(lo + STRIDE, len(low))
+        a, b = np.searchsorted(stop, lo, "right"), np.searchsorted(start, hi)
+        if a == b:
+            continue
+        x = _BYTE[low[lo:hi]]
+        x *= _UP[: hi - lo]
+        x *= inside[lo:hi]
+        at = np.maximum(start[a:b], lo) - lo
+        part = np.add.reduceat(x, at) * _DOWN[at]
+        if start[a] < lo:
+            part[:1] *= _U(pow(int(_MULT), lo - int(start[a]), 1 << 64))
+        out[a:b] += part
+    return mix(out)
 
 
 class Words:
@@ -77,14 +96,7 @@ class Words:
         #: word range of text i: bounds[i]:bounds[i+1]
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
-        if len(self.start):
-            up, down = _powers(n)
-            x = _BYTE[self.low]
-            x *= up[:n]
-            x *= inside
-            self.hash = mix(np.add.reduceat(x, self.start) * down[self.start] + (self.stop - self.start).astype(_U))
-        else:
-            self.hash = np.zeros(0, _U)
+        self.hash = _word_hashes(self.low, inside, self.start, self.stop)
 
     def strings(self, index: np.ndarray) -> pa.Array:
         """The lower-cased words at these positions, as an Arrow string array."""
