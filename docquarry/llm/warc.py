@@ -9,6 +9,9 @@ Bundles live as rows of a Parquet table in the shared folder, since only Spark's
 every store and commit a task's output once, however often the task runs; export() writes them as
 files. Bundles and frames have bounded sizes, but a single record may be longer.
 
+Record identifiers carry the page id and the row's number in its scan, so that repeated rows differ and
+a revisit knows the identifier that it refers to. Reading goes through index and seek table.
+
 Equal payloads: `response` is the record of the smallest page id, others are `revisit` records that
 refer to it. Equality is that of the SHA-256 digest. Groups are reduced before they are shuffled
 (min with map-side combine), and the way back is a plain join, whose skew AQE splits.
@@ -26,6 +29,7 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -47,8 +51,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, number: int) -> str:
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:anonymous:{number}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """The identifier of one record: `row` is different for every row of the table, also for repeated ones."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
 
 
 def record(kind: str, ident: str, url: str | None, payload: bytes, extra: list[tuple[str, str]]) -> bytes:
@@ -152,20 +157,18 @@ def _bundled(batches: Iterator[pa.RecordBatch], frame_bytes: int, bundle_bytes:
         return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary()), pa.array([entries], schema.field("entries").type)], schema=schema)
 
     bundle, entries = Bundle(frame_bytes), []
-    number = 0
     for batch in batches:
-        ids, urls, pages, firsts = (column(batch, c).to_pylist() for c in ("page_id", "url", "html", "first"))
-        for page, url, html, first in zip(ids, urls, pages, firsts, strict=True):
+        ids, rows, urls, pages, firsts, first_rows = (column(batch, c).to_pylist() for c in ("page_id", "row", "url", "html", "first", "first_row"))
+        for page, row, url, html, first, first_row in zip(ids, rows, urls, pages, firsts, first_rows, strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
-            number += 1
-            ident = record_id(page, number)
+            ident = record_id(page, row)
             extra = [("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
             if page is not None:
                 extra.append(("X-Page-ID", str(page)))
             if first is None:
                 data = record("response", ident, url, payload, extra)
             else:
-                extra += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, 0))]
+                extra += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, first_row))]
                 data = record("revisit", ident, url, payload, extra)
             entries.append((ident, page, *bundle.add(data)))
             entries[-1] = dict(zip(("record_id", "page_id", "frame", "offset", "length"), entries[-1], strict=True))
@@ -180,11 +183,13 @@ def write_bundles(pages: DataFrame, ids: str = "page_id", url: str = "url", payl
     """A table of bundles (bundle_id, bundle, entries) in the shared folder, one record for each row of `pages`."""
     rows = pages.select(F.col(ids).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
     body = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = rows.withColumn("digest", F.sha2(body, 256))
-    firsts = keyed.where("page_id is not null").where(F.octet_length(body) >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # a scan numbers its rows by partition and place, so both sides of the join agree on them
+    keyed = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(body, 256))
+    large = F.octet_length(body) >= least
+    firsts = keyed.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     marked = keyed.join(firsts, "digest", "left")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    marked = marked.select("page_id", "url", "html", F.when(F.octet_length(body) >= least, refers).alias("first"))
+    refers = large & (F.col("page_id") != F.col("first.page_id"))
+    marked = marked.select("page_id", "row", "url", "html", *(F.when(refers, F.col(f"first.{c}")).alias(f"first{n}") for c, n in (("page_id", ""), ("row", "_row"))))
     return written(marked.mapInArrow(lambda it: _bundled(it, frame_bytes, bundle_bytes), _BUNDLES), "bundles")
 
 
@@ -200,26 +205,34 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "bundle_id", "frame", "offset")
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int64())
     schema = pa.schema(list(zip(names, types, strict=True)))
+    page_of = lambda ident: int(ident.split(":")[2])
     for batch in batches:
-        for ident, data in zip(column(batch, "bundle_id").to_pylist(), column(batch, "bundle"), strict=True):
+        for ident, data, entries in zip(column(batch, "bundle_id").to_pylist(), column(batch, "bundle"), column(batch, "entries"), strict=True):
             bundle = data.as_py()
-            for k, frame in enumerate(seek_table(bundle)):
-                plain, at, out = read_frame(bundle, frame), 0, []
-                while at < len(plain):
+            frames = seek_table(bundle)
+            for k, records in groupby(entries.as_py(), lambda e: e["frame"]):
+                plain, out, done = read_frame(bundle, frames[k]), [], 0
+                for e in records:
+                    at = e["offset"]
                     fields, block, end = parse(plain, at)
+                    if fields["WARC-Record-ID"] != e["record_id"] or end - at != e["length"] or at != done:
+                        raise ValueError(f"the index differs from the bundle at {e['record_id']}")
+                    done = end
                     body = block.split(b"\r\n\r\n", 1)[1]
                     said, length = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                     if fields["WARC-Type"] == "response" and (digest(body) != said or len(body) != length):
                         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
                     page, refers = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
-                    out.append((int(page) if page else None, length, said, fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None, fields.get("WARC-Target-URI"), body if payloads and fields["WARC-Type"] == "response" else None, ident, k, at))
-                    at = end
+                    out.append((int(page) if page else None, length, said, fields["WARC-Type"], page_of(refers) if refers else None, fields.get("WARC-Target-URI"), body if payloads and fields["WARC-Type"] == "response" else None, ident, k, at))
+                if done != len(plain):
+                    raise ValueError(f"frame {k} of {ident} has records that the index lacks")
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles, frame by frame; response payloads are checked against their digests. A revisit's payload is null."""
-    return bundles.select("bundle_id", "bundle").mapInArrow(lambda it: _read(it, payloads), _RECORDS)
+    """Every record of the bundles, each at its place by index and seek table; a frame is decompressed once. Response payloads are
+    checked against their digests, and the index against the records. A revisit's payload is null."""
+    return bundles.select("bundle_id", "bundle", "entries").mapInArrow(lambda it: _read(it, payloads), _RECORDS)
 
 
 def export(bundles: DataFrame, folder: str) -> None:
@@ -241,4 +254,11 @@ def export(bundles: DataFrame, folder: str) -> None:
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say of every page, after all of them were written and read back."""
     bundles = write_bundles(table(spark, sf_dir, "pages"))
-    return read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle_id", "frame", "offset")
+    return read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(x, {5 * k + 1}, 5))::bigint >> {s} & 31)::int + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))
+OP7_SQL = f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as x, min(page_id) over (partition by h) as f from p)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id <> f then 'revisit' else 'response' end as record_type, case when page_id <> f then f end as refers_to from d"""
