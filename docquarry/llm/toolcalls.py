@@ -20,13 +20,17 @@ call_id, tool and arguments; a result has role `tool` and call_id; others have n
    beyond those that JSON needs, numbers as integers or shortest decimals.
 
 Defined cases: null conversations or identifiers link with nothing; a null turn counts as 0;
-repeated rows each give a row, the later ones as duplicates; null texts are JSON null; empty
-tables give empty results.
+repeated rows each give a row, the later ones as duplicates; null texts are JSON null; arguments
+that are no JSON, nest too deep or have numbers beyond doubles are serialised as the string that
+they are, with the error `$: not JSON`; lone surrogates stay escaped; null tools make no call; other
+columns are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,17 +41,27 @@ from ._io import table, written
 from ._text import column
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _quoted(text: str) -> str:
+    """A JSON string; lone surrogates, which UTF-8 can't hold, stay escaped."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
+
+
 def canonical(value) -> str:
     """Canonical JSON of a parsed value; non-finite numbers are refused."""
+    if isinstance(value, str):
+        return _quoted(value)
     if isinstance(value, float):
-        if value != value or value in (float("inf"), float("-inf")):
+        if not math.isfinite(value):
             raise ValueError("a number isn't finite")
         return str(int(value)) if value.is_integer() and abs(value) < 2**53 else repr(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value)) + "}"
+        return "{" + ",".join(f"{_quoted(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return json.dumps(value)
 
 
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -55,7 +69,9 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        if isinstance(value, float):
+            return kind == "number" or value.is_integer()
+        return isinstance(value, int) and not isinstance(value, bool)
     return isinstance(value, _KINDS[kind])
 
 
@@ -65,7 +81,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):  # true isn't 1
         out.append(f"{at}: enum")
     if isinstance(value, str):
         out += [f"{at}: {rule}" for rule, bad in (("minLength", len(value) < schema.get("minLength", 0)), ("maxLength", len(value) > schema.get("maxLength", len(value)))) if bad]
@@ -93,22 +109,21 @@ def _serialised(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict], sch
     for batch in batches:
         valid, errors, texts = [], [], []
         for role, text, call, tool, arguments, depends, is_call in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
-            message: dict = {"role": role, "content": text}
-            wrong = None
+            wrong, more = None, ""
             if is_call:
                 try:
                     parsed = json.loads(arguments, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+                    said = canonical(parsed)
                     wrong = violations(parsed, schemas[tool]) if tool in schemas else ["$: unknown tool"]
                 except (TypeError, ValueError, RecursionError):
-                    parsed, wrong = arguments, ["$: not JSON"]
-                message["tool_call"] = {"id": call, "name": tool, "arguments": parsed}
-                if depends:
-                    message["tool_call"]["depends_on"] = sorted(set(depends))
+                    said, wrong = canonical(arguments), ["$: not JSON"]
+                waits = f'"depends_on":{canonical(sorted({x for x in depends if x is not None}))},' if depends else ""
+                more = f',"tool_call":{{"arguments":{said},{waits}"id":{canonical(call)},"name":{canonical(tool)}}}'
             elif call is not None:
-                message["tool_call_id"] = call
+                more = f',"tool_call_id":{canonical(call)}'
             valid.append(None if wrong is None else not wrong)
-            errors.append(wrong or [])
-            texts.append(canonical(message))
+            errors.append([_LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", x) for x in wrong or []])
+            texts.append(f'{{"content":{canonical(text)},"role":{canonical(role)}{more}}}')
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], schema=schema)
 
 
@@ -159,7 +174,9 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     waits = pairs.where("call is not null").select("conv_id", name("call").alias("node"), F.explode(F.array_distinct("call.depends_on")).alias("on")).select("node", name("result", "on").alias("of"))
     places = _places(nodes, answers.union(waits))
     known = pairs.select("conv_id", "call_id", F.col("call.row").alias("call_row"), F.col("result.row").alias("result_row"))
-    out = rows.join(known, ["conv_id", "call_id"], "left")
+    # rows without a key join nothing: they stay out of joins, where they would be one hot key
+    alone = rows.where(f"not ({keyed})").select(*rows.columns, F.lit(None).cast("long").alias("call_row"), F.lit(None).cast("long").alias("result_row"))
+    out = rows.where(keyed).join(known, ["conv_id", "call_id"]).select(*rows.columns, "call_row", "result_row").unionByName(alone)
     kind = F.when(F.col("is_call"), F.lit("call")).when(F.col("is_result"), F.lit("result"))
     out = out.withColumn("node", F.when((F.col("row") == F.col("call_row")) | (F.col("row") == F.col("result_row")), F.when(kind == "call", name("call")).otherwise(name("result"))))
     status = (
@@ -170,7 +187,9 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .when(F.col("is_call"), "unanswered")
         .otherwise("orphan")
     )
-    placed = out.withColumn("status", status).join(places, "node", "left")
+    out = out.withColumn("status", status)
+    nowhere = out.where("node is null").select(*out.columns, *(F.lit(None).cast("long").alias(c) for c in ("position", "hops")))
+    placed = out.where("node is not null").join(places, "node").select(*out.columns, "position", "hops").unionByName(nowhere)
     lost = F.col("node").isNotNull() & F.col("position").isNull()
     placed = placed.select(
         "conv_id", "turn", "role", "text", "call_id", "tool", "arguments", "depends_on", "is_call",
@@ -188,9 +207,11 @@ ASK = {"ask": {"type": "object", "properties": {"query": {"type": "string", "min
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
-    """Messages of plain conversations: a user turn calls tool `ask`, waiting for the answer of two turns before; the assistant's next turn is its result."""
+    """Messages of plain conversations: a user turn calls tool `ask`, the assistant's next turn is its result. Every other call
+    waits for the answer to the call after it, so that it must be moved; the calls in between wait for the one before the last."""
     ident = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
     user, assistant, turn = F.col("role") == "user", F.col("role") == "assistant", F.col("turn")
+    early = F.floor(turn / 2) % 2 == 0
     return conversations.select(
         "conv_id",
         "turn",
@@ -199,7 +220,7 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
         F.when(user, ident(turn)).when(assistant, ident(turn - 1)).alias("call_id"),
         F.when(user, "ask").alias("tool"),
         F.when(user, F.to_json(F.struct(F.col("text").alias("query"), turn.alias("turn")))).alias("arguments"),
-        F.when(user & (turn > 1), F.array(ident(turn - 2))).alias("depends_on"),
+        F.when(user & early, F.array(ident(turn + 2))).when(user & (turn >= 4), F.array(ident(turn - 4))).alias("depends_on"),
     )
 
 
@@ -207,3 +228,22 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation as a linked, placed, validated message in canonical JSON."""
     linked = link(from_conversations(table(spark, sf_dir, "conversations")), ASK)
     return linked.select("conv_id", "turn", "call_id", "status", "position", "hops", "valid", F.array_join("errors", "; ").alias("errors"), "json")
+
+
+#: The same in DuckDB, for conversations whose turns occur once.
+OP8_SQL = """
+with m as (select *, role = 'user' as u, role = 'assistant' as a from conversations),
+t as (select m.*, floor(m.turn / 2)::bigint % 2 = 0 as early,
+ exists (select 1 from m o where o.conv_id = m.conv_id and o.a and o.turn = m.turn + 1) as answered,
+ exists (select 1 from m o where o.conv_id = m.conv_id and o.u and o.turn = m.turn - 1) as called,
+ exists (select 1 from m o where o.conv_id = m.conv_id and o.a and o.turn = m.turn + 3) as three,
+ exists (select 1 from m o where o.conv_id = m.conv_id and o.a and o.turn = m.turn + 2) as two from m),
+c as (select *, case when u and early and three then 1 when a and called and floor((turn - 1) / 2)::bigint % 2 = 0 and two then 2 else 0 end as hops,
+ case when u then 'call-' || conv_id || '-' || turn when a then 'call-' || conv_id || '-' || (turn - 1) end as call_id,
+ case when u and early then 'call-' || conv_id || '-' || (turn + 2) when u and turn >= 4 then 'call-' || conv_id || '-' || (turn - 4) end as waits,
+ case when u and text is null then '$.query: required' when u and text = '' then '$.query: minLength' else '' end as errors from t)
+select conv_id, turn, call_id, case when u then case when answered then 'linked' else 'unanswered' end when a then case when called then 'linked' else 'orphan' end else 'message' end as status,
+ turn + case hops when 1 then 3 when 2 then 2 else 0 end as position, hops::bigint as hops, case when u then errors = '' end as valid, errors,
+ '{"content":' || case when u or text is null then 'null' else to_json(text)::varchar end || ',"role":' || case when a then '"tool"' else to_json(role)::varchar end
+ || case when u then ',"tool_call":{"arguments":{' || case when text is null then '' else '"query":' || to_json(text)::varchar || ',' end || '"turn":' || turn || '},' || case when waits is null then '' else '"depends_on":["' || waits || '"],' end
+ || '"id":"' || call_id || '","name":"ask"}' when a then ',"tool_call_id":"' || call_id || '"' else '' end || '}' as json from c"""
