@@ -1,18 +1,22 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Each chunk of documents (a shard of a few MB, never a collected group) gets a suffix array
-over its words. Suffixes are ordered by the hashes of their words, three words packed in one
-64-bit key; ties are refined three words further on, among the tied suffixes alone, until
-`window` words have been told apart. Every window of the benchmark is then binary-searched
-in every shard, which gives the range of suffixes that begin with it, hence all its verbatim
-occurrences and their places; each occurrence is checked on full word hashes and extended to
-the longest verbatim match.
+Each chunk of documents (a shard of a few MB, never a collected group) gets a suffix array over its
+words, numbered within the shard, with a mark between documents. It is ordered by prefix doubling
+as deep as the longest benchmark item. Every suffix of the benchmark is then binary-searched in
+every shard, word by word: the range of suffixes that begin with its first d words shrinks as d
+grows, until it is empty. The ranges give the verbatim matches and their places: at `window` words
+the occurrences of windows, and all along the longest match at each place.
 
-Nothing is shuffled. The benchmark travels to the tasks in blocks of bounded size, one pass
-of the same scan for each block, so a benchmark of any size works.
+Ranges of one depth are the same or apart, so each place is met once for each depth, however often
+the benchmark or the documents repeat themselves. Occurrences mark words in a difference array.
+
+Nothing is shuffled. The benchmark travels to the tasks in blocks of about BLOCK_BYTES of text (one
+item at least), one at a time: with several blocks, each pass adds to the results of the one
+before, which are written to the shared folder.
 
 Null or empty texts have no words: they are never hit and hit nothing. Benchmark rows with a
-null id take no part. Repeated item ids count once, repeated document rows each give a row.
+null id take no part. Repeated item ids count once, also with different texts and whatever the
+blocks; repeated document rows each give a row.
 """
 
 from __future__ import annotations
@@ -25,130 +29,151 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import table
-from ._text import ALNUM, Words, buffers, column, gathered
+from ._io import table, written
+from ._text import ALNUM, Words, buffers, column, distinct, gathered, mix
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that go to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that go to the tasks at once, and of documents that share a suffix array.
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: A document is contaminated if one word in this many is hit.
 SHARE = 20
 
 _U = np.uint64
-_BITS = _U(21)
-
-
-def _packed(h: np.ndarray) -> np.ndarray:
-    """Key of three words from each position on; past the end counts as zeros."""
-    x = np.zeros(len(h) + 2, _U)
-    x[: len(h)] = h >> _U(43)
-    return (x[:-2] << _U(42)) | (x[1:-1] << _BITS) | x[2:]
-
-
-class SuffixArray:
-    """Suffixes of a word sequence, ordered by `depth` words at least."""
-
-    def __init__(self, hashes: np.ndarray, doc: np.ndarray, depth: int):
-        self.hash, self.doc, self.n = hashes, doc, len(hashes)
-        self.key = np.concatenate([_packed(hashes), np.zeros(depth + 3, _U)])
-        self.order = np.argsort(self.key[: self.n])
-        first = self.key[self.order]
-        group = np.zeros(self.n, np.int64)
-        if self.n:
-            group[1:] = np.cumsum(first[1:] != first[:-1])
-        at = np.arange(self.n)  # places of the order that are still tied
-        for done in range(3, depth, 3):
-            tied = np.zeros(len(at), bool)
-            tied[1:] = group[1:] == group[:-1]
-            tied[:-1] |= tied[1:]
-            at, group = at[tied], group[tied]
-            if not len(at):
-                break
-            pos = self.order[at]
-            key = self.key[pos + done]
-            by = np.lexsort((key, group))
-            self.order[at] = pos[by]
-            key, group = key[by], group[by]
-            new = np.ones(len(at), bool)
-            new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-            group = np.cumsum(new)
-        self.first = self.key[self.order]
-
-    def ranges(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For windows given by their packed keys (a row each) and sizes in words: lower and upper places."""
-        shift = np.where(sizes >= 3, 0, 21 * (3 - sizes)).astype(_U)
-        short = shift > 0
-        lo = np.searchsorted(self.first, keys[:, 0] >> shift << shift, "left")
-        hi = np.searchsorted(self.first, keys[:, 0] | ((_U(1) << shift) - _U(1)), "right")
-        more = np.flatnonzero((lo < hi) & ~short)
-        for step in range(1, keys.shape[1]):
-            more = more[(sizes[more] > 3 * step) & (lo[more] < hi[more])]
-            if not len(more):
-                break
-            left = np.minimum(sizes[more] - 3 * step, 3)
-            cut = (21 * (3 - left)).astype(_U)
-            want = keys[more, step] >> cut
-            ends = []
-            for upper in (False, True):
-                a, b = lo[more].copy(), hi[more].copy()
-                while (open_ := a < b).any():
-                    mid = (a + b) >> 1
-                    got = self.key[self.order[np.minimum(mid, self.n - 1)] + 3 * step] >> cut
-                    right = open_ & ((got <= want) if upper else (got < want))
-                    a = np.where(right, mid + 1, a)
-                    b = np.where(open_ & ~right, mid, b)
-                ends.append(a)
-            lo[more], hi[more] = ends
-        return lo, hi
+
+
+def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
+    """Places of a sequence of numbers (0 or more), ordered by `depth` numbers at least."""
+    n = len(seq)
+    bits = 21 if n == 0 or int(seq.max()) < 1 << 21 else 31
+    done = 63 // bits
+    padded = np.concatenate([seq, np.zeros(done, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(done):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n + 1, bool)  # whether a place of the order begins a group; the end does
+    new[1:n] = key[1:] != key[:-1]
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0)) if n else order
+    while done < depth:
+        at = np.flatnonzero(~(new[:-1] & new[1:]))  # groups of several
+        if not len(at):
+            break
+        pos = order[at]
+        group, then = rank[pos], rank[np.minimum(pos + done, n)]
+        by = np.argsort(group * (n + 2) + then)
+        pos, then, group = pos[by], then[by], group[by]
+        order[at] = pos
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (then[1:] != then[:-1])
+        new[at[fresh]] = True
+        rank[pos] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        done *= 2
+    return order
 
 
 class Benchmark:
-    """Distinct windows of benchmark items, as hashes and packed keys."""
+    """Words of benchmark items laid end to end, as numbers into the sorted hashes `vocabulary`."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
-        buf, offsets = buffers(pa.array(texts, pa.string()))
+    def __init__(self, rows: pa.Table, window: int):
+        buf, offsets = buffers(column(rows, "t"))
         w = Words(buf, offsets, ALNUM)
-        count = np.diff(w.bounds)
-        start, size, item = [], [], []
-        for i, n in enumerate(count):
-            m = min(int(n), window)
-            if m:
-                s = np.arange(n - m + 1) + w.bounds[i]
-                start.append(s)
-                size.append(np.full(len(s), m))
-                item.append(np.full(len(s), i))
-        self.window, self.text_hash = window, np.concatenate([w.hash, np.zeros(window, _U)])
-        self.ids = np.array(ids, np.int64)
-        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        self.start, self.size, self.item = cat(start), cat(size), cat(item)
-        self.stop = w.bounds[1:][self.item] if len(self.item) else self.item
-        packed = np.concatenate([_packed(w.hash), np.zeros(window + 3, _U)])
-        self.keys = np.stack([packed[self.start + 3 * k] for k in range(-(-window // 3))], 1) if len(self.start) else np.zeros((0, 1), _U)
-
-
-def _shard_hits(w: Words, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences: first word, number of words of the window, item number, words of the longest match from there."""
-    sa = SuffixArray(w.hash, w.doc, bench.window)
-    lo, hi = sa.ranges(bench.keys, bench.size) if sa.n else (np.zeros(0, int),) * 2
-    found = np.flatnonzero(lo < hi) if sa.n else np.zeros(0, int)
-    n = hi[found] - lo[found] if len(found) else np.zeros(0, int)
-    win = np.repeat(found, n)
-    at = sa.order[np.arange(n.sum()) + np.repeat(lo[found] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int), n)] if len(found) else np.zeros(0, int)
-    good = np.ones(len(at), bool)
-    size = bench.size[win]
-    for k in range(bench.window):  # full hashes, and within one document
-        p = np.minimum(at + k, max(sa.n - 1, 0))
-        good &= (k >= size) | ((at + k < sa.n) & (w.doc[p] == w.doc[at]) & (w.hash[p] == bench.text_hash[bench.start[win] + k]))
-    at, win, size = at[good], win[good], size[good]
-    length, open_ = size.copy(), np.arange(len(at))
-    while len(open_):  # longest verbatim match from each occurrence on
-        p, q = at[open_] + length[open_], bench.start[win[open_]] + length[open_]
-        ok = (p < sa.n) & (q < bench.stop[win[open_]])
-        open_, p, q = open_[ok], p[ok], q[ok]
-        ok = (w.doc[p] == w.doc[at[open_]]) & (w.hash[p] == bench.text_hash[q])
-        open_ = open_[ok]
-        length[open_] += 1
-    return at, size, bench.item[win], length
+        size = np.diff(w.bounds)
+        self.vocabulary = distinct(w.hash)
+        self.word = np.searchsorted(self.vocabulary, w.hash).astype(np.int32)
+        self.ids, number = np.unique(column(rows, "i").to_numpy(), return_inverse=True)
+        self.item = number[w.doc].astype(np.int32)
+        self.stop = w.bounds[1:][w.doc].astype(np.int32)
+        self.longest = int(size.max(initial=0))
+        #: words of the window that begins at each word, or 0
+        self.size = np.where(np.arange(len(w.hash)) + window <= self.stop, window, 0).astype(np.int32)
+        few = np.flatnonzero((size > 0) & (size < window))
+        self.size[w.bounds[few]] = size[few]
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ranges, and the number of the range of each."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.arange(n.sum()) + np.repeat(lo - ends + n, n), np.repeat(np.arange(len(n)), n)
+
+
+class Shard:
+    """A suffix array over the words of some documents, and what a benchmark has in it."""
+
+    def __init__(self, w: Words, depth: int):
+        self.hashes, number = np.unique(w.hash, return_inverse=True)
+        docs = len(w.bounds) - 1
+        self.seq = np.zeros(len(number) + docs + 1, np.int64)  # 0 ends a document
+        self.seq[np.arange(len(number)) + w.doc] = number + 1
+        self.bounds = w.bounds + np.arange(docs + 1)
+        self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
+        self.order = suffix_array(self.seq[:-1], depth)
+        count = np.bincount(self.seq[:-1], minlength=len(self.hashes) + 2)
+        self.begin = np.cumsum(count) - count
+
+    def _narrowed(self, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> np.ndarray:
+        """The first place of each range, ordered behind `depth` words, whose next word is `want` or more."""
+        a, b = lo.copy(), hi.copy()
+        live = np.flatnonzero(a < b)
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            less = self.seq[np.minimum(self.order[mid] + depth, len(self.seq) - 1)] < want[live]
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
+        return a
+
+    def search(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word, the length of the longest match from there; how many windows cover it; and pairs (document, item) as
+        sorted numbers document * items + item."""
+        n, items = len(self.seq), max(len(bench.ids), 1)
+        longest, cover, pairs = np.zeros(n, np.int32), np.zeros(n + 1, np.int64), []
+        at = np.searchsorted(self.hashes, bench.vocabulary)
+        at[at == len(self.hashes)] = 0
+        known = np.where(self.hashes[at] == bench.vocabulary, at + 1, 0) if len(self.hashes) else at * 0
+        word = known[bench.word]
+        q = np.flatnonzero(word)
+        lo, hi = self.begin[word[q]], self.begin[word[q] + 1]
+        depth = 1
+        while len(q):
+            some, first = np.unique(lo, return_index=True)
+            here, number = _spread(some, hi[first])
+            here = self.order[here]
+            longest[here] = depth  # ranges are nested, so depths only grow
+            whole = np.flatnonzero(bench.size[q] == depth)
+            if len(whole):
+                of = np.searchsorted(some, lo[whole])
+                mine = np.zeros(len(some), bool)
+                mine[of] = True
+                hit = mine[number]
+                start = here[hit]
+                cover += np.bincount(start, minlength=n + 1) - np.bincount(start + depth, minlength=n + 1)
+                pairs.append(_paired(distinct(self.doc[start] * len(some) + number[hit]), distinct(of * items + bench.item[q[whole]]), len(some), items))
+            on = q + depth < bench.stop[q]
+            q, lo, hi = q[on], lo[on], hi[on]
+            want = word[q + depth]
+            on = want > 0
+            q, lo, hi, want = q[on], lo[on], hi[on], want[on]
+            lo = self._narrowed(lo, hi, depth, want)
+            hi = self._narrowed(lo, hi, depth, want + 1)
+            on = lo < hi
+            q, lo, hi = q[on], lo[on], hi[on]
+            depth += 1
+        return longest, np.cumsum(cover[:-1]), distinct(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+
+
+def _paired(doc_window: np.ndarray, window_item: np.ndarray, windows: int, items: int) -> np.ndarray:
+    """Pairs document * items + item, from sorted pairs document * windows + window and window * items + item; windows of the same items count as one."""
+    window, item = window_item // items, window_item % items
+    seen, first, n = np.unique(window, return_index=True, return_counts=True)
+    mark = np.add.reduceat(mix(item.astype(_U) + _U(1)), first)
+    _, one, kind = np.unique(mark, return_index=True, return_inverse=True)
+    pair = distinct(doc_window // windows * len(one) + kind[np.searchsorted(seen, doc_window % windows)])
+    doc, kind = pair // len(one), pair % len(one)
+    where, of = _spread(first[one[kind]], (first + n)[one[kind]])
+    return distinct(doc[of] * items + item[where])
 
 
 _HITS = T.StructType(
@@ -165,83 +190,64 @@ def _lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of intervals, document by document; word numbers run through the chunk, so intervals of documents never touch."""
-    if not len(start):
-        return doc, start, stop
-    by = np.lexsort((stop, start))
-    doc, start, stop = doc[by], start[by], stop[by]
-    reach = np.maximum.accumulate(stop)
-    new = np.ones(len(start), bool)
-    new[1:] = (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
-    head = np.flatnonzero(new)
-    return doc[head], start[head], np.maximum.reduceat(stop, head)
+def _entries(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The entries of all lists, and the number of the list of each."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
 
 
-def _scan(batches: Iterator[pa.RecordBatch], text: str, hits: str, bench: Benchmark, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for rows, buf, offsets in gathered(batches, text):
+def _scan(batches: Iterator[pa.RecordBatch], text: str, out: str, bench: Benchmark, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with the struct `out`; one that is there already, of blocks before, is added to."""
+    for rows, buf, offsets in gathered(batches, text, SHARD_BYTES):
         w = Words(buf, offsets, ALNUM)
-        at, size, item, length = _shard_hits(w, bench)
-        doc = w.doc[at] if len(at) else np.zeros(0, np.int64)
-        n = len(offsets) - 1
+        shard = Shard(w, max(window, bench.longest))
+        n, bounds = len(offsets) - 1, shard.bounds
+        longest, cover, pair = shard.search(bench)
+        full = np.flatnonzero(np.diff(bounds))
         best = np.zeros(n, np.int64)
-        np.maximum.at(best, doc, length)
-        start, stop = at.astype(np.int64), (at + size).astype(np.int64)
-        ids, number = np.unique(bench.ids, return_inverse=True)  # an id may have several texts
-        pair = np.unique(doc * max(len(ids), 1) + number[item]) if len(at) else np.zeros(0, np.int64)
-        item_doc, item = pair // max(len(ids), 1), pair % max(len(ids), 1)
-        base = w.bounds[:-1]
-        d, a, b = _merged(doc, start, stop)
-        spans = _lists(np.searchsorted(d, np.arange(n + 1)), pa.StructArray.from_arrays([pa.array(a - base[d], pa.int64()), pa.array(b - base[d], pa.int64())], ["first", "stop"]))
-        items = _lists(np.searchsorted(item_doc, np.arange(n + 1)), pa.array(ids[item] if len(item) else item, pa.int64()))
+        best[full] = np.maximum.reduceat(longest, bounds[full])
+        doc, item = pair // max(len(bench.ids), 1), bench.ids[pair % max(len(bench.ids), 1)]
+        if out in rows.column_names:
+            old = column(rows, out)
+            rows = rows.drop_columns([out])
+            best = np.maximum(best, old.field("longest_match").to_numpy())
+            spans, of = _entries(old.field("hit_spans"))
+            cover[_spread(spans.field("first").to_numpy() + bounds[of], spans.field("stop").to_numpy() + bounds[of])[0]] += 1
+            old_items, of_items = _entries(old.field("hit_items"))
+            both = np.unique(np.stack([np.concatenate([doc, of_items]), np.concatenate([item, old_items.to_numpy()])]), axis=1)
+            doc, item = both[0], both[1]
+        hit = np.concatenate([[False], cover > 0, [False]])
+        first, stop = np.flatnonzero(~hit[:-1] & hit[1:]), np.flatnonzero(hit[:-1] & ~hit[1:])
+        of = shard.doc[first] if len(first) else first
+        spans = _lists(np.searchsorted(of, np.arange(n + 1)), pa.StructArray.from_arrays([pa.array(x - bounds[of], pa.int64()) for x in (first, stop)], ["first", "stop"]))
+        items = _lists(np.searchsorted(doc, np.arange(n + 1)), pa.array(item, pa.int64()))
         new = pa.StructArray.from_arrays([pa.array(np.diff(w.bounds), pa.int64()), spans, items, pa.array(best)], [f.name for f in _HITS])
-        for out in rows.append_column(hits, new).cast(schema).to_batches():
-            yield out
+        yield from rows.append_column(out, new).cast(schema).to_batches()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "hits") -> DataFrame:
     """`docs` with a struct column `out`: n_words; hit_spans, the merged word ranges that windows cover; hit_items, ids of the
-    items with a window in the text, ascending; longest_match, in words.
+    items with a window in the text, ascending; longest_match, the words of the longest verbatim match with an item.
 
     `item_id` must be integral. An existing column named `out` is replaced.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    df, passes = docs.drop(out), []
+    df = docs.drop(out)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, _HITS)])
+    arrow = to_arrow_schema(schema)
+    before = None
     for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        b = Benchmark([r.i for r in part], [r.t for r in part], window)
-        shared = spark.sparkContext.broadcast(b)
-        name = f"__{out}_{k}"
-        passes.append(name)
-        schema = T.StructType([*df.schema.fields, T.StructField(name, _HITS)])
-        arrow = _arrow(schema)
-        df = df.mapInArrow(lambda it, s=shared, n=name, a=arrow: _scan(it, text, n, s.value, a), schema)
-    if blocks == 1:
-        return df.withColumnRenamed(passes[0], out)
-    spans = F.aggregate(F.array_sort(F.concat(*[F.col(f"{p}.hit_spans") for p in passes])), F.lit([]).cast(_HITS["hit_spans"].dataType), _join_span)
-    both = F.struct(
-        F.col(f"{passes[0]}.n_words").alias("n_words"),
-        spans.alias("hit_spans"),
-        F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.hit_items") for p in passes]))).alias("hit_items"),
-        F.greatest(*[F.col(f"{p}.longest_match") for p in passes]).alias("longest_match"),
-    )
-    return df.withColumn(out, both).drop(*passes)
-
-
-def _join_span(done, x):
-    last = F.element_at(done, -1)
-    touch = (F.size(done) > 0) & (x["first"] <= last["stop"])
-    merged = F.struct(last["first"].alias("first"), F.greatest(last["stop"], x["stop"]).alias("stop"))
-    return F.when(touch, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(x)))
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
+        part = Benchmark(bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toArrow(), window)  # a block's bytes
+        shared = spark.sparkContext.broadcast(part)
+        df = df.mapInArrow(lambda it, s=shared: _scan(it, text, out, s.value, window, arrow), schema)
+        if k < blocks - 1:
+            before = df = written(df, "scanned", [before] if before is not None else [])
+            shared.destroy()
+    return df
 
 
 def judged(hits: str = "hits", share: int = SHARE) -> tuple:
@@ -269,5 +275,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hits.hit_items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
         bad.alias("contaminated"),
-        F.col("hits.longest_match").alias("longest_match"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+with b as (select item_id, {_WORDS} as w from benchmark where item_id is not null), d as (select row_number() over () as r, doc_id, coalesce({_WORDS}, []) as w from documents),
+v as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as g from b, unnest(range(1, len(w) - least(len(w), 13) + 2)) as u(i) where len(w) > 0),
+p as (select r, i, n, array_to_string(w[i : i + n - 1], ' ') as g from d, (select distinct n from v) as s, unnest(range(1, len(w) - n + 2)) as u(i)),
+h as (select r, i, p.n, item_id from p join v on p.n = v.n and p.g = v.g),
+x as (select r, count(distinct i + j) as n_hit from h, unnest(range(0, n)) as k(j) group by r),
+y as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct r, item_id from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join x using (r) left join y using (r)"""

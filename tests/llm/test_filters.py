@@ -98,6 +98,46 @@ def test_decontamination_matches_brute_force(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), digest, hit > 0 and 20 * hit >= n)
 
 
+def test_every_suffix_is_searched(spark):
+    """Small alphabets, where everything repeats: spans, items and the longest matches against brute force, whatever the blocks."""
+    import random
+
+    rng = random.Random(3)
+    for trial in range(3):
+        letters, window = (1, 2, 4)[trial], (5, 3, 5)[trial]
+        line = lambda n: " ".join(f"a{rng.randrange(letters)}" for _ in range(rng.randrange(n)))  # noqa: E731, B023
+        texts, items = [line(25) for _ in range(20)], [(rng.randrange(4), line(12)) for _ in range(5)]
+        docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+        for block in (decontam.BLOCK_BYTES, 10):
+            for r in decontam.scan(docs, bench, window=window, block_bytes=block).collect():
+                n, hit, found = hit_words(texts[r.doc_id], items, window)
+                w, longest = texts[r.doc_id].split(), 0
+                for _, t in items:
+                    b = t.split()
+                    for a in range(len(w)):
+                        for c in range(len(b)):
+                            k = 0
+                            while a + k < len(w) and c + k < len(b) and w[a + k] == b[c + k]:
+                                k += 1
+                            longest = max(longest, k)
+                assert (r.hits.n_words, sum(s.stop - s.first for s in r.hits.hit_spans), set(r.hits.hit_items), r.hits.longest_match) == (n, hit, found, longest)
+
+
+def test_decontamination_of_equal_words():
+    """One window that is everywhere: no pairs of occurrences are made."""
+    import time
+
+    import pyarrow as pa
+
+    from docquarry.llm._text import ALNUM, Words, buffers
+
+    bench = decontam.Benchmark(pa.table({"i": pa.array([1], pa.int64()), "t": pa.array(["a " * 400])}), 13)
+    buf, offsets = buffers(pa.array(["a " * 20_000]))
+    began = time.perf_counter()
+    longest, cover, pairs = decontam.Shard(Words(buf, offsets, ALNUM), 400).search(bench)
+    assert time.perf_counter() - began < 1 and longest.max() == 400 and (cover > 0).sum() == 20_000 and pairs.tolist() == [0]
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     items = [(1, "word0 of the text word1 of the text word2 of the text word3 of"), (2, "one"), (3, ""), (4, None), (2, "one"), (None, "of the")]
     bench = spark.createDataFrame(items, "item_id long, text string")
