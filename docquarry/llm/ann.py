@@ -6,9 +6,10 @@ vectors at most, those that come first by hash of the id: k-means with BRANCH ce
 every cluster of over LEAF sampled vectors. Every vector is then indexed in its nearest leaf.
 
 A query walks the tree with a priority queue of nodes by distance to their centres, and visits
-leaves until `visits` are found. `visits` is calibrated: CALIBRATE query vectors are compared by
-brute force with all rows, and visits widen until TARGET of their neighbours are reached (all
-leaves at most, which is exact).
+leaves until there are `visits` of them, and k + 1 candidates in them. `visits` is calibrated:
+CALIBRATE query vectors are compared by brute force with all rows, and visits widen until TARGET of
+their neighbours are reached (all leaves at most, which is exact). A query's own row is none of its
+neighbours there, and a vector counts as often as it asks.
 
 Rows of a leaf are dealt into blocks of about ROWS vectors and its queries into blocks of about
 QUERIES, and each pair of blocks is one matrix product, so no leaf, however large, meets in one
@@ -98,15 +99,17 @@ class Tree:
             todo += [(a + j, rows[of == j]) for j in range(b - a)]
         return out
 
-    def best_first(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves of one query, in the order of a best-bin-first traversal."""
+    def best_first(self, q: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
+        """The leaves of one query in the order of a best-bin-first traversal: `visits`, and more until they hold `least` candidates."""
         found: list[int] = []
+        held = 0
         distance = ((self.centres - q) ** 2).sum(1)
         queue = [(0.0, 0)]
-        while queue and len(found) < visits:
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             if self.first[node] == self.last[node]:
                 found.append(self.leaf_of[node])
+                held += int(sizes[self.leaf_of[node]])
             for child in range(self.first[node], self.last[node]):
                 heapq.heappush(queue, (distance[child], child))
         return found
@@ -195,13 +198,13 @@ def search(vectors: DataFrame, queries, k: int = K, ids: str = "vec_id", vector:
     few = few.withColumn("n", F.row_number().over(once)).where(F.col("n") <= k + 1)
     index = written(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.element_at("members", 1).alias("id"), "v", "members"), "vectors")
     asked = rows.where(queries).select("v", "vec_id")
-    heads = written(asked.groupBy("v").agg(F.min("vec_id").alias("id")), "queries")
+    heads = written(asked.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("askers")), "queries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     top = index.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     if top is None:
         return empty
-    picked = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    tree = Tree(_raised(np.array([r.v for r in picked]), top))
+    picked = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    tree = Tree(_raised(_matrix(column(picked, "v")), top))
     shared = spark.sparkContext.broadcast(tree)
 
     def leaves(it):
@@ -209,18 +212,18 @@ def search(vectors: DataFrame, queries, k: int = K, ids: str = "vec_id", vector:
             leaf = shared.value.descend(_raised(_matrix(column(b, "v")), top))
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", "v", "members")), pa.array(leaf)], ["id", "v", "members", "leaf"])
 
-    def walk(visits: int):
-        def go(it):
-            for b in it:
-                v = _matrix(column(b, "v"))
-                lists = [shared.value.best_first(np.append(q, 0.0), visits) for q in v]
-                yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "v"), pa.array(lists, pa.list_(pa.int64()))], ["id", "v", "leaves"])
+    placed = written(index.mapInArrow(leaves, "id long, v array<double>, members array<long>, leaf long"), "leaves", [index])
+    sizes = np.zeros(tree.leaves, np.int64)  # candidates of each leaf
+    for r in placed.groupBy("leaf").agg(F.sum(F.size("members")).alias("n")).collect():  # no more rows than leaves
+        sizes[r.leaf] = r.n
+    visits = _calibrated(spark, placed, heads, tree, sizes, k, target)
 
-        return go
+    def walk(it):
+        for b in it:
+            lists = [shared.value.best_first(np.append(q, 0.0), visits, sizes, k + 1) for q in _matrix(column(b, "v"))]
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "v"), pa.array(lists, pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
-    placed = written(index.mapInArrow(leaves, "id long, v array<double>, members array<long>, leaf long"), "leaves")
-    visits = _calibrated(spark, placed, heads, tree, top, k + 1, target)
-    asking = heads.mapInArrow(walk(visits), "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf"))
+    asking = heads.select("id", "v").mapInArrow(walk, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf"))
     asking = written(asking, "visits")
     counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("rows_n")).join(asking.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("queries_n")), "leaf")
     counts = F.broadcast(counts)  # leaves of a tree over SAMPLE vectors: never more than those
@@ -237,30 +240,31 @@ def search(vectors: DataFrame, queries, k: int = K, ids: str = "vec_id", vector:
     return each.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _calibrated(spark: SparkSession, placed: DataFrame, heads: DataFrame, tree: Tree, top: float, k: int, target: float) -> int:
-    """Visits that reach `target` of the true neighbours of some queries; the truth comes from all rows, in blocks."""
-    some = heads.orderBy(F.xxhash64("id"), "id").limit(CALIBRATE).collect()
-    if not some:
+def _calibrated(spark: SparkSession, placed: DataFrame, heads: DataFrame, tree: Tree, sizes: np.ndarray, k: int, target: float) -> int:
+    """Visits that reach `target` of the true k neighbours of some queries, their own rows left out; the truth comes from all rows, in blocks."""
+    some = heads.orderBy(F.xxhash64("id"), "id").limit(CALIBRATE).toArrow()
+    if not some.num_rows:
         return tree.leaves
-    q, qid = np.array([r.v for r in some]), np.arange(len(some))
-    shared = spark.sparkContext.broadcast(q)
+    q, qid, askers = _matrix(column(some, "v")), column(some, "id").to_numpy(), column(some, "askers").to_numpy()
+    shared = spark.sparkContext.broadcast((q, qid))
 
     def brute(it):
         for b in it:
             v, leaf = _matrix(column(b, "v")), column(b, "leaf").to_numpy()
             lists = [m.as_py() for m in column(b, "members")]
             where = {x: int(leaf[i]) for i, m in enumerate(lists) for x in m}
-            for a, c, s in _top(shared.value, qid, v, lists, k):
+            for a, c, s in _top(*shared.value, v, lists, k + 1):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s), pa.array([where[x] for x in c.tolist()], pa.int64())], ["query_id", "vec_id", "score", "leaf"])
 
     truth: dict[int, list[int]] = {}
-    for r in _ranked(placed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf long"), k).collect():  # k rows of each calibrating query
-        truth.setdefault(r.query_id, []).append(r.leaf)
+    for r in _ranked(placed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf long"), k + 1).orderBy("query_id", "rank").collect():  # k + 1 rows of each calibrating query
+        if r.vec_id != r.query_id:
+            truth.setdefault(r.query_id, []).append(r.leaf)
     needed = np.zeros(tree.leaves + 1)
-    for j, leaves in truth.items():
-        order = {leaf: n + 1 for n, leaf in enumerate(tree.best_first(np.append(q[j], 0.0), tree.leaves))}
-        for leaf in leaves:
-            needed[order[leaf]] += 1
+    for j, ident in enumerate(qid.tolist()):
+        order = {leaf: n + 1 for n, leaf in enumerate(tree.best_first(np.append(q[j], 0.0), tree.leaves, sizes, 0))}
+        for leaf in truth.get(ident, [])[:k]:
+            needed[order[leaf]] += askers[j]
     reached = np.cumsum(needed) / max(needed.sum(), 1)
     return max(1, int(min(np.searchsorted(reached, target), tree.leaves)))
 
