@@ -11,91 +11,122 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Rewrites whose results must not differ. G stands for a LaTeX gamma, P for a prime.
-_G, _P = r"\\gamma", r"\^\{\s*\\prime\s*\}"
-_PRIMED = rf"\{{\s*{_G}\s*\}}"
-_WORD = r"([A-Za-z]+)"
-_NUM = r"([0-9]+(?:\.[0-9]+)?)"
-_DEG = r"\^\{\s*\\circ\s*\}\\mathrm\{C\}"
-_HOUR = r"\\mathrm\{\s*\\;?\s*h\s*\}"
-
-ELEMENT_RULES = [(rf"\$\\{font}\{{{o}{_WORD}{c}\}}\$", "$1") for font in ("mathrm", "mathbf") for o, c in ((r"\{", r"\}"), ("", ""))]
+# Rewrites whose results must not differ, as (pattern, replacement) in the order in which they run.
+ELEMENT_RULES = [
+    (r"\$\\mathrm\{\{([A-Za-z]+)\}\}\$", "$1"),
+    (r"\$\\mathrm\{([A-Za-z]+)\}\$", "$1"),
+    (r"\$\\mathbf\{\{([A-Za-z]+)\}\}\$", "$1"),
+    (r"\$\\mathbf\{([A-Za-z]+)\}\$", "$1"),
+]
 PHASE_RULES = [
-    (rf"\$\{{\s*{_G}\s*\}}\s*{_P}\$", "γ′"),
-    *[(rf"\$\\{name}\$", symbol) for name, symbol in (("gamma", "γ"), ("delta", "δ"), ("mu", "μ"), ("chi", "χ"), ("beta", "β"), ("eta", "η"))],
+    (r"\$\{\s*\\gamma\s*\}\s*\^\{\s*\\prime\s*\}\$", "γ′"),
+    (r"\$\\gamma\$", "γ"),
+    (r"\$\\delta\$", "δ"),
+    (r"\$\\mu\$", "μ"),
+    (r"\$\\chi\$", "χ"),
+    (r"\$\\beta\$", "β"),
+    (r"\$\\eta\$", "η"),
     (r"(?U)γ\s*[’']", "γ′"),
-    (rf"(?U)\${_G}\s*/\s*{_PRIMED}{_P}\$", "γ / γ′"),
-    *[(rf"(?U)\${_G}\s*{sign}\s*{_G}\$", f"γ {shown} γ") for sign, shown in (("/", "/"), (r"\+", "+"), ("-", "-"))],
-    (rf"(?U)\${_G}\s*-\s*{_PRIMED}{_P}\$", "γ - γ′"),
-    *[(rf"(?U)\$\s*>\s*\\mathrm\{{{o}{_WORD}{c}\}}\s*>\s*\\mathrm\{{{o}{_WORD}{c}\}}\s*\$", "> $1 > $2") for o, c in ((r"\{", r"\}"), ("", ""))],
+    (r"(?U)\$\\gamma\s*/\s*\{\s*\\gamma\s*\}\^\{\s*\\prime\s*\}\$", "γ / γ′"),
+    (r"(?U)\$\\gamma\s*/\s*\\gamma\$", "γ / γ"),
+    (r"(?U)\$\\gamma\s*\+\s*\\gamma\$", "γ + γ"),
+    (r"(?U)\$\\gamma\s*-\s*\\gamma\$", "γ - γ"),
+    (r"(?U)\$\\gamma\s*-\s*\{\s*\\gamma\s*\}\^\{\s*\\prime\s*\}\$", "γ - γ′"),
+    (r"(?U)\$\s*>\s*\\mathrm\{\{([A-Za-z]+)\}\}\s*>\s*\\mathrm\{\{([A-Za-z]+)\}\}\s*\$", "> $1 > $2"),
+    (r"(?U)\$\s*>\s*\\mathrm\{([A-Za-z]+)\}\s*>\s*\\mathrm\{([A-Za-z]+)\}\s*\$", "> $1 > $2"),
 ]
 TEMPERATURE_RULES = [
-    (rf"(?U)\$\{{(\d+)\}}{_DEG}\$", "$1 °C"),
-    (rf"(?U)\$\{{(\d+)\}}\{{\}}{_DEG}\$", "$1 °C"),
-    (rf"(?U)\$\{{(\d+)\}}{_HOUR}\$", "$1 h"),
+    (r"(?U)\$\{(\d+)\}\^\{\s*\\circ\s*\}\\mathrm\{C\}\$", "$1 °C"),
+    (r"(?U)\$\{(\d+)\}\{\}\^\{\s*\\circ\s*\}\\mathrm\{C\}\$", "$1 °C"),
+    (r"(?U)\$\{(\d+)\}\\mathrm\{\s*\\;?\s*h\s*\}\$", "$1 h"),
     (r"(?U)\$\{(\d+)\}\\mathrm\{h\}\$", "$1 h"),
-    (rf"(?U)\$\{{(\d+)\}}{_DEG}/\{{(\d+)\}}{_HOUR}\$", "$1 °C / $2 h"),
-    (rf"(?U)\$(\d+){_HOUR}\$", "$1 h"),
-    *[(rf"(?U)\$\{{(\d+)\}}{_DEG}/\\mathrm\{{{o}min{c}\}}\$", "$1 °C/min") for o, c in ((r"\{", r"\}"), ("", ""))],
+    (r"(?U)\$\{(\d+)\}\^\{\s*\\circ\s*\}\\mathrm\{C\}/\{(\d+)\}\\mathrm\{\s*\\;?\s*h\s*\}\$", "$1 °C / $2 h"),
+    (r"(?U)\$(\d+)\\mathrm\{\s*\\;?\s*h\s*\}\$", "$1 h"),
+    (r"(?U)\$\{(\d+)\}\^\{\s*\\circ\s*\}\\mathrm\{C\}/\\mathrm\{\{min\}\}\$", "$1 °C/min"),
+    (r"(?U)\$\{(\d+)\}\^\{\s*\\circ\s*\}\\mathrm\{C\}/\\mathrm\{min\}\$", "$1 °C/min"),
 ]
 UNIT_RULES = [
     (r"(?U)\$\{(\d+)\\mu\s*\}\\mathrm\{m\}\$", "$1 μm"),
     (r"(?U)\$(\d+)\\mathrm\{\s*\\;?\{mm\}\}\$", "$1 mm"),
-    *[(rf"(?U)\$\{{(\d+)\}}\\mathrm\{{\{{{u}\}}\}}\$", f"$1 {u}") for u in ("kV", "pJ", "kHz")],
+    (r"(?U)\$\{(\d+)\}\\mathrm\{\{kV\}\}\$", "$1 kV"),
+    (r"(?U)\$\{(\d+)\}\\mathrm\{\{pJ\}\}\$", "$1 pJ"),
+    (r"(?U)\$\{(\d+)\}\\mathrm\{\{kHz\}\}\$", "$1 kHz"),
     (r"(?U)\$\{(\d+)\}\\mathrm\{\s*\\;?\s*K\s*\}\$", "$1 K"),
     (r"\$\\%\$", "%"),
     (r"(?U)\$\{(\d+)\}\\mathrm\{\s*\\;?\{nm\}\}\$", "$1 nm"),
-    (rf"(?U)\$\{{{_NUM}\}}\\mathrm\{{\s*\\;?\{{nm\}}\}}\$", "$1 nm"),
-    (rf"(?U)\${_NUM}\\mathrm\{{\s*\\;?\{{nm\}}\}}\$", "$1 nm"),
-    (rf"(?U)\$\{{{_NUM}\\mu\s*\}}\\mathrm\{{m\}}\$", "$1 μm"),
+    (r"(?U)\$\{([0-9]+(?:\.[0-9]+)?)\}\\mathrm\{\s*\\;?\{nm\}\}\$", "$1 nm"),
+    (r"(?U)\$([0-9]+(?:\.[0-9]+)?)\\mathrm\{\s*\\;?\{nm\}\}\$", "$1 nm"),
+    (r"(?U)\$\{([0-9]+(?:\.[0-9]+)?)\\mu\s*\}\\mathrm\{m\}\$", "$1 μm"),
     (r"(?U)\$\\mu\s*\\mathrm\{m\}\$", "μm"),
 ]
-PRIME_RULES = [(r"(?U)γ\s*[’'′]", "γ′")]
-NOTATION_RULES = [*PRIME_RULES, *[(rf"(?U)γ\s*{sign}\s*γ{p}", f"γ {shown} γ{p}") for sign, shown, p in (("/", "/", "′"), ("/", "/", ""), (r"\+", "+", "′"), ("-", "-", "′"))]]
-SPACING_RULES = [(r"[ \t]{2,}", " "), (r"(?U)\s+([,.;:%)])", "$1"), (r"(?U)([(])\s+", "$1")]
-HEADING_RULES = [(r"(?Ud)(?m)^(#{2,6})\s*((?:\d+\.)*\d+)\.?\s*(.+)", "$1 $3")]
+PRIME_RULES = [
+    (r"(?U)γ\s*[’'′]", "γ′"),
+]
+NOTATION_RULES = [
+    (r"(?U)γ\s*[’'′]", "γ′"),
+    (r"(?U)γ\s*/\s*γ′", "γ / γ′"),
+    (r"(?U)γ\s*/\s*γ", "γ / γ"),
+    (r"(?U)γ\s*\+\s*γ′", "γ + γ′"),
+    (r"(?U)γ\s*-\s*γ′", "γ - γ′"),
+]
+SPACING_RULES = [
+    (r"[ \t]{2,}", " "),
+    (r"(?U)\s+([,.;:%)])", "$1"),
+    (r"(?U)([(])\s+", "$1"),
+]
+HEADING_RULES = [
+    (r"(?Ud)(?m)^(#{2,6})\s*((?:\d+\.)*\d+)\.?\s*(.+)", "$1 $3"),
+]
+#: What Python and Java (with its Unicode flag) take as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def rewrite(x: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, x)
+BLANK_LINES = [(r"\n{3,}", "\n\n")]
+
+
+def rewrite(x: Column, rules: list[tuple[str, str]], *needs: str) -> Column:
+    """The rules in order. `needs`: strings of which a text must have one for any rule to match; others are passed over. (The
+    text should then be a plain column, since it is named several times.)"""
+    done = reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, x)
+    return F.when(reduce(lambda a, b: a | b, [x.contains(n) for n in needs]), done).otherwise(x) if needs else done
 
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def normalize_newlines(x: Column) -> Column:
-    return F.regexp_replace(x, "\r\n?", "\n")
+    return F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def clean_headings(x: Column) -> Column:
     """Leading numbers of second- to sixth-level headings go; a blank stays."""
-    return rewrite(x, HEADING_RULES)
+    return rewrite(x, HEADING_RULES, "##")
 
 
 def normalize_elements(x: Column) -> Column:
-    return rewrite(x, ELEMENT_RULES)
+    return rewrite(x, ELEMENT_RULES, "$\\math")
 
 
 def normalize_phases(x: Column) -> Column:
-    return rewrite(x, PHASE_RULES)
+    return rewrite(x, PHASE_RULES, "$", "γ")
 
 
 def normalize_temperatures(x: Column) -> Column:
-    return rewrite(x, TEMPERATURE_RULES)
+    return rewrite(x, TEMPERATURE_RULES, "$")
 
 
 def normalize_units(x: Column) -> Column:
-    return rewrite(x, UNIT_RULES)
+    return rewrite(x, UNIT_RULES, "$")
 
 
 def normalize_primes(x: Column) -> Column:
-    return rewrite(x, PRIME_RULES)
+    return rewrite(x, PRIME_RULES, "γ")
 
 
 def normalize_notation(x: Column) -> Column:
-    return rewrite(x, NOTATION_RULES)
+    return rewrite(x, NOTATION_RULES, "γ")
 
 
 def normalize_spacing(x: Column) -> Column:
@@ -111,17 +142,17 @@ def normalize_citations(x: Column) -> Column:
     )
     pieces = F.split(x, pattern, -1)
     woven = F.array_join(F.flatten(F.zip_with(pieces, inner, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return F.when(x.rlike(pattern), woven).otherwise(x)
+    return F.when(x.contains("\\lbrack"), woven).otherwise(x)
 
 
 def collapse_blank_lines(x: Column) -> Column:
     """At most one blank line in a row; one line feed at the end."""
-    return F.concat(strip(F.regexp_replace(x, "\n{3,}", "\n\n")), F.lit("\n"))
+    return F.concat(strip(rewrite(x, BLANK_LINES)), F.lit("\n"))
 
 
 def normalize_text(x: Column) -> Column:
     """Blank runs to one blank, three or more line feeds to two, no white space at the ends."""
-    return strip(rewrite(normalize_newlines(F.coalesce(x, F.lit(""))), [(r"[ \t]+", " "), (r"\n{3,}", "\n\n")]))
+    return strip(rewrite(normalize_newlines(F.coalesce(x, F.lit(""))), [(r"[ \t]{2,}|\t", " "), *BLANK_LINES]))
 
 
 def one_line(x: Column) -> Column:
@@ -148,8 +179,10 @@ def section_path(hierarchy: Column) -> Column:
     return joined(F.transform(hierarchy, lambda h: F.concat_ws(" ", h["section_number"], h["section_title"])), " > ")
 
 
-def last_of(hierarchy: Column) -> Column:
-    return F.element_at(hierarchy, -1)
+def last_of(hierarchy: Column, field: str | None = None) -> Column:
+    """The entry of the section itself in a hierarchy, or a field of it; null for an empty one."""
+    own = F.try_element_at(hierarchy, F.lit(-1))
+    return own if field is None else own[field]
 
 
 def evidence_uid(doc_id: Column, node_id: Column, existing: Column | None = None) -> Column:
@@ -171,10 +204,3 @@ def source_label(path: Column) -> Column:
 def document_id(stem: Column) -> Column:
     """A file's stem without one suffix `cleaned`; `document` if nothing is left."""
     return F.coalesce(F.nullif(F.regexp_replace(stem, r"(?i)[._-]cleaned$", ""), F.lit("")), F.lit("document"))
-
-
-def roman_value(x: Column) -> Column:
-    """A Roman numeral's value; 0 if another character occurs."""
-    values = F.transform(F.split(F.reverse(F.upper(x)), ""), lambda c: F.get(F.array(*[F.lit(v) for v in (1, 5, 10, 50, 100, 500, 1000)]), F.instr(F.lit("IVXLCDM"), c) - 1))
-    total = F.aggregate(values, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda a, v: F.struct((a["sum"] + F.when(v < a["last"], -v).otherwise(v)).alias("sum"), F.greatest(a["last"], v).alias("last")), lambda a: a["sum"])
-    return F.when(x.rlike("(?i)^[IVXLCDM]+$"), total).otherwise(0)

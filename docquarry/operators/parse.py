@@ -10,7 +10,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import BODY_STARTS, FRONT_MATTER, NUMBER, body_start  # noqa: F401
@@ -22,10 +22,14 @@ ADDITIONAL = frozenset({
     "availability of data and materials", "author contributions", "credit authorship contribution statement", "contribution statement",
     "supplementary materials", "supplementary material", "appendix", "references",
 })
+# The forms of tables and figures after cleaning, and of cells that are numbers.
 TABLE = re.compile(rf"(^#\s*Table\s*\.?\s*({NUMBER}).*?)\s*\n(<table>.*?</table>)", re.I | re.M | re.S)
 FIGURE = re.compile(rf"(?:^!\[.*?\]\((.*?)\)\s*\n)?(^#\s*(?:Fig\.?|Figure)\s+({NUMBER}).*?$)", re.I | re.M)
 NUMERIC = re.compile(r"[-–—]|\d+(?:\.\d+)?(?:±\d+(?:\.\d+)?)?%?")
 
+#: Columns that a cell may span, as in HTML; a wider span counts as so many.
+WIDEST = 1000
+
 HIERARCHY = "array<struct<section_id:string,section_number:string,section_title:string,section_title_full:string>>"
 GRID = "array<array<string>>"
 SCHEMA = (
@@ -53,10 +57,14 @@ class _Cells(HTMLParser):
             self.cell = None
             self.rows.append([])
         elif tag in ("td", "th") and self.depth == 1 and self.rows:
-            span = [int(v) if (v := (dict(attrs).get(a) or "").strip()).isdigit() and int(v) else 1 for a in ("rowspan", "colspan")]
-            self.cell = [[], tag == "th", *span]
+            self.cell = [[], tag == "th", *(self._span(dict(attrs).get(a)) for a in ("rowspan", "colspan"))]
             self.rows[-1].append(self.cell)
 
+    @staticmethod
+    def _span(said: str | None) -> int:
+        said = (said or "").strip()
+        return max(1, int(said[:9])) if said.isascii() and said.isdigit() else 1
+
     def handle_endtag(self, tag):
         if tag == "table":
             self.depth -= 1
@@ -77,6 +85,7 @@ def table_grid(html: str) -> tuple[list[list[str]], list[list[bool]]]:
     for r, row in enumerate(parser.rows):
         c = 0
         for parts, head, down, across in row:
+            across = min(across, WIDEST)
             while (r, c) in filled:
                 c += 1
             for y in range(r, min(r + down, height)):
@@ -113,7 +122,11 @@ def column_names(rows: list[list[str]], width: int) -> list[str]:
 
 
 def table_data(html: str) -> dict:
-    grid, heads = table_grid(html)
+    """Columns, rows, grid and header rows of a table; one that can't be read is empty, with data_start_row -1."""
+    try:
+        grid, heads = table_grid(html)
+    except (AssertionError, RecursionError, ValueError):  # what HTMLParser raises on broken markup
+        return {"columns": [], "rows": [], "grid": [], "header_rows": [], "data_start_row": -1}
     n = header_rows(grid, heads) if grid else 0
     return {"columns": column_names(grid[:n], len(grid[0])) if grid else [], "rows": grid[n:], "grid": grid, "header_rows": grid[:n], "data_start_row": n}
 
@@ -211,8 +224,11 @@ def _parsed(md: pd.Series) -> pd.DataFrame:
 
 
 def documents(docs: DataFrame, text: str = "md_text") -> DataFrame:
-    """One row per document: doc_id, source_file and the parts; equations take the context of the last section that lists them."""
-    return docs.select("doc_id", "source_file", F.pandas_udf(_parsed, SCHEMA)(text).alias("p")).select("doc_id", "source_file", "p.*")
+    """One row per document: doc_id, source_file and the parts.
+
+    The parse is declared nondeterministic, so that the optimizer neither repeats it nor infers filters of exploded arrays from it.
+    """
+    return docs.select("doc_id", "source_file", F.pandas_udf(_parsed, SCHEMA).asNondeterministic()(text).alias("p")).select("doc_id", "source_file", "p.*")
 
 
 def exploded(parsed: DataFrame, part: str) -> DataFrame:
@@ -236,8 +252,6 @@ def references(parsed: DataFrame) -> DataFrame:
     lines = block.select("doc_id", F.posexplode(F.filter(F.transform(F.split(F.get("r", F.lit(0))["content"], "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")).alias("pos", "line"))
     form = r"^(?:\[(\d+)\]\s*|(\d+)\.\s*|(\d+)\s+)(.*)$"
     number = F.concat(*[F.regexp_extract("line", form, k) for k in (1, 2, 3)])
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("pos")
     marked = lines.withColumn("number", number).withColumn("item", F.sum((F.col("number") != "").cast("int")).over(w)).withColumn("any", F.max((F.col("number") != "").cast("int")).over(Window.partitionBy("doc_id")))
     body = F.when(F.col("number") != "", F.trim(F.regexp_extract("line", form, 4))).otherwise(F.col("line"))

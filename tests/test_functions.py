@@ -23,7 +23,6 @@ def test_names(spark):
     assert one(spark, T.source_label, "a\\b/c.md/") == "c.md"
     assert one(spark, T.slug, " !! ") == "node"
     assert one(spark, T.document_id, "_cleaned") == "document"
-    assert one(spark, T.roman_value, "XIV") == 14 and one(spark, T.roman_value, "XA") == 0
 
 
 def test_mentions(spark):
