@@ -150,6 +150,13 @@ def extract_equations(md: str) -> tuple[str, list[dict]]:
     return re.sub(r"\$\$(.*?)\$\$", mark, md, flags=re.S), found
 
 
+def equations(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Display equations of any texts by column functions alone: doc_id, ord, equation_id, latex."""
+    blank = " \t\n\x0b\x0c\r"
+    found = docs.where(F.col(text).contains("$$")).select("doc_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(?s)\$\$(.*?)\$\$"), F.lit(1))).alias("at", "body"))
+    return found.select("doc_id", (F.col("at") + 1).alias("ord"), F.concat(F.lit("eq_"), F.col("at") + 1).alias("equation_id"), F.btrim("body", F.lit(blank)).alias("latex"))
+
+
 def extract_tables(md: str) -> tuple[str, list[dict]]:
     matches = list(TABLE.finditer(md))
     rows = [{"ord": k, "table_id": f"table_{k}", "table_number": f"Table {m[2]}", "caption": re.sub(r"^#\s*", "", m[1].strip()), "raw_html": m[3].strip(), "data": table_data(m[3])} for k, m in enumerate(matches, 1)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ VISION_HINTS = ("trend", "curve", "peak", "morphology", "看图", "根据图")
 ROUTES = {"mechanism": ("results", "discussion", "results_discussion"), "comparison": ("results", "discussion"), "design": ("results", "discussion", "conclusion")}
 TOP_K, TOP_N, MAX_OBJECTS, MAX_VISUAL, MAX_TOKENS = 20, 10, 20, 5, 5120
 FAR = 1_000_000
+# Fixed value: characters that no search term has.
+NOT_TERM = r"[^a-zA-Z0-9一-鿿+\-]+"
+#: Parts of a bucket that a query meets in different tasks.
+PARTS = 16
 
 
 def _any(x: Column, words) -> Column:
@@ -79,18 +84,29 @@ def depth(k: int | None, n: int | None) -> tuple[int, int]:
 
 
 def terms(x: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(x), r"[^a-zA-Z0-9一-鿿+\-]+", " "), " "), lambda w: F.length(w) >= 2)
+    return F.filter(F.split(F.regexp_replace(F.lower(x), NOT_TERM, " "), " "), lambda w: F.length(w) >= 2)
 
 
 def lexical(analyzed: DataFrame, rows: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k rows of a query's buckets with most of its terms in their text (repeated terms count), ties by row order.
 
-    Queries are exploded by bucket and joined on it; every pair within a bucket is scored, as the score asks for.
+    Rows are told apart by doc_id and global_order. An inverted index: a term has none of the characters that split a text
+    into tokens, so it occurs in a text just if it occurs in one of its tokens. Terms meet tokens by their first grams, so no
+    query meets a row that has none of its terms, and texts are read once for all queries.
     """
-    asked = analyzed.select("query_id", terms(F.col("normalized_query")).alias("terms"), F.posexplode("retrieval_buckets").alias("turn", "bucket"))
-    low = F.lower(T.normalize_text(F.col("text")))
-    both = rows.withColumn("low", low).join(asked, "bucket").withColumn("score", F.aggregate("terms", F.lit(0), lambda a, t: a + F.col("low").contains(t).cast("int"))).where("score > 0")
-    return ranked(both.drop("low", "terms"), [F.desc("score"), F.col("turn"), F.col("doc_id"), F.col("global_order")], k)
+    token = F.split(F.regexp_replace(F.lower(T.normalize_text(F.col("text"))), NOT_TERM, " "), " ")
+    postings = rows.select("bucket", "doc_id", "global_order", F.explode(F.array_distinct(token)).alias("token")).where(F.length("token") >= 2)
+    asked = analyzed.select("query_id", "retrieval_buckets", F.explode(terms(F.col("normalized_query"))).alias("term")).groupBy("query_id", "retrieval_buckets", "term").agg(F.count("*").alias("weight"))
+    size = F.least(F.length("term"), F.lit(3))
+    wanted = asked.select("term").distinct().withColumn("gram", F.substring("term", F.lit(1), size))
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("token"), i, F.lit(n)))
+    grams = postings.select("token").distinct().select("token", F.explode(F.array_distinct(F.concat(places(2), places(3)))).alias("gram"))
+    inside = grams.join(wanted, "gram").where(F.col("token").contains(F.col("term"))).select("token", "term").distinct()
+    found = postings.join(inside, "token").select("bucket", "doc_id", "global_order", "term").distinct()
+    scored = found.join(asked, "term").withColumn("turn", F.array_position("retrieval_buckets", F.col("bucket")) - 1).where("turn >= 0")
+    scored = scored.groupBy("query_id", "turn", "bucket", "doc_id", "global_order").agg(F.sum("weight").cast("int").alias("score"))
+    best = ranked(scored, [F.desc("score"), F.col("turn"), F.col("doc_id"), F.col("global_order")], k)
+    return rows.join(best, ["bucket", "doc_id", "global_order"])
 
 
 def ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -112,14 +128,28 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def nearest(asked: DataFrame, index: DataFrame, k: int, by: str = "bucket", key: str = "node_id") -> DataFrame:
-    """Exact search: asked (query_id, q, `by`) against index (`key`, v, `by`), smallest squared distance first, ties by key.
+def nearest(asked: DataFrame, index: DataFrame, k: int, by: str = "bucket", key: str = "node_id", parts: int = PARTS, measure=squared_distance, largest: bool = False) -> DataFrame:
+    """Exact search: asked (query_id, q, `by`) against index (`key`, v, `by`), the smallest squared distance first (or the largest
+    of another measure), ties by key.
 
-    An equi join on the bucket; the partial top-k runs before rows are shuffled by query.
+    An equi join on the bucket and one of `parts` of its index rows, so that a bucket, even a single one, is many keys. A key's
+    vectors in a bucket make one row first, so that a top-k per query, bucket and part needs no row twice: it runs before rows
+    are shuffled by query, and k rows of each part are all that is.
     """
-    both = index.join(asked, by).withColumn("distance", squared_distance(F.col("v"), F.col("q"))).drop("v", "q")
-    once = both.groupBy("query_id", key).agg(F.min("distance").alias("distance"))
-    return ranked(once, [F.col("distance"), F.col(key)], k)
+    best = F.array_max if largest else F.array_min
+    order = [F.desc("distance") if largest else F.col("distance"), F.col(key)]
+    once = index.groupBy(by, key).agg(F.collect_set("v").alias("vs")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    both = once.join(spread, [by, "part"]).select("query_id", by, "part", key, best(F.transform("vs", lambda v: measure(v, F.col("q")))).alias("distance"))
+    few = both.withColumn("n", F.row_number().over(Window.partitionBy("query_id", by, "part").orderBy(*order))).where(F.col("n") <= k)
+    merged = few.groupBy("query_id", key).agg((F.max if largest else F.min)("distance").alias("distance"))
+    return ranked(merged, order, k)
+
+
+def captions(asked: DataFrame, objects: DataFrame, k: int = 5, by: str = "bucket", key: str = "node_id") -> DataFrame:
+    """Figures and tables by the cosine of their captions' vectors with a query's (both of length 1), largest first."""
+    cosine = lambda v, q: F.round(inner_product(v, q), 6)
+    return nearest(asked, objects, k, by, key, measure=cosine, largest=True).withColumnRenamed("distance", "score")
 
 
 def rerank(hits: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series], n: int = TOP_N) -> DataFrame:
@@ -181,18 +211,23 @@ def cap_objects(evidence: DataFrame, objects: int = MAX_OBJECTS, visual: int = M
 def greedy_budget(rows: DataFrame, key: str, order: list[str], tokens: str, budget: int = MAX_TOKENS, exempt: Column | None = None) -> DataFrame:
     """Rows of each key that a greedy run keeps: one that doesn't fit is passed over, later ones may fit; exempt rows stay and cost nothing.
 
-    Tokens add up, since the default tokenizer never joins texts across line feeds.
+    Tokens add up, since the default tokenizer never joins texts across line feeds. Only keys, order and costs meet in the run;
+    `order` must tell the rows of a key apart.
     """
-    cost = F.when(F.lit(False) if exempt is None else exempt, 0).otherwise(F.col(tokens))
-    item = F.struct(*order, cost.alias("cost"), F.struct(*rows.columns).alias("row"))
-    fold = F.aggregate(
-        "items",
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("keep")),
-        lambda a, x: F.struct((a["used"] + F.when(a["used"] + x["cost"] <= budget, x["cost"]).otherwise(0)).cast("long").alias("used"), F.concat(a["keep"], F.array(a["used"] + x["cost"] <= budget)).alias("keep")),
-        lambda a: a["keep"],
-    )
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("keep", fold)
-    return packed.select(F.explode(F.arrays_zip("items", "keep")).alias("x")).where("x.keep").select("x.items.row.*")
+    cost = F.when(F.lit(False) if exempt is None else exempt, 0).otherwise(F.col(tokens)).cast("long")
+    slim = rows.select(key, *order, cost.alias("__cost"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != "__cost")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in order])
+        used, keep = 0, []
+        for n in t.column("__cost").to_pylist():
+            fits = n is not None and used + n <= budget
+            used += n if fits else 0
+            keep.append(fits)
+        return t.filter(pa.array(keep, pa.bool_())).drop_columns(["__cost"])
+
+    return rows.join(slim.groupBy(key).applyInArrow(run, schema), [key, *order])
 
 
 def context_blocks(evidence: DataFrame, nodes: DataFrame) -> DataFrame:

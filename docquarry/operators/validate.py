@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -148,9 +148,19 @@ def findings(rules: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def _with_examples(found: DataFrame, keys: list[str], shown: DataFrame) -> DataFrame:
+    """Counts with examples; a null doc_id is a key too."""
+    counts = found.groupBy(*keys).agg(F.count("*").alias("n"), F.array().cast("array<string>").alias("examples"))
+    both = counts.unionByName(shown.withColumn("n", F.lit(0).cast("long")).select(*counts.columns))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("examples")).alias("examples"))
+
+
 def report(found: DataFrame, examples: int = 10, strict: bool = False) -> DataFrame:
     """Findings by document and code with counts and first examples; `strict` adds an error where there are warnings."""
-    out = found.groupBy("doc_id", "severity", "code").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("context")), 1, examples).alias("examples"))
+    keys = ["doc_id", "severity", "code"]
+    first = found.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("context"))).where(F.col("i") <= examples)  # before anything is collected
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list("context")).alias("examples"))
+    out = _with_examples(found, keys, shown)
     if strict:
         warned = found.where("severity = 'warning'").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("error").alias("severity"), F.lit("STRICT_WARNING_FAILURE").alias("code"), "n", F.array().cast("array<string>").alias("examples"))
         out = out.unionByName(warned)

@@ -71,8 +71,7 @@ select query_id, vec_id, rank::int as rank, score from r where rank <= 5""")
 def caption_cosine_topk(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", retrieve.unit(F.col("embedding")).alias("v"), "label")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label")
-    scored = e.join(asked, "label").select("query_id", "vec_id", F.round(retrieve.inner_product(F.col("v"), F.col("q")), 6).alias("score"))
-    return retrieve.ranked(scored, [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "rank", "score")
+    return retrieve.captions(asked, e, 5, "label", "vec_id").select("query_id", "vec_id", "rank", "score")
 
 
 # ---- lexical retrieval and query understanding
@@ -205,15 +204,8 @@ def identifiers(spark, d):
 with m as (select doc_id, regexp_extract_all(text, '(?s)\$\$(.*?)\$\$', 1) as b from documents)
 select doc_id, i::int as ord, 'eq_' || i as equation_id, md5(regexp_replace(b[i], '^[ \n\t\r\f\v]+|[ \n\t\r\f\v]+$', '', 'g')) as latex from m, unnest(range(1, len(b) + 1)) as u(i)""")
 def equation_extract(spark, d):
-    def found(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = [(k, e["ord"], e["equation_id"], e["latex"]) for k, x in zip(b.doc_id, b.text, strict=True) for e in parse.extract_equations(x or "")[1]]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "equation_id", "latex"])
-
-    rows = read(spark, d, "documents").where(F.col("text").contains("$$")).select("doc_id", "text").mapInPandas(found, "doc_id long, ord int, equation_id string, latex string")
-    return rows.withColumn("latex", F.md5("latex"))
+    found = parse.equations(read(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "ord", "equation_id", F.md5("latex").alias("latex"))
 
 
 # ---- chunks, graphs and budgets

@@ -12,7 +12,8 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Appends the tables of every batch under `out`/<table>/batch=<n>; a batch that runs again replaces its own files."""
 
     def build(batch: DataFrame, number: int) -> None:
-        made = pipeline.build(batch.select("doc_id", "source_file", "md_text"))
+        steps = f"{out}/steps/batch={number}"  # each step of the batch is written once and read by the next
+        made = pipeline.build(batch.select("doc_id", "source_file", "md_text"), keep=steps)
         for name in ("parsed", "chunks", "nodes", "edges"):
             getattr(made, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
