@@ -37,21 +37,21 @@ def split_sentences(paragraph: str) -> list[str]:
     return [x for x in (*out, paragraph[start:].strip()) if x]
 
 
-def count_tokens(text: str, special: bool = True) -> int:
-    n = len(spans(text)) if text else 0
+def count_tokens(text: str, special: bool = True, tokens: Callable[[str], list[tuple[int, int]]] = spans) -> int:
+    n = len(tokens(text)) if text else 0
     return n + SPECIAL if n and special else n
 
 
-def pack(paragraph: str, limit: int, overlap: int, sentences: Callable[[str], list[str]] = split_sentences) -> list[str]:
+def pack(paragraph: str, limit: int, overlap: int, sentences: Callable[[str], list[str]] = split_sentences, tokens: Callable[[str], list[tuple[int, int]]] = spans) -> list[str]:
     """Chunks of one paragraph within `limit` tokens; the last sentences are repeated if they still fit; an over-long one is cut at tokens."""
     out: list[str] = []
     held: list[str] = []
-    fits = lambda parts: count_tokens(" ".join(parts)) <= limit
+    fits = lambda parts: count_tokens(" ".join(parts), tokens=tokens) <= limit
     for s in sentences(paragraph):
         if not fits([s]):
             if held:
                 out.append(" ".join(held))
-            at = spans(s)
+            at = tokens(s)
             step = limit - SPECIAL
             out += [s[at[k][0] : at[min(k + step, len(at)) - 1][1]] for k in range(0, len(at), step)]
             held = []
@@ -66,10 +66,10 @@ def pack(paragraph: str, limit: int, overlap: int, sentences: Callable[[str], li
     return out
 
 
-def chunk_texts(text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[int, str, int]]:
+def chunk_texts(text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP, sentences: Callable[[str], list[str]] = split_sentences, tokens: Callable[[str], list[tuple[int, int]]] = spans) -> list[tuple[int, str, int]]:
     """(paragraph, chunk, tokens) of a normalised text; no chunk crosses a paragraph."""
     paragraphs = [p.strip() for p in (text or "").split("\n\n") if p.strip()]
-    return [(k, c, count_tokens(c)) for k, p in enumerate(paragraphs) for c in pack(p, limit, overlap)]
+    return [(k, c, count_tokens(c, tokens=tokens)) for k, p in enumerate(paragraphs) for c in pack(p, limit, overlap, sentences, tokens)]
 
 
 def token_count(x: Column, special: bool = True) -> Column:
@@ -78,16 +78,19 @@ def token_count(x: Column, special: bool = True) -> Column:
     return F.when(n == 0, 0).otherwise(n + (SPECIAL if special else 0))
 
 
-def chunks(sections: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of sections, numbered within their section and over their document, with links to neighbours in the section."""
+def chunks(sections: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP, sentences: Callable[[str], list[str]] = split_sentences, tokens: Callable[[str], list[tuple[int, int]]] = spans) -> DataFrame:
+    """Chunks of sections, numbered within their section and over their document, with links to neighbours in the section.
+
+    `sentences` splits a paragraph; `tokens` gives the spans of a text's tokens.
+    """
     if limit <= SPECIAL or overlap < 0:
         raise ValueError("limit must leave room for tokens, and overlap can't be negative")
 
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [{"paragraph": a, "text": b, "token_count": n} for a, b, n in chunk_texts(x, limit, overlap)])
+        return texts.map(lambda x: [{"paragraph": a, "text": b, "token_count": n} for a, b, n in chunk_texts(x, limit, overlap, sentences, tokens)])
 
     kind = "array<struct<paragraph:int,text:string,token_count:int>>"
-    rows = sections.withColumn("c", F.pandas_udf(cut, kind)(T.normalize_text(F.col("content")))).select("*", F.size("c").alias("total_chunks"), F.posexplode("c").alias("at", "x"))
+    rows = sections.withColumn("c", F.pandas_udf(cut, kind).asNondeterministic()(T.normalize_text(F.col("content")))).select("*", F.size("c").alias("total_chunks"), F.posexplode("c").alias("at", "x"))
     rows = rows.select(
         "doc_id", "source_file", F.col("ord").alias("section_ord"), "section_id", "section_number", "section_title", "section_title_full", "parent_section_id", "hierarchy",
         (F.col("at") + 1).alias("local_order"), "total_chunks", F.col("x.text").alias("text"), F.col("x.token_count").alias("token_count"),

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as T
+from ..functions.models import model, model_of_two
 from .chunk import token_count
 
 # Buckets by keyword in the order of precedence, and hints of queries.
@@ -24,6 +26,7 @@ BUCKET_WORDS = (
     ("conclusion", ("conclusion", "concluding remarks", "summary", "outlook", "perspectives", "final remarks")),
 )
 QUERY_TYPES = (("mechanism", ("mechanism", "why", "原因", "机理")), ("comparison", ("compare", "difference", "相比", "对比")), ("design", ("design", "optimize", "筛选", "设计")))
+KINDS = ("fact", "method", "mechanism", "comparison", "design")
 NEEDS = {
     "need_figures": ("fig", "figure", "图", "曲线", "峰", "xrd", "sem", "tem"), "need_tables": ("table", "表", "数据表"),
     "need_equations": ("equation", "eq.", "公式"), "need_references": ("reference", "文献", "citation", "来源"),
@@ -69,10 +72,44 @@ def analyze(queries: DataFrame, structure: bool = True) -> DataFrame:
     return out.withColumn("retrieval_buckets", route if structure else names(BUCKETS))
 
 
+def analysis_prompt(query: Column) -> Column:
+    """What a model is asked about a query."""
+    kinds, buckets = ", ".join(KINDS), ", ".join(BUCKETS)
+    rules = (
+        f"Analyse a question about scientific papers. Answer with one JSON object and nothing else: normalized_query; query_type, one of {kinds}; retrieval_buckets, the sections to search, "
+        f"of {buckets}; needs_decomposition; sub_questions; need_figures, need_tables, need_equations, need_references; vision_required; vision_reason."
+    )
+    return F.concat(F.lit(f"{rules}\n\nQuestion:\n"), query)
+
+
+def analyzed_by(queries: DataFrame, client: Callable[[pd.Series], pd.Series], structure: bool = True) -> DataFrame:
+    """As analyze(), from a model's answers (prompts to answers): types and buckets that aren't known are left out, and a query whose
+    answer is null or no JSON object, or that is blank, is analysed by the rules."""
+    plain = analyze(queries, structure)
+    ask = model(client, "string")
+    said = queries.withColumn("said", F.when(T.normalize_text(F.col("query")) != "", ask(analysis_prompt(T.normalize_text(F.col("query")))))).select("query_id", J.first_object(F.col("said")).alias("said"))
+    text = lambda k: T.strip(F.coalesce(F.get_json_object("said", f"$.{k}"), F.lit("")))
+    many = lambda k: F.coalesce(F.from_json(F.get_json_object("said", f"$.{k}"), "array<string>"), F.array_compact(F.array(F.nullif(text(k), F.lit("")))))
+    yes = lambda k: ~F.lower(F.coalesce(F.get_json_object("said", f"$.{k}"), F.lit("false"))).isin("false", "", "0", "null", "[]", "{}")
+    kind = F.lower(text("query_type"))
+    known = F.array_distinct(F.filter(F.transform(many("retrieval_buckets"), lambda b: F.lower(T.strip(b))), lambda b: b.isin(*BUCKETS)))
+    route = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("results"), F.lit("discussion")))
+    model = {
+        "normalized_query": F.coalesce(F.nullif(text("normalized_query"), F.lit("")), "normalized_query"),
+        "query_type": F.when(kind.isin(*KINDS), kind).otherwise("fact"),
+        "sub_questions": F.filter(F.transform(many("sub_questions"), lambda x: T.strip(x)), lambda x: x != ""),
+        "retrieval_buckets": route if structure else F.col("retrieval_buckets"),
+        "vision_reason": text("vision_reason"),
+        **{n: yes(n) for n in NEEDS},
+    }
+    both = plain.join(said, "query_id", "left")
+    return both.select(*[F.when(F.col("said").isNotNull(), model[c]).otherwise(F.col(c)).alias(c) if c in model else F.col(c) for c in plain.columns], F.when(F.col("said").isNotNull(), "model").otherwise("rules").alias("analyzed_by"))
+
+
 def task_mode(mode: str) -> str:
     """Canonical name of a task."""
-    known = {"qa": "qa", "question_answering": "qa", "literature_qa": "qa", "answer": "qa", "extraction": "extraction", "extract": "extraction", "structured_extraction": "extraction"}
-    if (name := mode.strip().lower()) not in known:
+    known = {"qa": "qa", "question_answering": "qa", "literature_qa": "qa", "literature_grounded_qa": "qa", "extraction": "extraction", "extract": "extraction", "structured_extraction": "extraction"}
+    if (name := mode.strip().lower().replace("-", "_")) not in known:
         raise ValueError(f"unknown task {mode!r}")
     return known[name]
 
@@ -154,7 +191,7 @@ def captions(asked: DataFrame, objects: DataFrame, k: int = 5, by: str = "bucket
 
 def rerank(hits: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series], n: int = TOP_N) -> DataFrame:
     """The n best hits by a scoring function of query and text; it runs on hits alone, and ties keep the retrieval rank."""
-    scored = hits.withColumn("rerank_score", F.pandas_udf(score, "double")("query", "text")).withColumnRenamed("rank", "retrieval_rank")
+    scored = hits.withColumn("rerank_score", model_of_two(score, "double")("query", "text")).withColumnRenamed("rank", "retrieval_rank")
     return ranked(scored, [F.desc("rerank_score"), F.col("retrieval_rank")], n)
 
 
@@ -258,14 +295,6 @@ def minimal_answers(analyzed: DataFrame, hits: DataFrame, length: int = 220) ->
     return analyzed.select("query_id").join(first, "query_id", "left").select("query_id", F.coalesce("snippet", none).alias("answer"), F.when(F.col("snippet").isNull(), "insufficient").otherwise("supported").alias("status"), "support_uid")
 
 
-def packaged(analyzed: DataFrame, hits: DataFrame, evidence: DataFrame, answers: DataFrame) -> DataFrame:
-    """One JSON package for each query."""
-    h = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "evidence_uid", "bucket"))).alias("retrieval"))
-    e = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "position", "evidence_uid", "expand_role"))).alias("evidence"))
-    all_ = analyzed.join(answers, "query_id").join(h, "query_id", "left").join(e, "query_id", "left")
-    return all_.select("query_id", F.to_json(F.struct(F.struct("query", "query_type", "retrieval_buckets").alias("query"), F.struct("answer", "status").alias("output"), "retrieval", "evidence")).alias("package"))
-
-
 def ablated(evidence: DataFrame, mode: str, captions: DataFrame | None = None) -> DataFrame:
     """Evidence under full, wo_structure, wo_multimodal (no figures and tables) or wo_association (caption hits come in for objects)."""
     if mode not in ("full", "wo_structure", "wo_multimodal", "wo_association"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,15 +123,120 @@ def token_rules(rows: DataFrame, recount: Column, limit: int) -> list[DataFrame]
     ]
 
 
-def index_rules(manifest: DataFrame, meta: DataFrame, counts: DataFrame) -> list[DataFrame]:
-    """An index manifest (doc_id, source_file, bucket, documents) against the graph and the counts by bucket."""
+def metadata_token_rules(nodes: DataFrame, recount: Column) -> list[DataFrame]:
+    """Structured metadata nodes (content, metadata) whose text is over the limit that they declare."""
+    rows = nodes.where("node_type = 'metadata_structured'").where(F.coalesce("content", F.lit("")) != "")
+    rows = rows.withColumn("again", recount).withColumn("declared", F.get_json_object("metadata", "$.embedding_config.max_embedding_tokens").try_cast("int"))
+    return [_find(rows.where("again > declared"), "error", "METADATA_TOKEN_OVER_LIMIT", "node_id", "again", "declared")]
+
+
+def tokenizer_rules(meta: DataFrame, load) -> list[DataFrame]:
+    """Whether token counts can be checked: meta has doc_id and tokenizer; `load` maps a name to a tokenizer and raises where it can't.
+
+    Each name is tried once. A missing dependency (ImportError) is no error of the data, anything else is.
+    """
+    named = meta.withColumn("tokenizer", F.trim(F.coalesce("tokenizer", F.lit(""))))
+
+    def tried(names: pd.Series) -> pd.Series:
+        def code(name: str) -> str | None:
+            try:
+                load(name)
+            except ImportError:
+                return "TOKENIZER_CHECK_UNAVAILABLE"
+            except Exception:  # whatever a loader raises
+                return "TOKENIZER_LOAD_FAILED"
+            return None
+
+        return names.map(code)
+
+    result = named.where("tokenizer <> ''").select("tokenizer").distinct().withColumn("found", F.pandas_udf(tried, "string").asNondeterministic()("tokenizer"))
+    lost = named.join(result.where("found is not null"), "tokenizer")
+    return [
+        _find(named.where("tokenizer = ''"), "warning", "TOKENIZER_MODEL_UNKNOWN"),
+        _find(lost.where("found = 'TOKENIZER_CHECK_UNAVAILABLE'"), "warning", "TOKENIZER_CHECK_UNAVAILABLE", "tokenizer"),
+        _find(lost.where("found = 'TOKENIZER_LOAD_FAILED'"), "error", "TOKENIZER_LOAD_FAILED", "tokenizer"),
+    ]
+
+
+def index_rules(manifest: DataFrame, meta: DataFrame, counts: DataFrame, stored: DataFrame | None = None, chunking: DataFrame | None = None) -> list[DataFrame]:
+    """An index manifest (doc_id, source_file, bucket, documents, dimensions, distance_semantics, chunking) against the graph, the
+    expected counts by bucket, the stored vectors (doc_id, bucket, v; null for files that can't be read) and the graph's chunking
+    (doc_id, chunking). Documents of `meta` without an index, or of the index without a manifest, are findings too."""
     both = manifest.join(meta.withColumnRenamed("source_file", "g_source"), "doc_id", "left")
     expected = counts.withColumnRenamed("documents", "expected").join(manifest.select("doc_id", "bucket", "documents"), ["doc_id", "bucket"], "full")
-    return [
+    said = manifest.where(F.coalesce("distance_semantics", F.lit("")) != "").where(~F.lower("distance_semantics").rlike("smaller|lower")).select("doc_id").distinct() if "distance_semantics" in manifest.columns else manifest.where("false").select("doc_id")
+    wrong = [expected.where("documents is not null and coalesce(expected, 0) <> documents").select("doc_id", "bucket", "expected", F.col("documents").alias("found"))]
+    out = [
         _find(both.where("g_source is null").select("doc_id").distinct(), "error", "INDEX_DOC_ID_MISMATCH"),
         _find(both.where("g_source <> source_file").select("doc_id").distinct(), "error", "INDEX_SOURCE_FILE_MISMATCH"),
-        _find(expected.where("coalesce(expected, 0) <> coalesce(documents, 0)"), "error", "INDEX_COUNT_MISMATCH", "bucket", "expected", "documents"),
+        _find(said, "warning", "INDEX_DISTANCE_SEMANTICS_UNCLEAR"),
     ]
+    if chunking is not None:
+        other = manifest.select("doc_id", F.col("chunking").alias("m")).distinct().join(chunking, "doc_id").where("m <> '{}' and chunking <> '{}' and m <> chunking")
+        out.append(_find(other.select("doc_id", "m", "chunking").distinct(), "error", "INDEX_CHUNK_CONFIG_MISMATCH", "m", "chunking"))
+    if stored is not None:
+        have = stored.groupBy("doc_id", "bucket").agg(F.count("v").alias("stored"), F.count_if(F.col("v").isNull()).alias("unread"), F.max(F.size("v")).alias("width"))
+        full = counts.withColumnRenamed("documents", "expected").join(have, ["doc_id", "bucket"], "full").fillna(0, ["expected", "stored", "unread"])
+        wrong.append(full.where("stored > 0 and expected > 0 and stored <> expected").select("doc_id", "bucket", "expected", F.col("stored").alias("found")))
+        width = manifest.join(have, ["doc_id", "bucket"]).where("width <> dimensions") if "dimensions" in manifest.columns else None
+        if width is not None:
+            wrong.append(width.select("doc_id", "bucket", F.col("dimensions").cast("long").alias("expected"), F.col("width").cast("long").alias("found")))
+        out += [
+            _find(meta.join(stored.select("doc_id").distinct(), "doc_id", "left_anti"), "warning", "INDEX_MISSING"),
+            _find(stored.select("doc_id").distinct().join(manifest.select("doc_id").distinct(), "doc_id", "left_anti"), "error", "INDEX_MANIFEST_MISSING"),
+            _find(full.where("(expected > 0 and stored = 0) or (expected = 0 and stored > 0)"), "error", "INDEX_FILE_INCONSISTENT", "bucket", "expected", "stored"),
+            _find(full.where("unread > 0"), "error", "INDEX_READ_FAILED", "bucket", "unread"),
+        ]
+    return [*out, _find(reduce(DataFrame.unionByName, wrong), "error", "INDEX_COUNT_MISMATCH", "bucket", "expected", "found")]
+
+
+#: Codes of files that are missing and of files that hold no JSON object (or lines of them), by what they are.
+FILES = {
+    "graph": ("GRAPH_FILE_MISSING", "GRAPH_FILE_INVALID"),
+    "retrieval": ("RETRIEVAL_FILE_MISSING", "RETRIEVAL_FILE_INVALID"),
+    "result": ("RESULT_JSON_MISSING", "RESULT_JSON_INVALID"),
+    "manifest": ("INDEX_MANIFEST_MISSING", "INDEX_MANIFEST_INVALID"),
+}
+
+
+def file_rules(expected: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """Expected files (doc_id, kind: a key of FILES, path) against those found (path, content as text)."""
+    both = expected.join(found, "path", "left")
+    is_object = lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False))
+    lines = F.filter(F.split(F.col("content"), "\n"), lambda x: F.trim(x) != "")
+    good = F.when(F.col("kind") == "retrieval", F.forall(lines, is_object)).otherwise(is_object(F.col("content")))
+    rows = both.withColumn("missing", F.col("content").isNull()).withColumn("good", good)
+    out = []
+    for kind, (lost, broken) in FILES.items():
+        own = rows.where(F.col("kind") == kind)
+        out += [_find(own.where("missing"), "error", lost, "path"), _find(own.where("not missing and not good"), "error", broken, "path")]
+    return out
+
+
+def asset_rules(nodes: DataFrame, meta: DataFrame, listed: DataFrame, roots: list[str]) -> list[DataFrame]:
+    """Local images of figures, and source documents, that are under none of the roots. listed: path of the files that are there."""
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    there = listed.select(plain.alias("candidate")).distinct()
+
+    def lost(rows: DataFrame, path: str) -> DataFrame:
+        local = rows.where((F.trim(F.coalesce(path, F.lit(""))) != "") & ~T.is_remote(F.col(path))).withColumn("__row", F.monotonically_increasing_id())
+        under = F.array(F.col(path), *[F.concat(F.lit(r.rstrip("/") + "/"), F.col(path)) for r in roots])
+        tried = local.select("__row", F.explode(F.when(F.col(path).startswith("/"), F.array(F.col(path))).otherwise(under)).alias("candidate"))
+        return local.join(tried.join(there, "candidate").select("__row").distinct(), "__row", "left_anti")
+
+    said = F.coalesce(F.nullif(F.get_json_object("metadata", "$.image_path"), F.lit("")), F.get_json_object("metadata", "$.image_url"))
+    return [
+        _find(lost(nodes.where("node_type = 'figure'").withColumn("image", said), "image"), "error", "FIGURE_IMAGE_NOT_FOUND", "node_id", "image"),
+        _find(lost(meta, "source_file"), "warning", "SOURCE_DOCUMENT_NOT_FOUND", "source_file"),
+    ]
+
+
+def deep_check_rule(meta: DataFrame, dependency: str) -> list[DataFrame]:
+    """A warning for every document where the module that a deep check of its index asks for can't be imported."""
+    import importlib.util
+
+    missing = importlib.util.find_spec(dependency) is None
+    return [_find(meta.where(F.lit(missing)).withColumn("dependency", F.lit(dependency)), "warning", "INDEX_DEEP_CHECK_UNAVAILABLE", "dependency")]
 
 
 def result_rules(used: DataFrame, nodes: DataFrame) -> list[DataFrame]:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, clean, graph, parse, retrieve, validate
+from ..operators import chunk, clean, graph, parse, profiles, render, retrieve, validate
+from ..operators import embed as embedding
 
 
 @dataclass
@@ -32,8 +33,14 @@ class Built:
         return graph.statistics(self.nodes, self.edges)
 
 
-def build(docs: DataFrame, limit: int = chunk.MAX_TOKENS, overlap: int = chunk.OVERLAP, cleaned: bool = False, keep: str | None = None) -> Built:
-    """From doc_id, source_file and md_text to tables. With `keep`, a folder, each step is written there as Parquet and read again."""
+def build(
+    docs: DataFrame, limit: int = chunk.MAX_TOKENS, overlap: int = chunk.OVERLAP, cleaned: bool = False, keep: str | None = None, client=None, metadata: bool = True,
+    sentences=chunk.split_sentences, tokens=chunk.spans,
+) -> Built:
+    """From doc_id, source_file and md_text to tables. With `keep`, a folder, each step is written there as Parquet and read again.
+
+    `cleaned` texts aren't cleaned, and without `metadata` no profiles are made; `client` is asked for them (see profiles.structured).
+    """
 
     def step(df: DataFrame, name: str) -> DataFrame:
         if not keep:
@@ -42,35 +49,76 @@ def build(docs: DataFrame, limit: int = chunk.MAX_TOKENS, overlap: int = chunk.O
         return df.sparkSession.read.parquet(f"{keep}/{name}")
 
     parsed = step(parse.documents(docs if cleaned else clean.clean_markdown(docs)), "parsed")
-    chunks = step(graph.with_mentions(chunk.chunks(parse.exploded(parsed, "sections"), limit, overlap)), "mentions")
-    nodes = step(graph.nodes(parsed, chunks), "nodes")
+    chunks = step(graph.with_mentions(chunk.chunks(parse.exploded(parsed, "sections"), limit, overlap, sentences, tokens)), "mentions")
+    nodes = graph.nodes(parsed, chunks)
+    if metadata and client:
+        nodes = graph.upsert_metadata(nodes, profiles.nodes(profiles.structured(parsed, client)))
+    nodes = step(nodes, "nodes")
     cites = step(graph.citation_edges(chunks, nodes), "citations")
     edges = step(graph.structure_edges(nodes).union(cites), "edges")
     chunks = step(graph.with_nearby(chunks, cites).withColumn("evidence_uid", T.evidence_uid(F.col("doc_id"), F.col("node_id"))), "chunks")
     return Built(parsed, chunks, nodes, edges)
 
 
+def summary(docs: DataFrame, built: Built, steps: dict[str, bool]) -> DataFrame:
+    """One row per document: the steps and whether they ran, parts found and statistics of its graph; documents without nodes have zeros."""
+    ran = F.create_map(*[x for name, done in steps.items() for x in (F.lit(name), F.lit("completed" if done else "skipped"))])
+    found = docs.select("doc_id", "source_file").join(parse.processing_info(built.parsed), "doc_id", "left").join(built.statistics(), "doc_id", "left")
+    return found.fillna(0).withColumn("steps", ran)
+
+
 @dataclass
 class Answered:
     analyzed: DataFrame
     hits: DataFrame
     evidence: DataFrame
     answers: DataFrame
+    shown: DataFrame
+    meta: DataFrame
+    citations: DataFrame
+    task: str
 
     def packages(self) -> DataFrame:
-        return retrieve.packaged(self.analyzed, self.hits, self.evidence, self.answers)
+        return render.packaged(self.analyzed, self.hits, self.evidence, self.answers, self.shown, self.meta, self.citations, self.task)
+
+
+def vectors(built: Built, embed=embedding.hashing) -> DataFrame:
+    """The index rows of a built corpus: search rows with their vector. A text over the model's limit is refused by embed.refuse_overlong(embed.lengths(...))."""
+    return embedding.embedded(built.search_rows.select("doc_id", "node_id", "source_file", "evidence_uid", "bucket", "text"), "text", embed)
+
 
+def answer(
+    built: Built, queries: DataFrame, k: int | None = None, n: int | None = None, structure: bool = True, association: bool = True, mode: str = "full", search: str = "lexical",
+    index: DataFrame | None = None, embed=embedding.hashing, score=retrieve.overlap_score, analyst=None, generator=None, task: str = "qa", fallback: bool = False, limit: DataFrame | None = None,
+) -> Answered:
+    """Queries (query_id, query) through routing, search, reranking, expansion, caps, budget, rendering and answers.
 
-def answer(built: Built, queries: DataFrame, k: int | None = None, n: int | None = None, structure: bool = True, association: bool = True, mode: str = "full") -> Answered:
-    """Queries (query_id, query) through routing, lexical search, reranking, expansion, caps and budget."""
+    search: lexical, or vector over `index` (by default vectors() of the corpus). Models come in as callables: `analyst` (see
+    retrieve.analyzed_by), `embed`, `score` (the reranker) and `generator` (see render.generated), each with a default that needs
+    none. `limit` (query_id, evidence_uid) lists the only evidence that a query may use.
+    """
     k, n = retrieve.depth(k, n)
-    analyzed = retrieve.analyze(queries, structure and mode != "wo_structure")
-    hits = retrieve.lexical(analyzed, built.search_rows, k).join(analyzed.select("query_id", F.col("normalized_query").alias("query")), "query_id")
-    hits = retrieve.rerank(hits, retrieve.overlap_score, n)
+    structure = structure and mode != "wo_structure"
+    analyzed = retrieve.analyzed_by(queries, analyst, structure) if analyst else retrieve.analyze(queries, structure)
+    rows = built.search_rows
+    if search == "vector":
+        hits = embedding.search(analyzed, vectors(built, embed) if index is None else index, k, embed)
+        hits = embedding.enriched(hits, rows, built.nodes)
+    elif search == "lexical":
+        hits = retrieve.lexical(analyzed, rows, k)
+    else:
+        raise ValueError(f"unknown search {search!r}")
+    hits = hits.join(analyzed.select("query_id", F.col("normalized_query").alias("query")), "query_id")
+    hits = retrieve.rerank(hits, score, n)
     evidence = retrieve.expand(hits, built.nodes, built.edges, built.chunks, association and mode != "wo_association")
-    evidence = retrieve.cap_objects(retrieve.ablated(evidence, mode))
-    evidence = retrieve.within_budget(retrieve.context_blocks(evidence, built.nodes))
-    return Answered(analyzed, hits, retrieve.numbered(evidence), retrieve.minimal_answers(analyzed, hits))
+    evidence = retrieve.ablated(evidence, mode)
+    if limit is not None:
+        evidence = render.allowed(evidence, limit)
+    evidence = retrieve.numbered(retrieve.within_budget(retrieve.context_blocks(retrieve.cap_objects(evidence), built.nodes)))
+    citations = profiles.paper_citation(built.nodes)
+    shown = render.payloads(render.render_ids(evidence, limit), built.nodes, citations)
+    answers = render.generated(analyzed, evidence, hits, generator, task, fallback=fallback) if generator else retrieve.minimal_answers(analyzed, hits)
+    return Answered(analyzed, hits, evidence, answers, shown, built.meta, citations, task)
 
 
 def checked(built: Built, limit: int = chunk.MAX_TOKENS) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Sources and sinks: Markdown, JSON, JSON lines under three error policies, archives, and indexes by bucket."""
+"""Sources and sinks: Markdown, JSON, JSON lines under three error policies, archives, images and assets."""
 
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,16 +73,56 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(T.document_id(F.regexp_replace(label, r"\.[^.]*$", "")).alias("doc_id"), label.alias("source_file"), F.col("path").alias("source_markdown"), "md_text")
 
 
-def image_uris(figures: DataFrame, images: DataFrame) -> DataFrame:
-    """Figures with image_uri: a remote address as it is, else the data URI of the image of that name. images: binaryFile rows."""
-    name, ext = T.source_label(F.col("path")), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    kind = F.when(ext == "jpg", "jpeg").otherwise(ext)
-    data = images.select(name.alias("__name"), F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("content")).alias("__data")).dropDuplicates(["__name"])
-    joined = figures.withColumn("__name", T.source_label(F.col("image_path"))).join(data, "__name", "left")
-    return joined.withColumn("image_uri", F.when(T.is_remote(F.col("image_path")), F.col("image_path")).otherwise(F.col("__data"))).drop("__name", "__data")
-
-
-def write_index(rows: DataFrame, path: str) -> DataFrame:
-    """An index table by bucket, wholly replaced, and its manifest."""
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return rows.groupBy("doc_id", "source_file", "bucket").agg(F.count("*").alias("documents"))
+def image_uris(figures: DataFrame, images: DataFrame, base: str = "base_dir") -> DataFrame:
+    """Figures with image_uri: a remote address as it is, else the data URI of the first image that is there of: an absolute path, the
+    path under the document's folder, under that folder's parent, and the path alone. images: rows of the binaryFile source."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "^file:/+", "/"), "/(?:[.]/)+", "/")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.when(ext == "jpg", "jpeg").when(ext == "", "png").otherwise(ext)
+    data = images.select(plain(F.col("path")).alias("__path"), F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("content")).alias("__data")).dropDuplicates(["__path"])
+    there = F.coalesce(F.nullif(F.trim("image_url"), F.lit("")), F.lit("")) if "image_url" in figures.columns else F.lit("")
+    said = F.coalesce(F.nullif(F.trim("image_path"), F.lit("")), there)
+    home = F.rtrim(F.coalesce(F.col(base), F.lit("")), F.lit("/")) if base in figures.columns else F.lit("")
+    parent = F.regexp_replace(home, "/[^/]+$", "")
+    tried = F.when(said.startswith("/"), F.array(said)).when(home == "", F.array(said)).otherwise(F.array(F.concat(home, F.lit("/"), said), F.concat(parent, F.lit("/"), said), said))
+    rows = figures.withColumn("__row", F.monotonically_increasing_id()).withColumn("__remote", F.when(T.is_remote(there), there).when(T.is_remote(said), said))
+    asked = rows.where(F.col("__remote").isNull() & (said != "")).select("__row", F.posexplode(tried).alias("__at", "__path")).withColumn("__path", plain(F.col("__path")))
+    first = asked.join(data, "__path").groupBy("__row").agg(F.min_by("__data", "__at").alias("__data"))
+    return rows.join(first, "__row", "left").withColumn("image_uri", F.coalesce("__remote", "__data")).drop("__row", "__remote", "__data")
+
+
+def copy_assets(spark: SparkSession, source: str, target: str) -> int:
+    """Copies a Markdown file and the `images` folder beside it (which replaces one that is there) into a folder, by the store's own
+    file system; the number of files copied."""
+    jvm = spark.sparkContext._jvm
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
+    copy = jvm.org.apache.hadoop.fs.FileUtil.copy
+    file, folder = path(source), path(target)
+    fs, out = file.getFileSystem(conf), folder.getFileSystem(conf)
+    out.mkdirs(folder)
+    copy(fs, file, out, path(folder, file.getName()), False, True, conf)
+    images, kept = path(file.getParent(), "images"), path(folder, "images")
+    if not fs.exists(images):
+        return 1
+    out.delete(kept, True)
+    copy(fs, images, out, kept, False, True, conf)
+    return 1 + fs.getContentSummary(images).getFileCount()
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Each row as an indented JSON object in a file of its own; text beyond ASCII stays as it is."""
+    df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).repartition(F.spark_partition_id()).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def secret(names: tuple[str, ...], env_file: str | None = None) -> tuple[str, str]:
+    """The first of some environment variables that is set, and its name; a file of NAME=value lines fills in those that aren't."""
+    values = dict(os.environ)
+    if env_file:
+        with open(env_file, encoding="utf-8") as f:
+            pairs = (line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#"))
+            for name, _, value in pairs:
+                values.setdefault(name.strip(), value.strip().strip("\"'"))
+    for name in names:
+        if values.get(name):
+            return values[name], name
+    raise ValueError(f"none of {', '.join(names)} is set")
