@@ -7,6 +7,7 @@ on UTF-8 bytes gives the same words as working on code points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,16 +127,29 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def released() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def _slices(batch: pa.RecordBatch, text: str, size: int, rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    done = 0
+    buf, offsets = buffers(column(batch, text))
+    while done < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[done] + size, "right")) - 1
+        end = min(max(end, done + 1), done + rows, batch.num_rows)
+        yield batch.slice(done, end - done), buf[offsets[done] : offsets[end]], offsets[done : end + 1] - offsets[done]
+        done = end
+
+
 def chunks(batches, text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with about `size` bytes of text at most, one text at least."""
     for batch in batches:
-        done = 0
-        buf, offsets = buffers(column(batch, text))
-        while done < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[done] + size, "right")) - 1
-            end = min(max(end, done + 1), done + rows, batch.num_rows)
-            yield batch.slice(done, end - done), buf[offsets[done] : offsets[end]], offsets[done : end + 1] - offsets[done]
-            done = end
+        yield from _slices(batch, text, size, rows)
+    released()
 
 
 def gathered(batches, text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -143,7 +157,7 @@ def gathered(batches, text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
     kept: list[pa.RecordBatch] = []
     held = 0
     for batch in batches:
-        for part, buf, _ in chunks([batch], text, size, rows):
+        for part, buf, _ in _slices(batch, text, size, rows):
             if kept and (held + len(buf) > size or sum(x.num_rows for x in kept) + part.num_rows > rows):
                 table = pa.Table.from_batches(kept).combine_chunks()
                 yield (table, *buffers(column(table, text)))
@@ -152,4 +166,6 @@ def gathered(batches, text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
             held += len(buf)
     if kept:
         table = pa.Table.from_batches(kept).combine_chunks()
+        kept = []
         yield (table, *buffers(column(table, text)))
+    released()

@@ -10,7 +10,8 @@ Training reads a bounded sample of labelled rows: the SAMPLE ids that come first
 id, of each class SAMPLE at most. Nothing else is limited; every text is scored whole.
 
 Defined cases: null texts score as empty ones (by the intercept); repeated rows each get a row;
-labels whose class is null are left out; an id labelled both ways counts as toxic; without
+labels whose class is null are left out; an id labelled both ways counts as toxic, a
+labelled id with several texts by the least of them; without
 labelled rows of both classes every text scores the share of toxic rows (0 if none). No input
 but the text reaches a score.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._io import table, written
-from ._text import chunks, column, mix
+from ._text import chunks, column, distinct, mix
 
 ORDERS = (4, 5, 6, 7, 8)
 BITS = 22
@@ -41,7 +42,7 @@ THRESHOLD = 0.3
 ALPHA, PENALTY, STEPS = 0.5, 1e-3, 400
 
 #: Bytes of text whose n-grams are hashed at once.
-STRETCH = 1 << 19
+STRETCH = 1 << 17
 
 _U = np.uint64
 
@@ -78,7 +79,7 @@ def present(texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarr
         c = np.where(f >= 0, codes[f], -1) if codes is not None else f
         on = np.flatnonzero(c >= 0)
         pairs.append(doc[on].astype(np.int64) << BITS | c[on])
-    pair = np.unique(np.concatenate(pairs))
+    pair = distinct(np.concatenate(pairs))
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -104,43 +105,59 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, f = present([x or "" for x in column(rows, "text").to_pylist()])
         toxic = column(rows, "toxic").to_numpy()[doc] == 1
         for k in (0, 1):
-            some, n = np.unique(f[toxic == k], return_counts=True)
-            counts[k, some] += n.astype(np.int32)
-    f = np.flatnonzero(counts.any(0))
+            some = np.sort(f[toxic == k])
+            heads = np.flatnonzero(np.diff(some, prepend=-1))
+            counts[k, some[heads]] += np.diff(heads, append=len(some)).astype(np.int32)
+    f = np.flatnonzero(counts[0] | counts[1])
     for at in range(0, len(f), 50_000):
         part = f[at : at + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(counts[k, part].astype(np.int64)) for k in (0, 1))], ["f", "q", "p"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class of each text, and the codes of its features as 16-bit integers."""
     for rows, _, _ in chunks(batches, "text", STRETCH):
         doc, f = present([x or "" for x in column(rows, "text").to_pylist()], codes)
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)), pa.array(f.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([column(rows, "toxic").cast(pa.int32()), lists], ["toxic", "f"])
+        ends = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        f = f.astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([column(rows, "toxic").cast(pa.int32()), pa.array([f[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["toxic", "f"])
+
+
+def fit(rows: pa.Table, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression on scaled presence, by accelerated gradient steps; rows of _marked()."""
+    rows = rows.sort_by([("toxic", "ascending"), ("f", "ascending")])  # in whatever order tasks ended
+    packed = pa.concat_arrays(rows.column("f").chunks)
+    y = rows.column("toxic").to_numpy().astype(float)
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    f = np.frombuffer(packed.buffers()[2], np.uint16)[ends[0] // 2 : ends[-1] // 2]
+    bounds = (ends - ends[0]) // 2
+    n = len(y)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+    x = ratio[f].astype(np.float32)
+    full = np.flatnonzero(np.diff(bounds))  # texts with a feature
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        z = np.zeros(n)
+        if len(full):
+            z[full] = np.add.reduceat(x * v[f].astype(np.float32), bounds[full], dtype=float)
+        return z
+
+    def backward(u: np.ndarray) -> np.ndarray:
+        return np.bincount(f, x * u[doc].astype(np.float32), len(ratio)) / n
 
-
-def fit(rows: list[tuple[int, list[int]]], ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression on scaled presence, by accelerated gradient steps."""
-    y = np.array([r[0] for r in rows], float)
-    size = np.array([len(r[1]) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    f = np.concatenate([np.asarray(r[1], np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    x = ratio[f]
     w, b = np.zeros(len(ratio)), float(np.log(y.mean() / (1 - y.mean())))
     # a bound of the curvature by a few power iterations
-    v = np.ones(len(ratio))
+    v, top = np.ones(len(ratio)), 0.0
     for _ in range(8):
-        u = np.bincount(doc, x * v[f], len(rows))
-        v = np.bincount(f, x * u[doc], len(ratio)) / len(rows)
+        v = backward(forward(v))
         top = float(np.linalg.norm(v))
         v = v / top if top else v
     rate = 1 / (0.25 * (top + 1) * 1.1 + PENALTY)
     pw, pb, a = w, b, 1.0
     yw, yb = w, b
     for _ in range(STEPS):
-        z = yb + np.bincount(doc, x * yw[f], len(rows))
-        g = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-        w = yw - rate * (np.bincount(f, x * g[doc], len(ratio)) / len(rows) + PENALTY * yw)
+        g = 1 / (1 + np.exp(-np.clip(yb + forward(yw), -700, 700))) - y
+        w = yw - rate * (backward(g) + PENALTY * yw)
         b = yb - rate * float(g.mean())
         na = (1 + (1 + 4 * a * a) ** 0.5) / 2
         yw, yb = w + (a - 1) / na * (w - pw), b + (a - 1) / na * (b - pb)
@@ -154,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     known = labels.select(F.col(ids).alias("__id"), F.col(label).cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col(ids).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id").select("text", "toxic")  # 2 * sample rows at most
+    rows = docs.select(F.col(ids).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id")
+    rows = rows.groupBy("__id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")  # 2 * sample rows at most
     rows = written(rows, "labelled")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     whole = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -175,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     ratio = np.log((np.array([r.p for r in best]) + ALPHA) / (P + 2 * ALPHA)) - np.log((np.array([r.q for r in best]) + ALPHA) / (Q + 2 * ALPHA))
     codes[f] = np.arange(len(f))
     shared = rows.sparkSession.sparkContext.broadcast(codes)
-    marked = rows.mapInArrow(lambda it: _marked(it, shared.value), "toxic int, f array<int>").collect()  # bounded by the sample
-    w, b = fit(sorted((r.toxic, list(r.f)) for r in marked), ratio)
+    marked = rows.mapInArrow(lambda it: _marked(it, shared.value), "toxic int, f binary").toArrow()  # bounded by the sample
+    w, b = fit(marked, ratio)
+    shared.destroy()
     b += float(np.log(whole[1] / whole[0]) - np.log(P / Q))  # the classes' shares among all labelled rows, not in the sample
     return Model(codes, w * ratio, b)
 
