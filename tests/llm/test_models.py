@@ -42,11 +42,21 @@ def test_n_best_is_brute_force():
             assert p.decode(other) == text
     alone, together = pieces.Pieces(pieces.PUBLIC_MODEL), pieces.Pieces(pieces.PUBLIC_MODEL)
     words = [f"word{k}x\x02" if k % 3 else f"größe{k}" for k in range(60)]
-    together.prepare(words)
+    together.encode_all(words, 3)
     for w in words:
         assert together.encode(w, 3)[1] == [s for s, _ in n_best_text(alone, w, 3)]
 
 
+def test_segmentation_is_the_same_however_cut(monkeypatch):
+    """Long texts cut between words, long words alone, and an emptied cache change nothing."""
+    texts = ["the  quick brown fox " * 30, "\u65e5\u672c\u8a9e text", "", "x" * 90 + " \x01\u00e9 end", " lead"]
+    want = pieces.Pieces(pieces.PUBLIC_MODEL).encode_all(texts, 4)
+    for name, value in (("STRETCH", 50), ("BULK", 3), ("CACHE", 2)):
+        monkeypatch.setattr(pieces, name, value)
+    got = pieces.Pieces(pieces.PUBLIC_MODEL).encode_all(texts, 4)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist() and got[2:] == want[2:]
+
+
 def n_best_text(p, text, n):
     found = [(0.0, ())]
     for part in p.chain(p.normal(text)):
@@ -78,6 +88,53 @@ def test_language_model(spark, odd):
     assert pitmanyor.score(odd, F.lit(False)).where("n_known > 0 or score >= 0").count() == 0
 
 
+def test_score_is_the_chain_of_restaurants(spark):
+    """Scores again from the kept states of all restaurants, word by word."""
+    texts = ["a b a b c", "a b c a", "b b a", "c a b a b", "zz a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") < 4
+    got = {r.doc_id: r.score for r in pitmanyor.score(docs, train).collect()}
+    pairs, words = Counter(), Counter()
+    for t in texts[:4]:
+        for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
+            pairs[u, w] += 1
+            words[w] += 1
+    h = {w: int(pitmanyor._word_seed(pa.array([w]))[0]) for w in ["", "a", "b", "c", "zz"]}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    vocab = spark.createDataFrame(list(words.items()), "word string, c long")
+    frame = spark.createDataFrame([(signed(h[u]), signed(h[w]), n) for (u, w), n in pairs.items()], "u long, w long, c long")
+    model, known = pitmanyor.fit_pairs(vocab, frame)
+    state = {r.h: np.frombuffer(r.state, np.float32).reshape(2, -1) for r in known.collect()}
+    for i, t in enumerate(texts):
+        total = 0.0
+        for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
+            each = []
+            for j, s in enumerate(model.states[-model.kept :], 1):
+                if w in words:
+                    p, before = state[signed(h[w])][0, j], state[signed(h[w])][0, j - 1]
+                else:
+                    p, before = s.log(pa.array([w]), np.zeros(1, np.int64), np.zeros(1, np.uint64))[0], 0.0
+                tt, old = (state[signed(h[u])][1, x] if u in words else 0.0 for x in (j, j - 1))
+                c = pairs[u, w]
+                seats = pitmanyor.pair_tables(*(np.array([h[x]], np.uint64) for x in (u, w)), np.array([c]), np.array([before]), np.array([old]), s.sweep)[0] if c else 0.0
+                n = words[u]  # every token but an end is a context once, and every text begins after an end
+                each.append((max(c - pitmanyor.DISCOUNT * seats, 0) + (pitmanyor.STRENGTH + pitmanyor.DISCOUNT * tt) * math.exp(p)) / (n + pitmanyor.STRENGTH))
+            total += math.log10(sum(each) / len(each))
+        assert got[i] == pytest.approx(total, rel=1e-5)
+
+
+def test_seating_follows_the_rule():
+    """Mean tables of many equal dishes against those of customers who sit down one by one."""
+    rng = np.random.default_rng(5)
+    for count, base, mass in ((5, 0.2, 3.0), (60, 0.05, 8.0), (400, 0.02, 30.0)):
+        n = 4000
+        got = pitmanyor.seated(np.full(n, count), np.full(n, base), rng.integers(0, 1 << 63, n).astype(np.uint64), 0.75, mass)
+        t = np.ones(n)
+        for done in range(1, count):
+            t += rng.random(n) < mass * base / (done - 0.75 * t + mass * base)
+        assert abs(got.mean() - t.mean()) < 5 * t.std() / n**0.5 + 0.01 * t.mean()
+
+
 def test_language_model_probabilities_add_up(spark):
     """Over all words of one and two bytes, and the rest by spelling, probabilities stay within one."""
     texts = spark.createDataFrame([("a b a ab a",), ("b a",)], "text string")
@@ -102,6 +159,17 @@ def test_language_model_reads_word_order(spark):
     assert got[201] > got[203]
 
 
+def test_odd_tool_arguments(spark):
+    """Numbers beyond doubles, long integers, lone surrogates, deep nesting and null dependencies are results, not crashes."""
+    said = ['{"query":"x","turn":1e400}', '{"query":"x","turn":' + "9" * 400 + "}", '{"query":"\\ud800","turn":1}', "[" * 100_000, '{"query":"a","turn":true}', None, '{"turn":1}']
+    rows = [(1, k, "user", None, f"c{k}", "ask", x, ["c9", None]) for k, x in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, depends_on array<string>")
+    got = {r.turn: r for r in toolcalls.link(df, toolcalls.ASK).collect()}
+    assert [got[k].valid for k in range(7)] == [False, True, True, False, False, False, False]
+    assert [got[k].errors for k in (0, 3, 4, 6)] == [["$: not JSON"], ["$: not JSON"], ["$.turn: type"], ["$.query: required"]] and r"\ud800" in got[2].json
+    assert toolcalls.violations(True, {"enum": [1]}) == ["$: enum"] and toolcalls.violations(1.0, {"enum": [1]}) == []
+
+
 def test_token_attribution(spark, odd):
     from tokenizers import Tokenizer
 
