@@ -94,7 +94,7 @@ def analyzed_by(queries: DataFrame, client: Callable[[pd.Series], pd.Series], st
     kind = F.lower(text("query_type"))
     known = F.array_distinct(F.filter(F.transform(many("retrieval_buckets"), lambda b: F.lower(T.strip(b))), lambda b: b.isin(*BUCKETS)))
     route = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("results"), F.lit("discussion")))
-    model = {
+    fields = {
         "normalized_query": F.coalesce(F.nullif(text("normalized_query"), F.lit("")), "normalized_query"),
         "query_type": F.when(kind.isin(*KINDS), kind).otherwise("fact"),
         "sub_questions": F.filter(F.transform(many("sub_questions"), lambda x: T.strip(x)), lambda x: x != ""),
@@ -103,7 +103,7 @@ def analyzed_by(queries: DataFrame, client: Callable[[pd.Series], pd.Series], st
         **{n: yes(n) for n in NEEDS},
     }
     both = plain.join(said, "query_id", "left")
-    return both.select(*[F.when(F.col("said").isNotNull(), model[c]).otherwise(F.col(c)).alias(c) if c in model else F.col(c) for c in plain.columns], F.when(F.col("said").isNotNull(), "model").otherwise("rules").alias("analyzed_by"))
+    return both.select(*[F.when(F.col("said").isNotNull(), fields[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in plain.columns], F.when(F.col("said").isNotNull(), "model").otherwise("rules").alias("analyzed_by"))
 
 
 def task_mode(mode: str) -> str:

@@ -212,12 +212,15 @@ def equation_extract(spark, d):
 
 
 @query("""
-with p as (select doc_id, i as n, 'c' || i as id from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i))
-select doc_id, id, lag(id) over w as prev_chunk_id, lead(id) over w as next_chunk_id, (row_number() over w)::int as global_order from p window w as (partition by doc_id order by n)""")
+with s as (select l_orderkey::varchar as doc_id, l_suppkey as section, row_number() over (partition by l_orderkey, l_suppkey order by l_linenumber, l_partkey) as n, l_linenumber, l_partkey from lineitem)
+select doc_id, 's' || section || '__chunk_' || n as id, case when n > 1 then 's' || section || '__chunk_' || (n - 1) end as prev_chunk_id, lead('s' || section || '__chunk_' || n) over (partition by doc_id, section order by n) as next_chunk_id,
+ (row_number() over (partition by doc_id order by section, n))::int as global_order, 'Line ' || l_linenumber || ' of ' || l_partkey || '.' as text from s""")
 def chunk_links(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select("doc_id", "n", F.concat(F.lit("c"), F.col("n") + 1).alias("id"))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    return lines.select("doc_id", "id", F.lag("id").over(w).alias("prev_chunk_id"), F.lead("id").over(w).alias("next_chunk_id"), F.row_number().over(w).alias("global_order"))
+    line = F.concat(F.lit("Line "), "l_linenumber", F.lit(" of "), "l_partkey", F.lit("."))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("x")))), lambda r: r["x"]), "\n\n").alias("content"))
+    none = F.lit(None).cast("string")
+    sections = rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("f").alias("source_file"), F.col("l_suppkey").cast("int").alias("ord"), F.concat(F.lit("s"), "l_suppkey").alias("section_id"), none.alias("section_number"), none.alias("section_title"), none.alias("section_title_full"), none.alias("parent_section_id"), F.array().cast("array<string>").alias("hierarchy"), "content")
+    return chunk.chunks(sections).select("doc_id", F.col("node_id").alias("id"), "prev_chunk_id", "next_chunk_id", "global_order", "text")
 
 
 @query("""
@@ -256,16 +259,18 @@ def object_cap(spark, d):
 
 
 @query("""
-with h as (select o_custkey as doc_id, o_orderkey as ord, 'o' || o_orderkey as id, o_orderkey % 3 + 1 as l0, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders),
-l as (select *, case when rn = 1 then 1 else l0 end as wanted from h),
-s as (select *, sum(case when wanted = 1 then 1 else 0 end) over (partition by doc_id order by ord) as c1 from l)
-select doc_id, ord, c1::int as chapter, (count(*) over (partition by doc_id, c1 order by ord) - 1)::int as within from s""")
+with h as (select o_custkey as doc_id, o_orderkey, (row_number() over w)::int as ord, case when row_number() over w = 1 then 1 else o_orderkey % 3 + 1 end as level from orders window w as (partition by o_custkey order by o_orderkey)),
+a as (select *, sum((level = 1)::int) over (partition by doc_id order by ord) as c1 from h),
+b as (select *, sum((level = 2)::int) over (partition by doc_id, c1 order by ord) as c2 from a),
+c as (select *, sum((level = 3)::int) over (partition by doc_id, c1, c2 order by ord) as c3 from b)
+select doc_id::varchar as doc_id, ord, level::int as level, 'T' || o_orderkey as title, array_to_string(list_filter(case level when 1 then [c1] when 2 then [c1, c2] else [c1, c2, c3] end, lambda x: x > 0), '.') as number from c""")
 def section_counters(spark, d):
-    h = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"))
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    level = F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("ord") % 3 + 1)
-    s = h.withColumn("level", level).withColumn("chapter", F.sum((F.col("level") == 1).cast("int")).over(w).cast("int"))
-    return s.select("doc_id", "ord", "chapter", (F.count("*").over(Window.partitionBy("doc_id", "chapter").orderBy("ord")) - 1).cast("int").alias("within"))
+    h = read(spark, d, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    level = F.when(F.col("n") == 1, 1).otherwise(F.col("o_orderkey") % 3 + 1).cast("int")
+    head = F.concat(F.repeat(F.lit("#"), level + 1), F.lit(" T"), "o_orderkey", F.lit("\nBody."))
+    md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", head.alias("x")))), lambda r: r["x"]), "\n\n")
+    docs = h.groupBy("o_custkey").agg(md.alias("md_text")).select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit("f").alias("source_file"), "md_text")
+    return parse.exploded(parse.documents(docs), "sections").select("doc_id", "ord", "level", F.col("section_title").alias("title"), F.col("section_number").alias("number"))
 
 
 def _orders_graph(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -295,8 +300,9 @@ def dangling_edges(spark, d):
 
 @query(f"with l as ({_LINES}) select doc_id, source, array_to_string(list_sort(list_distinct(list(target))), ',') as nearby from l group by all")
 def nearby_ids(spark, d):
-    _, edges = _orders_graph(spark, d)
-    return edges.groupBy("doc_id", "source").agg(_joined(F.array_sort(F.collect_set("target"))).alias("nearby"))
+    nodes, edges = _orders_graph(spark, d)
+    near = graph.with_nearby(nodes.where("node_type = 'section_chunk'").select("doc_id", "node_id"), edges)
+    return near.where(F.size("nearby_evidence_ids") > 0).select("doc_id", F.col("node_id").alias("source"), _joined(F.col("nearby_evidence_ids")).alias("nearby"))
 
 
 @query(f"""
@@ -365,7 +371,7 @@ def corpus_findings(spark, d):
     return validate.report(pipeline.checked(_built(spark, d)))
 
 
-@query()
+@query("select doc_id::varchar as doc_id, 'Table 1' as table_number, 'Name,Value' as columns, 'a,' || doc_id as cells, 1 as header_rows from documents")
 def table_grids(spark, d):
     parsed = parse.documents(clean.clean_markdown(papers(spark, d)))
     return parse.exploded(parsed, "tables").select("doc_id", "table_number", _joined(F.col("data.columns")).alias("columns"), _joined(F.flatten("data.rows")).alias("cells"), F.col("data.data_start_row").alias("header_rows"))

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from docquarry.plans import registry
+from docquarry.plans import papers, registry, rules  # noqa: F401  papers and rules add to the registry
 
 TABLES = "/root/testdata/sf0.001"
 
