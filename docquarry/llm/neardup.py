@@ -366,3 +366,15 @@ def keep_one(docs: DataFrame, ids: str = "doc_id", **options) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 2-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+_SHINGLE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: The same in DuckDB: shared shingles of all pairs, and components as what a document reaches.
+OP9_SQL = f"""
+with recursive d as (select doc_id, {_SHINGLE_WORDS} as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+m as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l as (select a, b from m union all select b, a from m),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, len(s)::bigint as n_shingles, c.least_id as component_id, s.doc_id = c.least_id as kept from s join (select a, min(b) as least_id from r group by a) c on c.a = s.doc_id"""

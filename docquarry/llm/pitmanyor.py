@@ -8,19 +8,21 @@ before the word and as its end), which share parents: those of one byte, and the
 all 256 bytes. A table of the word restaurant sends its word's bytes as customers to the byte
 restaurants, a table there sends one to the parent.
 
-Seating is sampled by Gibbs sweeps from one table for each dish on: given the parent's
-probabilities and the number of tables, the customers of each pair of words, then those of each
-word are seated anew by the Chinese-restaurant rule, one by one up to ONE_BY_ONE and in growing
-blocks of customers beyond; then byte restaurants level by level, without a state of their own
-from sweep to sweep. After BURN_IN sweeps, the probabilities under SAMPLES states are averaged.
+Seating is sampled by Gibbs sweeps from one table for each dish on: given the parent's probabilities
+and the number of tables of the sweep before, the customers of each pair of words, then those of each
+word, then those of the byte restaurants level by level are seated anew by the Chinese-restaurant
+rule. Customers of a dish sit down one by one up to ONE_BY_ONE, and beyond in blocks of a ONE_BY_ONEth
+of those seated, whose chance of a new table is that at the block's beginning. After BURN_IN sweeps,
+the probabilities under SAMPLES states are averaged.
 
 What grows with the corpus stays distributed: counts of pairs and of words are tables, seating
 runs over their partitions (random numbers are hashes of the words and the sweep, so a lost task
 repeats its draws, and scoring repeats them instead of keeping tables of each pair). A pair that
 occurs once has one table always, so that only others are joined in a sweep. Words are told apart
-by 64-bit hashes. Only byte restaurants reach the driver: at most 65,793 of 256 bytes, whatever
-the corpus. Documents meet in blocks of about BLOCK_TOKENS tokens; a block asks once for each
-distinct word and pair, so no join carries a row per token, and hot ones no more than one per block.
+by 64-bit hashes. Only byte restaurants and the FREQUENT most frequent words meet in one place: at
+most 65,793 restaurants of 256 bytes, whatever the corpus. Documents meet in blocks of about
+BLOCK_TOKENS tokens; a block asks once for each distinct word and pair whose counts it doesn't know
+itself, so no join carries a row per token, and hot ones no more than one per block.
 
 Defined cases: null texts are empty (one end token); rows with a null id are training rows and
 score like others; repeated rows count as often as they occur; an empty table scores nothing.
@@ -37,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import table, written
-from ._text import NOT_SPACE, Words, buffers, column, gathered, mix
+from ._io import dropped, table, written
+from ._text import NOT_SPACE, Words, buffers, column, distinct, gathered, mix
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 #: Of byte restaurants.
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 1, 2
 ONE_BY_ONE = 64
+#: Words that every task gets; others are asked for.
+FREQUENT = 1 << 16
 BLOCK_TOKENS = 1_000_000
 #: The base score's added count.
 ADDED = 0.1
@@ -55,10 +59,13 @@ _SPACE = 0x20
 
 @dataclass
 class Spelling:
-    """Log probabilities of bytes: `rows` has the row of `log` for each context of two bytes."""
+    """Log probabilities of bytes: `rows` has the row of `log` for each context of two bytes. Then what the next sweep goes by:
+    tables of each restaurant of two bytes, one and none, and probabilities under one byte and none."""
 
     rows: np.ndarray
     log: np.ndarray
+    tables: tuple[np.ndarray, np.ndarray, float]
+    parents: tuple[np.ndarray, np.ndarray]
 
     def words(self, texts: pa.Array) -> np.ndarray:
         context, byte, start = spelled(texts)
@@ -93,7 +100,7 @@ def seated(count: np.ndarray, base: np.ndarray, seed: np.ndarray, discount: floa
     done, step = 1, 0
     live = np.flatnonzero(count > 1)
     while len(live):
-        block = 1 if done < ONE_BY_ONE else done // 16
+        block = max(1, done // ONE_BY_ONE)
         block_n = np.minimum(block, count[live] - done)
         p = new[live] / (np.maximum(done - discount * tables[live], 1e-12) + new[live])
         step += 1
@@ -104,26 +111,29 @@ def seated(count: np.ndarray, base: np.ndarray, seed: np.ndarray, discount: floa
     return tables
 
 
-def spelling(counts: np.ndarray, at: np.ndarray, sweep: int) -> Spelling:
-    """A sampled state of the byte restaurants: counts of customers at numbers context * 256 + byte."""
+def spelling(counts: np.ndarray, at: np.ndarray, sweep: int, last: Spelling | None) -> Spelling:
+    """A sampled state of the byte restaurants: counts of customers at numbers context * 256 + byte; each level sits down under the parents of the state before."""
     context, byte = at >> 8, at & 255
-    seed = mix(at.astype(_U) + _U((sweep + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
     seen, row = np.unique(context, return_inverse=True)
-    # the root's and the one-byte restaurants' states follow from tables below; two rounds let parents settle
-    base2 = np.full(len(at), 1 / 256)
-    for again in range(2):
-        total_tables = np.zeros(len(seen)) if again == 0 else np.bincount(row, t2, len(seen))
-        t2 = seated(counts, base2, seed + _U(again), BYTE_DISCOUNT, (BYTE_STRENGTH + BYTE_DISCOUNT * total_tables)[row])
-        c1 = np.bincount((context & 255) * 256 + byte, t2, 65536)
-        has1 = np.flatnonzero(c1)
-        t1 = np.zeros(65536)
-        base1 = np.full(len(has1), 1 / 256)
-        t1[has1] = seated(c1[has1].astype(np.int64), base1, mix(has1.astype(_U) + _U(sweep)), BYTE_DISCOUNT, BYTE_STRENGTH)
-        c0 = t1.reshape(256, 256).sum(0)
-        t0 = seated(c0.astype(np.int64), np.full(256, 1 / 256), mix(np.arange(256, dtype=_U) + _U(sweep)), BYTE_DISCOUNT, BYTE_STRENGTH)
-        p0 = _predict(c0[None], t0[None], np.full((1, 256), 1 / 256))[0]
-        p1 = _predict(c1.reshape(256, 256), t1.reshape(256, 256), np.broadcast_to(p0, (256, 256)))
-        base2 = p1[context & 255, byte]
+
+    def seats(count: np.ndarray, base: np.ndarray, own: np.ndarray, level: int, tables: np.ndarray) -> np.ndarray:
+        if last is None:
+            return (count > 0).astype(float)
+        seed = mix(own.astype(_U) + _U((3 * sweep + level + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        return seated(count, base, seed, BYTE_DISCOUNT, BYTE_STRENGTH + BYTE_DISCOUNT * tables)
+
+    old2, old1, old0 = last.tables if last else (np.zeros(65536), np.zeros(256), 0.0)
+    q1, q0 = last.parents if last else (np.full((256, 256), 1 / 256), np.full(256, 1 / 256))
+    t2 = seats(counts, q1[context & 255, byte], at, 0, old2[context])
+    c1 = np.bincount((context & 255) * 256 + byte, t2, 65536).astype(np.int64)
+    some = np.flatnonzero(c1)
+    t1 = np.zeros(65536)
+    t1[some] = seats(c1[some], q0[some & 255], some, 1, old1[some >> 8])
+    c0 = t1.reshape(256, 256).sum(0).astype(np.int64)
+    t0 = seats(c0, np.full(256, 1 / 256), np.arange(256), 2, np.full(256, old0))
+    p0 = _predict(c0[None], t0[None], np.full((1, 256), 1 / 256))[0]
+    p1 = _predict(c1.reshape(256, 256), t1.reshape(256, 256), np.broadcast_to(p0, (256, 256)))
+    tables = np.bincount(context, t2, 65536), t1.reshape(256, 256).sum(1), float(t0.sum())
     log = np.empty((len(seen) + 256, 256), np.float32)
     for lo in range(0, len(seen), 4096):
         part = slice(lo, lo + 4096)
@@ -136,7 +146,7 @@ def spelling(counts: np.ndarray, at: np.ndarray, sweep: int) -> Spelling:
     log[len(seen) :] = np.log(p1)
     rows = (len(seen) + (np.arange(65536) & 255)).astype(np.int32)
     rows[seen] = np.arange(len(seen))
-    return Spelling(rows, log.reshape(-1))
+    return Spelling(rows, log.reshape(-1), tables, (p1, p0))
 
 
 def _predict(c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -243,13 +253,14 @@ def _swept(words: DataFrame, name: str, last: State | None) -> State:
     spark = words.sparkSession
     sweep = last.sweep + 1 if last else 0
     shared = spark.sparkContext.broadcast((last.after, last.tables, sweep) if last else None)
-    rows = words.mapInArrow(lambda it: _customers(it, name, shared.value), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 ** 24 + 1 at most
-    at, n = np.array([r.at for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    rows = words.mapInArrow(lambda it: _customers(it, name, shared.value), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** 24 + 1 at most
+    at, n = column(rows, "at").to_numpy(), column(rows, "n").to_numpy()
     by = np.argsort(at)
     at, n = at[by], n[by]
     own = at >= 0
     customers = words.agg(F.sum(name)).first()[0] or 0
-    after = spelling(n[own], at[own], sweep)
+    after = spelling(n[own], at[own], sweep, last.after if last else None)
+    shared.destroy()
     return State(last.after if last else after, last.tables if last else 0.0, sweep, customers, float(n[~own].sum()), after)
 
 
@@ -283,22 +294,26 @@ def _hashes(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return column(batch, name).to_numpy().view(_U)
 
 
-def _asked(rows: pa.Table) -> pa.Table:
-    """Distinct hashes of a block's words."""
+def _asked(rows: pa.Table, frequent: np.ndarray) -> pa.Table:
+    """Distinct hashes of a block's words that aren't frequent."""
     buf, offsets = buffers(column(rows, "text"))
-    h = np.unique(np.concatenate([np.zeros(1, _U), Words(buf, offsets, NOT_SPACE).hash]))
+    h = distinct(np.concatenate([np.zeros(1, _U), Words(buf, offsets, NOT_SPACE).hash]))
+    h = h[~_found(frequent, h)[1]]
     return pa.table({"block": pa.array(np.full(len(h), column(rows, "block")[0].as_py()), pa.int64()), "h": _long(h)})
 
 
-def _asked_pairs(rows: pa.Table) -> pa.Table:
-    """Distinct pairs of a block, and how often they occur in its training rows."""
+def _pairs(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a block as sorted keys; first and second word; how often they occur in its training rows."""
     buf, offsets = buffers(column(rows, "text"))
     before, word, doc = _stream(Words(buf, offsets, NOT_SPACE), len(offsets) - 1)
     train = ~column(rows, "held_out").to_numpy(zero_copy_only=False).astype(bool)
-    _, first, back = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
-    n = np.bincount(back, train[doc].astype(float), len(first)).astype(np.int64)
-    block = pa.array(np.full(len(first), column(rows, "block")[0].as_py()), pa.int64())
-    return pa.table({"block": block, "u": _long(before[first]), "w": _long(word[first]), "n": pa.array(n)})
+    key, first, back = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
+    return key, before[first], word[first], np.bincount(back, train[doc].astype(float), len(first)).astype(np.int64)
+
+
+def _asked_pairs(rows: pa.Table) -> pa.Table:
+    _, u, w, n = _pairs(rows)
+    return pa.table({"block": pa.array(np.full(len(u), column(rows, "block")[0].as_py()), pa.int64()), "u": _long(u), "w": _long(w), "n": pa.array(n)})
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +328,8 @@ def _seat_pairs(batches: Iterator[pa.RecordBatch], sweep: int) -> Iterator[pa.Re
         u, w, c = _hashes(batch, "u"), _hashes(batch, "w"), column(batch, "c").to_numpy()
         t = np.ones(len(c))
         if sweep:
-            t = pair_tables(u, w, c, column(batch, "p").to_numpy(), column(batch, "tt").to_numpy(), sweep)
+            p = np.frombuffer(b"".join(column(batch, "of_w").to_pylist()), np.float32).reshape(len(c), -1)[:, 0]
+            t = pair_tables(u, w, c, p, column(batch, "tt").to_numpy().astype(np.float32), sweep)
         h, back = np.unique(np.concatenate([w, u]), return_inverse=True)
         k, tt = np.bincount(back[: len(c)], t, len(h)), np.bincount(back[len(c) :], t, len(h))
         yield pa.RecordBatch.from_arrays([_long(h), pa.array(k.astype(np.int64)), pa.array(tt.astype(np.int64))], ["h", "k", "tt"])
@@ -321,40 +337,45 @@ def _seat_pairs(batches: Iterator[pa.RecordBatch], sweep: int) -> Iterator[pa.Re
 
 def pair_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, tt: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of pairs in a sweep; p: log probability of the word in the word restaurant before, tt: tables of the context before."""
-    return seated(c, np.exp(p), _pair_seed(u, w) + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * tt)
+    return seated(c, np.exp(p.astype(float)), _pair_seed(u, w) + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * tt.astype(float))
 
 
-def _with_p(batches: Iterator[pa.RecordBatch], state: State) -> Iterator[pa.RecordBatch]:
+def _with_p(batches: Iterator[pa.RecordBatch], states: list[State]) -> Iterator[pa.RecordBatch]:
+    """Hash, c and the log probabilities of words in the word restaurant under each of some states, whose customers are the last entries of k; with the tables of their own restaurants, as 32-bit floats."""
+    m = len(states)
     for batch in batches:
-        words, k = column(batch, "word"), column(batch, "k").to_numpy()
-        yield batch.append_column("now", pa.array(state.log(words, k, _word_seed(words)), pa.float64()))
+        words, seed = column(batch, "word"), _word_seed(column(batch, "word"))
+        k, tt = (column(batch, x).flatten().to_numpy().reshape(batch.num_rows, -1)[:, -m:] for x in ("k", "tt"))
+        both = np.stack([s.log(words, k[:, j], seed) for j, s in enumerate(states)] + list(tt.T), 1).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "c"), pa.array([x.tobytes() for x in both], pa.binary())], ["h", "c", "state"])
 
 
 def fit_pairs(vocab: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[Model, DataFrame]:
     """The model of a vocabulary table (word, c) and counts (u, w, c) of pairs of hashes; and for each word its hash h, c, and
-    p and tt: its log probability in the word restaurant and the tables of its own restaurant, in the last samples + 1 states."""
+    state: log probabilities in the word restaurant and tables of its own restaurant, in the last samples + 1 states."""
     spark = vocab.sparkSession
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     sums = lambda rows, sweep: rows.mapInArrow(lambda it: _seat_pairs(it, sweep), "h long, k long, tt long").groupBy("h").agg(F.sum("k").alias("k"), F.sum("tt").alias("tt"))
     once = sums(pairs.where("c = 1"), 0).select("h", F.col("k").alias("k1"), F.col("tt").alias("tt1"))
+    none = F.array().cast("array<long>")
     words = vocab.mapInArrow(_hashed, "word string, h long, c long").join(once, "h", "left")
-    words = written(words.select("word", "h", "c", F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("tt1", F.lit(0)).alias("tt1"), F.array().cast("array<long>").alias("tt"), F.array().cast("array<double>").alias("p")), "words")
+    words = written(words.select("word", "h", "c", F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("tt1", F.lit(0)).alias("tt1"), none.alias("k"), none.alias("tt")), "words")
     more = written(pairs.where("c > 1").select("u", "w", "c"), "more")
     states: list[State] = []
     for sweep in range(burn_in + samples + 1):
         rows = more
         if sweep:
-            rows = rows.join(words.select(F.col("h").alias("w"), F.element_at("p", -1).alias("p")), "w").join(words.select(F.col("h").alias("u"), F.element_at("tt", -1).alias("tt")), "u")
+            shared = spark.sparkContext.broadcast(states[-1])
+            now = words.mapInArrow(lambda it, s=shared: _with_p(it, [s.value]), "h long, c long, state binary")
+            rows = rows.join(now.select(F.col("h").alias("w"), F.col("state").alias("of_w")), "w").join(words.select(F.col("h").alias("u"), F.element_at("tt", -1).alias("tt")), "u")
         new = sums(rows, sweep).select("h", F.col("k").alias("k2"), F.col("tt").alias("tt2"))
-        own = (F.col("k1") + F.coalesce("k2", F.lit(0))).alias("k")
-        seats = F.concat("tt", F.array(F.col("tt1") + F.coalesce("tt2", F.lit(0)))).alias("tt")
-        seated_ = written(words.join(new, "h", "left").select("word", "h", "c", "k1", "tt1", own, seats, "p"), "seated")
-        states.append(_swept(seated_, "k", states[-1] if states else None))
-        shared = spark.sparkContext.broadcast(states[-1])
-        schema = ", ".join(f"{c} {t}" for c, t in seated_.dtypes) + ", now double"
-        words = seated_.mapInArrow(lambda it, s=shared: _with_p(it, s.value), schema)
-        words = written(words.select("word", "h", "c", "k1", "tt1", F.slice("tt", -samples - 1, samples + 1).alias("tt") if sweep > samples else "tt", F.concat("p" if sweep <= samples else F.slice("p", -samples, samples), F.array("now")).alias("p")), "words")
-    return Model(total.n or 0, total.v or 0, states, samples), words.select("h", "c", "p", "tt")
+        grown = lambda old, one, more_: F.concat(F.slice(old, F.greatest(F.size(old) - samples + 1, F.lit(1)), samples), F.array(F.col(one) + F.coalesce(more_, F.lit(0)))).alias(old)
+        words = written(words.join(new, "h", "left").select("word", "h", "c", "k1", "tt1", grown("k", "k1", "k2"), grown("tt", "tt1", "tt2")), "words", [words])
+        states.append(_swept(words.select("word", F.element_at("k", -1).alias("k")), "k", states[-1] if states else None))
+    dropped(more)
+    shared = spark.sparkContext.broadcast(states[-samples - 1 :])
+    known = words.mapInArrow(lambda it: _with_p(it, shared.value), "h long, c long, state binary")
+    return Model(total.n or 0, total.v or 0, states, samples), written(known, "known", [words])
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,17 +385,24 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
-    pair = np.asarray(column(known, "w").is_valid())
-    of_words, of_pairs = known.filter(pa.array(~pair)), known.filter(pa.array(pair))
+def _states(rows: pa.Table, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of words with their c, log probabilities and tables."""
+    h = _hashes(rows, "h")
+    by = np.argsort(h)
+    both = np.frombuffer(b"".join(column(rows, "state").to_pylist()), np.float32).reshape(len(h), 2 * (kept + 1))[by]
+    return h[by], column(rows, "c").to_numpy()[by], both[:, : kept + 1], both[:, kept + 1 :]
+
+
+def _scored(docs: pa.Table, known: pa.Table, model: Model, frequent: tuple, schema: pa.Schema) -> pa.Table:
+    pair = ~np.asarray(column(known, "state").is_valid())
     s = model.kept + 1
-    word_key = _hashes(of_words, "u")
+    own = _states(known.filter(pa.array(~pair)), model.kept)
+    word_key, word_c, word_p, word_tt = (np.concatenate(x) for x in zip(frequent, own, strict=True))
     by = np.argsort(word_key)
-    word_key, word_c = word_key[by], column(of_words, "c").to_numpy()[by]
-    word_p, word_tt = (column(of_words, x).flatten().to_numpy().reshape(-1, s)[by] for x in ("p", "tt"))
-    pair_key = _pair_seed(_hashes(of_pairs, "u"), _hashes(of_pairs, "w"))
-    by = np.argsort(pair_key)
-    pair_key, pair_c = pair_key[by], column(of_pairs, "c").to_numpy()[by]
+    word_key, word_c, word_p, word_tt = word_key[by], word_c[by], word_p[by], word_tt[by]
+    pair_key, _, _, pair_c = _pairs(docs)
+    told = known.filter(pa.array(pair))
+    pair_c[np.searchsorted(pair_key, _hashes(told, "h"))] = column(told, "c").to_numpy()  # pairs that others count too
     out = []
     for rows, buf, offsets in gathered(docs.to_batches(), "text", 8 << 20):
         w = Words(buf, offsets, NOT_SPACE)
@@ -416,29 +444,54 @@ def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) ->
 
 def score(docs: DataFrame, train, ids: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a boolean column of the training rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark = docs.sparkSession
     rows = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), train.alias("train"))
     vocab = written(vocabulary(rows.where("train")), "vocabulary")
     blocks = max(1, math.ceil((vocab.agg(F.sum("c")).first()[0] or 0) / block_tokens))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", (~F.col("train")).alias("held_out"), "text")
     same = Window.partitionBy("u", "w")
     asked = dealt.groupBy("block").applyInArrow(_asked_pairs, "block long, u long, w long, n long")
-    counted = asked.select("block", "u", "w", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-    counted = written(counted, "pairs")
-    model, words = fit_pairs(vocab, counted.where("first and c > 0"))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    known = dealt.groupBy("block").applyInArrow(_asked, "block long, h long").join(words, "h")
-    known = known.select("block", F.col("h").alias("u"), F.lit(None).cast("long").alias("w"), "c", "p", "tt")
-    known = known.unionByName(counted.where("c > 0").select("block", "u", "w", "c"), allowMissingColumns=True)
+    counted = asked.select("block", "u", "w", "n", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    told = F.col("c") != F.col("n")  # a block knows the counts of pairs that no other block has
+    counted = written(counted.where("c > 0").where(F.col("first") | told).select("block", "u", "w", "c", "first", told.alias("told")), "pairs")
+    model, words = fit_pairs(vocab, counted.where("first"))
+    top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast((model, _states(top, model.kept)))
+    known = dealt.groupBy("block").applyInArrow(lambda t: _asked(t, shared.value[1][0]), "block long, h long").join(words, "h").select("block", "h", "c", "state")
+    hashed = counted.where("told").mapInArrow(_keyed, "block long, h long, c long").select("block", "h", "c", F.lit(None).cast("binary").alias("state"))
     result = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(dict(dealt.dtypes)["doc_id"])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     schema = to_arrow_schema(_parse_datatype_string(result))
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda d, k: _scored(d, k, shared.value, schema), result)
+    return dealt.groupBy("block").cogroup(known.union(hashed).groupBy("block")).applyInArrow(lambda d, k: _scored(d, k, *shared.value, schema), result)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs by one key."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([column(batch, "block"), _long(_pair_seed(_hashes(batch, "u"), _hashes(batch, "w"))), column(batch, "c")], ["block", "h", "c"])
+
+
+def _split(docs: DataFrame):
+    """Training rows."""
+    return ~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by models of the documents that aren't held out."""
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
-    scored = score(table(spark, sf_dir, "documents"), ~held)
-    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, _split(docs)).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def base_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5 SQL can say: counts, and the base score to four places."""
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+_CRC_SQL = """xor(list_reduce(list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint),
+ lambda c, b: list_reduce(range(8), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end, xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+BASE_UNIGRAMS_SQL = r"""
+with d as (select doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') as w, HELD as held_out from documents),
+t as (select doc_id, held_out, unnest(w) as x from d), c as (select x, count(*) as c from t where not held_out group by x), n as (select sum(c)::bigint as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)))), 4) as base_score from t left join c using (x), n group by doc_id, held_out""".replace("HELD", f"{_CRC_SQL} % 10 = 0")

@@ -20,6 +20,7 @@ empty results; repeated rows each get a row; other columns are kept as they are.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,11 +244,16 @@ def _blanked(text: Column, spans: str) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(_bind(done, lambda d: F.concat(d["out"], text.substr((d["pos"] + 1).cast("int"), F.length(text)))))
 
 
+def base_scan(docs: DataFrame, text: str = "text", base: str = "base_spans") -> DataFrame:
+    """`docs` with a column of the spans of the base patterns (start, rank, kind, stop), in order."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn(base, F.array_sort(F.concat(*[_placed(body, RUN.get(kind, p), g, n, k, kind) for k, (kind, p, g, n) in enumerate(KINDS)])))
+
+
 def scan(docs: DataFrame, model: list[float], text: str = "text", least: float = LEAST, base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """`docs` with two columns of spans (start, rank, kind, stop), in order: of the base patterns, and all."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn(base, F.array_sort(F.concat(*[_placed(body, RUN.get(kind, p), g, n, k, kind) for k, (kind, p, g, n) in enumerate(KINDS)])))
-    found = found.withColumn("__rest", _blanked(body, base)).withColumn("__markov", _markov(F.col("__rest"), model, least))
+    found = base_scan(docs, text, base)
+    found = found.withColumn("__rest", _blanked(F.coalesce(F.col(text), F.lit("")), base)).withColumn("__markov", _markov(F.col("__rest"), model, least))
     return found.withColumn(spans, F.when(F.size("__markov") == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), F.col("__markov"))))).drop("__rest", "__markov")
 
 
@@ -278,9 +284,35 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", size: str |
     return out.select(*columns)
 
 
+def _digested(found: DataFrame, *more: Column) -> DataFrame:
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k[0]) for k in KINDS], F.sha2(named("base_spans"), 256).alias("base_sha256"), *more)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in each document: base kinds, and what the Markov models add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, train(samples(spark)))
-    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k[0]) for k in KINDS], F.sha2(named("base_spans"), 256).alias("base_sha256"), named("spans").alias("spans"))
+    return _digested(scan(docs, train(samples(spark))), named("spans").alias("spans"))
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4 SQL can say: counts and digest of the base kinds."""
+    return _digested(base_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _sql_kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of a kind in DuckDB, placed by the pieces between them."""
+    pattern = pattern.replace("'", "''")
+    return f"""select doc_id, {rank} as rank, '{kind}' as kind, value, before + match as stop, before as start from (
+ select doc_id, value, len(m) as match, sum(len(gap)) over w + coalesce(sum(len(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before
+ from (select doc_id, i, g[i] as gap, m[i] as m, v[i] as value from (select doc_id, string_split_regex(body, '{pattern}') as g, regexp_extract_all(body, '{pattern}') as m, regexp_extract_all(body, '{pattern}', {group}) as v from t), unnest(range(1, len(m) + 1)) as u(i))
+ window w as (partition by doc_id order by i)) where len(value) >= {least}"""
+
+
+#: DuckDB folds case beyond ASCII, so letters of either case are classes here.
+_SQL_PATTERNS = {"assign": re.sub("[a-z]+", lambda m: "".join(f"[{c}{c.upper()}]" for c in m[0]), "(password|passwd|secret|token|api_?key)") + ASSIGN[ASSIGN.index(r"""["']?"""):]}
+BASE_SECRETS_SQL = f"""
+with t as (select doc_id, coalesce(text, '') as body from documents),
+s as ({" union all ".join(_sql_kind(k, kind, _SQL_PATTERNS.get(kind, p), g, n) for k, (kind, p, g, n) in enumerate(KINDS))}),
+c as (select doc_id, {", ".join(f"count(*) filter (kind = '{k[0]}') as n_{k[0]}" for k in KINDS)}, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, rank) as names from s group by doc_id)
+select t.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) as n_{k[0]}" for k in KINDS)}, sha256(coalesce(names, '')) as base_sha256 from t left join c using (doc_id)"""
