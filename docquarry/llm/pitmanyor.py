@@ -15,14 +15,20 @@ rule. Customers of a dish sit down one by one up to ONE_BY_ONE, and beyond in bl
 of those seated, whose chance of a new table is that at the block's beginning. After BURN_IN sweeps,
 the probabilities under SAMPLES states are averaged.
 
-What grows with the corpus stays distributed: counts of pairs and of words are tables, seating
-runs over their partitions (random numbers are hashes of the words and the sweep, so a lost task
-repeats its draws, and scoring repeats them instead of keeping tables of each pair). A pair that
-occurs once has one table always, so that only others are joined in a sweep. Words are told apart
-by 64-bit hashes. Only byte restaurants and the FREQUENT most frequent words meet in one place: at
-most 65,793 restaurants of 256 bytes, whatever the corpus. Documents meet in blocks of about
-BLOCK_TOKENS tokens; a block asks once for each distinct word and pair whose counts it doesn't know
-itself, so no join carries a row per token, and hot ones no more than one per block.
+What grows with the corpus stays distributed, and packed: a row of a table holds arrays, so that the
+shuffles move some large values instead of a row for each pair. Words are told apart by 64-bit hashes.
+
+- Documents meet in blocks of about BLOCK_BYTES. A block asks for each of its distinct words and pairs
+  once, so hot ones never meet in numbers that grow faster than the blocks.
+- Pairs are dealt by a hash of both words into parts of about PAIR_BYTES of text, and words into parts
+  of about WORD_BYTES, so a word that is in a third of all pairs is one entry of each part.
+- In a sweep, the parts of words send what is known of their words to the parts of pairs that hold
+  them, which seat their customers and send back the tables that they opened. Pairs that occur once
+  have one table always and take no part.
+- Random numbers are hashes of the words and the sweep: a lost task repeats its draws, and scoring
+  repeats them instead of keeping tables of each pair.
+
+Only byte restaurants meet in one place: at most 65,793 of 256 bytes, whatever the corpus.
 
 Defined cases: null texts are empty (one end token); rows with a null id are training rows and
 score like others; repeated rows count as often as they occur; an empty table scores nothing.
@@ -36,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import dropped, table, written
@@ -47,9 +53,8 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 1, 2
 ONE_BY_ONE = 64
-#: Words that every task gets; others are asked for.
-FREQUENT = 1 << 16
-BLOCK_TOKENS = 1_000_000
+#: Bytes of text to a block of documents, and (of the whole corpus) to a part of the words and of the pairs.
+BLOCK_BYTES, WORD_BYTES, PAIR_BYTES = 6 << 20, 32 << 20, 16 << 20
 #: The base score's added count.
 ADDED = 0.1
 
@@ -202,75 +207,19 @@ class Model:
         return (total - math.log(self.kept)) / math.log(10)
 
 
-def _word_seed(words: pa.Array) -> np.ndarray:
-    """A hash of each whole string, whatever its bytes."""
-    raw, offsets = buffers(words)
-    w = Words(raw, offsets, NOT_SPACE)
-    out = np.zeros(len(words), _U)
-    out[w.doc] = w.hash
-    return out
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, offsets in gathered(batches, "text", 8 << 20):
-        w = Words(buf, offsets, NOT_SPACE)
-        _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-        words = pa.concat_arrays([pa.array([""], pa.string()), w.strings(first)])
-        yield pa.RecordBatch.from_arrays([words, pa.array(np.concatenate([[rows.num_rows], n]).astype(np.int64))], ["word", "c"])
-
-
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """Of a frame with column text: every word with its count c, and the empty word for ends."""
-    return texts.select("text").mapInArrow(_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _customers(batches: Iterator[pa.RecordBatch], name: str, state: tuple | None) -> Iterator[pa.RecordBatch]:
-    """One row of (at, n) for each context and byte: customers of the byte restaurants; -1 counts tables."""
-    total, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tables = 0.0
-    for batch in batches:
-        words, count = column(batch, "word"), column(batch, name).to_numpy()
-        seats = count > 0
-        words, count = words.filter(pa.array(seats)), count[seats]
-        context, byte, start = spelled(words)
-        if state is None:
-            t = np.ones(len(count))
-        else:
-            spell, before, sweep = state
-            t = seated(count, np.exp(spell.words(words).astype(float)), _word_seed(words) + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * before)
-        tables += t.sum()
-        size = np.diff(np.append(start, len(byte)))
-        at, back = np.unique(np.concatenate([held, context << 8 | byte]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([total, np.repeat(t, size)]), len(at)).astype(np.int64)
-        held = at
-    held, total = np.append(held, -1), np.append(total, int(tables))
-    for lo in range(0, len(held), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(held[lo : lo + 20_000]), pa.array(total[lo : lo + 20_000])], ["at", "n"])
-
-
-def _swept(words: DataFrame, name: str, last: State | None) -> State:
-    """The next state of the word restaurant and below; column `name` of `words` has its customers."""
-    spark = words.sparkSession
-    sweep = last.sweep + 1 if last else 0
-    shared = spark.sparkContext.broadcast((last.after, last.tables, sweep) if last else None)
-    rows = words.mapInArrow(lambda it: _customers(it, name, shared.value), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** 24 + 1 at most
-    at, n = column(rows, "at").to_numpy(), column(rows, "n").to_numpy()
-    by = np.argsort(at)
-    at, n = at[by], n[by]
-    own = at >= 0
-    customers = words.agg(F.sum(name)).first()[0] or 0
-    after = spelling(n[own], at[own], sweep, last.after if last else None)
-    shared.destroy()
-    return State(last.after if last else after, last.tables if last else 0.0, sweep, customers, float(n[~own].sum()), after)
-
-
-def fit(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """The word restaurant and below alone, seating every token of a vocabulary table (word, c)."""
-    total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    states = [_swept(vocab, "c", None)]
-    for _ in range(burn_in + samples):
-        states.append(_swept(vocab, "c", states[-1]))
-    return Model(total.n or 0, total.v or 0, states, samples)
+def _byte_customers(words: pa.Array, k: np.ndarray, seed: np.ndarray, last: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Customers of the byte restaurants that the tables of words with `k` customers send: sorted numbers context * 256 + byte and
+    their counts; number -1 counts tables."""
+    seats = np.flatnonzero(k)
+    words, count = words.take(pa.array(seats)), k[seats]
+    t = np.ones(len(count))
+    if last:
+        spell, before, sweep = last
+        t = seated(count, np.exp(spell.words(words).astype(float)), seed[seats] + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * before)
+    context, byte, start = spelled(words)
+    at, back = np.unique(context << 8 | byte, return_inverse=True)
+    n = np.bincount(back, np.repeat(t, np.diff(np.append(start, len(byte)))), len(at)).astype(np.int64)
+    return np.append(at, -1), np.append(n, int(t.sum()))
 
 
 def _stream(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,20 +235,81 @@ def _pair_seed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before + _U(0xD1B54A32D192ED03)) + word)
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+_ROW = "kind int, bucket long, other long, a binary, b binary, c binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("other", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+# Kinds of packed rows.
+WORDS, ONES, ASKED, PAIRS, HASHES, ROUTE, BASE, SUMS, STATE, BYTES, SENT, KNOWN, TOLD = range(13)
 
 
-def _hashes(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
-    return column(batch, name).to_numpy().view(_U)
+def packed(x: np.ndarray) -> bytes:
+    """An array byte by byte of all its numbers: what they have in common compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
 
 
-def _asked(rows: pa.Table, frequent: np.ndarray) -> pa.Table:
-    """Distinct hashes of a block's words that aren't frequent."""
-    buf, offsets = buffers(column(rows, "text"))
-    h = distinct(np.concatenate([np.zeros(1, _U), Words(buf, offsets, NOT_SPACE).hash]))
-    h = h[~_found(frequent, h)[1]]
-    return pa.table({"block": pa.array(np.full(len(h), column(rows, "block")[0].as_py()), pa.int64()), "h": _long(h)})
+def unpacked(x: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel() if x else np.zeros(0, kind)
+
+
+def _with(run, *more):
+    """A function of one table (Spark counts arguments)."""
+    return lambda t: run(t, *more)
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW) if rows else _ARROW.empty_table()
+
+
+def _of(t: pa.Table, kind: int) -> list[dict]:
+    """Rows of a kind, in the order of `other`."""
+    return sorted(t.filter(pa.array(column(t, "kind").to_numpy() == kind)).to_pylist(), key=lambda r: r["other"])
+
+
+def _all(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unpacked(r[name], kind) for r in rows)])
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts that sorted keys fall into, by their highest bits."""
+    if not len(keys):
+        return []
+    part = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(part[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True))
+
+
+def _text(words: pa.Array) -> bytes:
+    """Words as one string, a blank after each: words have none."""
+    raw, offsets = buffers(words)
+    out = np.full(len(raw) + len(words), _SPACE, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(len(words)), np.diff(offsets))] = raw
+    return out.tobytes()
+
+
+def _words(text: bytes) -> pa.Array:
+    raw = np.frombuffer(text, np.uint8) if text else np.zeros(0, np.uint8)
+    ends = np.flatnonzero(raw == _SPACE)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != _SPACE])])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Words of training rows with their counts, packed by part; the empty word ends each text."""
+    for rows, buf, offsets in gathered(batches, "text", BLOCK_BYTES, 1 << 20):
+        w = Words(buf, offsets, NOT_SPACE)
+        h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+        h, n = np.concatenate([np.zeros(1, _U), h]), np.concatenate([[rows.num_rows], n]).astype(np.int64)
+        words = pa.concat_arrays([pa.array([""], pa.string()), w.strings(first)])
+        yield from _rows([(WORDS, j, 0, packed(h[x:y]), packed(n[x:y]), _text(words.slice(x, y - x))) for j, x, y in _cuts(h, bits)]).to_batches()
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """The words of a part, sorted by hash, with their counts; `other` is the sum of these."""
+    rows = _of(t, WORDS)
+    h, first, back = np.unique(_all(rows, "a", _U), return_index=True, return_inverse=True)
+    n = np.bincount(back, _all(rows, "b", np.int64), len(h)).astype(np.int64)
+    words = pa.concat_arrays([_words(r["c"]) for r in rows]).take(pa.array(first))
+    return _rows([(WORDS, rows[0]["bucket"], int(n.sum()), packed(h), packed(n), _text(words))])
 
 
 def _pairs(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -311,28 +321,128 @@ def _pairs(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return key, before[first], word[first], np.bincount(back, train[doc].astype(float), len(first)).astype(np.int64)
 
 
-def _asked_pairs(rows: pa.Table) -> pa.Table:
-    _, u, w, n = _pairs(rows)
-    return pa.table({"block": pa.array(np.full(len(u), column(rows, "block")[0].as_py()), pa.int64()), "u": _long(u), "w": _long(w), "n": pa.array(n)})
+def _ask(rows: pa.Table, bits: int) -> pa.Table:
+    """A block's pairs with their counts, by part."""
+    key, _, _, n = _pairs(rows)
+    block = column(rows, "block")[0].as_py()
+    return _rows([(ASKED, r, block, packed(key[x:y]), packed(n[x:y]), None) for r, x, y in _cuts(key, bits)])
+
+
+def _tell(t: pa.Table) -> pa.Table:
+    """For the pairs that each block asked for: twice their count in all training rows, and 1 more for one of the blocks that have them."""
+    rows = _of(t, ASKED)
+    keys = [unpacked(r["a"], _U) for r in rows]
+    _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    said = np.bincount(back, _all(rows, "b", np.int64), len(first)).astype(np.int64)[back] << 1
+    said[first] |= 1
+    ends = np.cumsum([0, *map(len, keys)]).tolist()
+    return _rows([(TOLD, r["bucket"], r["other"], packed(said[x:y]), None, None) for r, x, y in zip(rows, ends[:-1], ends[1:], strict=True)])
+
+
+def _facts(docs: pa.Table, told: pa.Table, word_bits: int, pair_bits: int) -> pa.Table:
+    """Of a block: the pairs it speaks for that occur more than once, by part; how many of those that occur once each word ends and
+    begins; and all its words."""
+    key, u, w, _ = _pairs(docs)
+    said = _all(sorted(told.to_pylist(), key=lambda r: r["bucket"]), "a", np.int64)
+    block, c, own = column(docs, "block")[0].as_py(), said >> 1, (said & 1).astype(bool)
+    many = np.flatnonzero(own & (c > 1))
+    out = [(PAIRS, r, block, packed(u[many[x:y]]), packed(w[many[x:y]]), packed(c[many[x:y]])) for r, x, y in _cuts(key[many], pair_bits)]
+    once = own & (c == 1)
+    h, back = np.unique(np.concatenate([w[once], u[once]]), return_inverse=True)
+    n = int(once.sum())
+    k, tt = np.bincount(back[:n], minlength=len(h)).astype(np.int32), np.bincount(back[n:], minlength=len(h)).astype(np.int32)
+    out += [(ONES, j, block, packed(h[x:y]), packed(k[x:y]), packed(tt[x:y])) for j, x, y in _cuts(h, word_bits)]
+    h = distinct(np.concatenate([u, w]))
+    return _rows(out + [(ASKED, j, block, packed(h[x:y]), None, None) for j, x, y in _cuts(h, word_bits)])
+
+
+def _dealt_pairs(t: pa.Table, word_bits: int) -> pa.Table:
+    """A part of the pairs: numbers of both words in its sorted hashes, and counts; its hashes; and these by the part of words that has them."""
+    rows = _of(t, PAIRS)
+    u, w, c = (_all(rows, x, kind) for x, kind in (("a", _U), ("b", _U), ("c", np.int64)))
+    h, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+    r, back = rows[0]["bucket"], back.astype(np.int32)
+    out = [(PAIRS, r, 0, packed(back[: len(u)]), packed(back[len(u) :]), packed(c)), (HASHES, r, 0, packed(h), None, None)]
+    return _rows(out + [(ROUTE, j, r, packed(h[x:y]), None, None) for j, x, y in _cuts(h, word_bits)])
+
+
+def _based(t: pa.Table) -> pa.Table:
+    """Of a part of the words: customers and tables that pairs of one occurrence give, and places of the words that parts of pairs hold."""
+    own = _of(t, WORDS)[0]
+    h = unpacked(own["a"], _U)
+    k, tt = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    for r in _of(t, ONES):
+        at = np.searchsorted(h, unpacked(r["a"], _U))
+        k[at] += unpacked(r["b"], np.int32)
+        tt[at] += unpacked(r["c"], np.int32)
+    routes = [(ROUTE, own["bucket"], r["other"], packed(np.searchsorted(h, unpacked(r["a"], _U)).astype(np.int32)), None, None) for r in _of(t, ROUTE)]
+    return _rows([(BASE, own["bucket"], 0, packed(k), packed(tt), None), *routes])
+
+
+def _sent(t: pa.Table, state: State) -> pa.Table:
+    """To each part of pairs, of the words that it holds: log probability in the word restaurant, and tables of their own restaurants."""
+    own, now = _of(t, WORDS)[0], _of(t, STATE)[0]
+    p = state.log(_words(own["c"]), unpacked(now["a"], np.int64), unpacked(own["a"], _U)).astype(np.float32)
+    tt = unpacked(now["b"], np.int64).astype(np.float32)
+    out = []
+    for r in _of(t, ROUTE):
+        at = unpacked(r["a"], np.int32)
+        out.append((SENT, r["other"], own["bucket"], packed(p[at]), packed(tt[at]), None))
+    return _rows(out)
+
+
+def _seated(t: pa.Table, sweep: int, word_bits: int) -> pa.Table:
+    """Seats the pairs of a part, and sends back the tables opened, by the words that end and begin them."""
+    own, h = _of(t, PAIRS)[0], unpacked(_of(t, HASHES)[0]["a"], _U)
+    u, w, c = unpacked(own["a"], np.int32), unpacked(own["b"], np.int32), unpacked(own["c"], np.int64)
+    tables = np.ones(len(c))
+    if sweep:
+        sent = _of(t, SENT)
+        p, tt = _all(sent, "a", np.float32), _all(sent, "b", np.float32)
+        tables = pair_tables(h[u], h[w], c, p[w], tt[u], sweep)
+    k, tt = (np.bincount(x, tables, len(h)).astype(np.int64) for x in (w, u))
+    return _rows([(SUMS, j, own["bucket"], packed(k[x:y]), packed(tt[x:y]), None) for j, x, y in _cuts(h, word_bits)])
+
+
+def _stated(t: pa.Table, sweep: int, last: tuple | None) -> pa.Table:
+    """Of a part of the words: customers in the word restaurant and tables of their own ones after a sweep; customers of the byte restaurants."""
+    own, base = _of(t, WORDS)[0], _of(t, BASE)[0]
+    k, tt = unpacked(base["a"], np.int64), unpacked(base["b"], np.int64)
+    places = {r["other"]: unpacked(r["a"], np.int32) for r in _of(t, ROUTE)}
+    for r in _of(t, SUMS):
+        at = places[r["other"]]
+        k[at] += unpacked(r["a"], np.int64)
+        tt[at] += unpacked(r["b"], np.int64)
+    at, n = _byte_customers(_words(own["c"]), k, unpacked(own["a"], _U), last)
+    return _rows([(STATE, own["bucket"], sweep, packed(k), packed(tt), None), (BYTES, own["bucket"], int(k.sum()), packed(at), packed(n), None)])
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(a, np.int64)), pa.array(unpacked(b, np.int64))], ["at", "n"])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = column(batch, "word")
-        yield pa.RecordBatch.from_arrays([words, _long(_word_seed(words)), column(batch, "c")], ["word", "h", "c"])
+def _known(t: pa.Table, model: Model) -> pa.Table:
+    """For the words that each block asked for: c, and log probabilities and tables in the last kept + 1 states."""
+    own = _of(t, WORDS)[0]
+    h, c, words = unpacked(own["a"], _U), unpacked(own["b"], np.int64), _words(own["c"])
+    states = _of(t, STATE)
+    p = [s.log(words, unpacked(r["a"], np.int64), h) for r, s in zip(states, model.states[-model.kept - 1 :], strict=True)]
+    both = np.stack(p + [unpacked(r["b"], np.int64) for r in states], 1).astype(np.float32)
+    out = []
+    for r in _of(t, ASKED):
+        at, hit = _found(h, unpacked(r["a"], _U))
+        at = at[hit]
+        out.append((KNOWN, r["other"], own["bucket"], packed(h[at]), packed(c[at]), packed(both[at].ravel())))
+    return _rows(out)
 
 
-def _seat_pairs(batches: Iterator[pa.RecordBatch], sweep: int) -> Iterator[pa.RecordBatch]:
-    """Tables that pairs open: (h, k) sent to the parent by a word, (h, tt) in the restaurant of a word."""
-    for batch in batches:
-        u, w, c = _hashes(batch, "u"), _hashes(batch, "w"), column(batch, "c").to_numpy()
-        t = np.ones(len(c))
-        if sweep:
-            p = np.frombuffer(b"".join(column(batch, "of_w").to_pylist()), np.float32).reshape(len(c), -1)[:, 0]
-            t = pair_tables(u, w, c, p, column(batch, "tt").to_numpy().astype(np.float32), sweep)
-        h, back = np.unique(np.concatenate([w, u]), return_inverse=True)
-        k, tt = np.bincount(back[: len(c)], t, len(h)), np.bincount(back[len(c) :], t, len(h))
-        yield pa.RecordBatch.from_arrays([_long(h), pa.array(k.astype(np.int64)), pa.array(tt.astype(np.int64))], ["h", "k", "tt"])
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted `keys` have each of `wanted`, and whether they do."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def pair_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, tt: np.ndarray, sweep: int) -> np.ndarray:
@@ -340,71 +450,70 @@ def pair_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, tt:
     return seated(c, np.exp(p.astype(float)), _pair_seed(u, w) + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * tt.astype(float))
 
 
-def _with_p(batches: Iterator[pa.RecordBatch], states: list[State]) -> Iterator[pa.RecordBatch]:
-    """Hash, c and the log probabilities of words in the word restaurant under each of some states, whose customers are the last entries of k; with the tables of their own restaurants, as 32-bit floats."""
-    m = len(states)
-    for batch in batches:
-        words, seed = column(batch, "word"), _word_seed(column(batch, "word"))
-        k, tt = (column(batch, x).flatten().to_numpy().reshape(batch.num_rows, -1)[:, -m:] for x in ("k", "tt"))
-        both = np.stack([s.log(words, k[:, j], seed) for j, s in enumerate(states)] + list(tt.T), 1).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "c"), pa.array([x.tobytes() for x in both], pa.binary())], ["h", "c", "state"])
-
-
-def fit_pairs(vocab: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[Model, DataFrame]:
-    """The model of a vocabulary table (word, c) and counts (u, w, c) of pairs of hashes; and for each word its hash h, c, and
-    state: log probabilities in the word restaurant and tables of its own restaurant, in the last samples + 1 states."""
-    spark = vocab.sparkSession
-    total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    sums = lambda rows, sweep: rows.mapInArrow(lambda it: _seat_pairs(it, sweep), "h long, k long, tt long").groupBy("h").agg(F.sum("k").alias("k"), F.sum("tt").alias("tt"))
-    once = sums(pairs.where("c = 1"), 0).select("h", F.col("k").alias("k1"), F.col("tt").alias("tt1"))
-    none = F.array().cast("array<long>")
-    words = vocab.mapInArrow(_hashed, "word string, h long, c long").join(once, "h", "left")
-    words = written(words.select("word", "h", "c", F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("tt1", F.lit(0)).alias("tt1"), none.alias("k"), none.alias("tt")), "words")
-    more = written(pairs.where("c > 1").select("u", "w", "c"), "more")
+@dataclass
+class Fitted:
+    """The model, and packed tables: words, their states after the last sweeps, what blocks were told of their pairs, and what they asked for."""
+
+    model: Model
+    words: DataFrame
+    states: DataFrame
+    told: DataFrame
+    asked: DataFrame
+
+
+def fit(dealt: DataFrame, word_bits: int, pair_bits: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Fitted:
+    """Of documents dealt into blocks (block, held_out, text)."""
+    spark = dealt.sparkSession
+    kind = lambda df, *k: df.where(F.col("kind").isin(*k))
+    by = lambda df, run: df.groupBy("bucket").applyInArrow(run, _ROW)
+    train = dealt.where("not held_out").select("text")
+    words = written(by(train.mapInArrow(lambda it: _counted(it, word_bits), _ROW), _merged), "words")
+    total = words.agg(F.sum("other").alias("n"), F.sum(F.octet_length("a") / 8).cast("long").alias("v")).first()
+    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, pair_bits), _ROW)
+    told = written(by(asked, _tell), "told")
+    facts = dealt.groupBy("block").cogroup(told.groupBy("other")).applyInArrow(lambda d, t: _facts(d, t, word_bits, pair_bits), _ROW)
+    facts = written(facts, "facts")
+    pairs = written(by(kind(facts, PAIRS), lambda t: _dealt_pairs(t, word_bits)), "pairs")
+    base = written(by(words.union(kind(facts, ONES)).union(kind(pairs, ROUTE)), _based), "base")
     states: list[State] = []
+    kept: list[DataFrame] = []
+    seats = kind(pairs, PAIRS, HASHES)
     for sweep in range(burn_in + samples + 1):
-        rows = more
+        rows, last = seats, None
         if sweep:
             shared = spark.sparkContext.broadcast(states[-1])
-            now = words.mapInArrow(lambda it, s=shared: _with_p(it, [s.value]), "h long, c long, state binary")
-            rows = rows.join(now.select(F.col("h").alias("w"), F.col("state").alias("of_w")), "w").join(words.select(F.col("h").alias("u"), F.element_at("tt", -1).alias("tt")), "u")
-        new = sums(rows, sweep).select("h", F.col("k").alias("k2"), F.col("tt").alias("tt2"))
-        grown = lambda old, one, more_: F.concat(F.slice(old, F.greatest(F.size(old) - samples + 1, F.lit(1)), samples), F.array(F.col(one) + F.coalesce(more_, F.lit(0)))).alias(old)
-        words = written(words.join(new, "h", "left").select("word", "h", "c", "k1", "tt1", grown("k", "k1", "k2"), grown("tt", "tt1", "tt2")), "words", [words])
-        states.append(_swept(words.select("word", F.element_at("k", -1).alias("k")), "k", states[-1] if states else None))
-    dropped(more)
-    shared = spark.sparkContext.broadcast(states[-samples - 1 :])
-    known = words.mapInArrow(lambda it: _with_p(it, shared.value), "h long, c long, state binary")
-    return Model(total.n or 0, total.v or 0, states, samples), written(known, "known", [words])
-
-
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where sorted `keys` have each of `wanted`, and whether they do."""
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-
-def _states(rows: pa.Table, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of words with their c, log probabilities and tables."""
-    h = _hashes(rows, "h")
-    by = np.argsort(h)
-    both = np.frombuffer(b"".join(column(rows, "state").to_pylist()), np.float32).reshape(len(h), 2 * (kept + 1))[by]
-    return h[by], column(rows, "c").to_numpy()[by], both[:, : kept + 1], both[:, kept + 1 :]
-
-
-def _scored(docs: pa.Table, known: pa.Table, model: Model, frequent: tuple, schema: pa.Schema) -> pa.Table:
-    pair = ~np.asarray(column(known, "state").is_valid())
+            last = spark.sparkContext.broadcast((states[-1].after, states[-1].tables, sweep))
+            rows = rows.union(by(words.union(kind(base, ROUTE)).union(kind(kept[-1], STATE)), _with(lambda t, s: _sent(t, s.value), shared)))
+        sums = by(rows, _with(_seated, sweep, word_bits))
+        after = by(words.union(base).union(sums), _with(lambda t, n, s: _stated(t, n, s.value if s else None), sweep, last))
+        kept.append(written(after, "states"))
+        found = kind(kept[-1], BYTES)
+        customers = found.agg(F.sum("other")).first()[0] or 0
+        counts = found.mapInArrow(_bytes, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()  # 2 ** 24 + 1 at most
+        at, n = column(counts, "at").to_numpy(), column(counts, "n").to_numpy()
+        before = states[-1] if states else None
+        spell = spelling(n[at >= 0], at[at >= 0], sweep, before.after if before else None)
+        states.append(State(before.after if before else spell, before.tables if before else 0.0, sweep, customers, float(n[at < 0].sum()), spell))
+        if len(kept) > samples + 1:
+            dropped(kept.pop(0))
+    dropped(pairs)
+    dropped(base)
+    after = kept[0]
+    for more in kept[1:]:
+        after = after.union(more)
+    return Fitted(Model(total.n or 0, total.v or 0, states, samples), words, kind(after, STATE), told, kind(facts, ASKED))
+
+
+def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
     s = model.kept + 1
-    own = _states(known.filter(pa.array(~pair)), model.kept)
-    word_key, word_c, word_p, word_tt = (np.concatenate(x) for x in zip(frequent, own, strict=True))
-    by = np.argsort(word_key)
-    word_key, word_c, word_p, word_tt = word_key[by], word_c[by], word_p[by], word_tt[by]
-    pair_key, _, _, pair_c = _pairs(docs)
-    told = known.filter(pa.array(pair))
-    pair_c[np.searchsorted(pair_key, _hashes(told, "h"))] = column(told, "c").to_numpy()  # pairs that others count too
+    own = _of(known, KNOWN)  # parts are ranges of hashes, so their words follow one another
+    word_key, word_c = _all(own, "a", _U), _all(own, "b", np.int64)
+    both = np.concatenate([np.zeros((0, 2 * s), np.float32), *(unpacked(r["c"], np.float32).reshape(-1, 2 * s) for r in own)])
+    word_p, word_tt = both[:, :s], both[:, s:]
+    pair_key, _, _, _ = _pairs(docs)
+    pair_c = _all(_of(known, TOLD), "a", np.int64) >> 1
     out = []
-    for rows, buf, offsets in gathered(docs.to_batches(), "text", 8 << 20):
+    for rows, buf, offsets in gathered(docs.to_batches(), "text", 8 << 20, 1 << 20):
         w = Words(buf, offsets, NOT_SPACE)
         n = len(offsets) - 1
         before, word, doc = _stream(w, n)
@@ -442,35 +551,27 @@ def _scored(docs: pa.Table, known: pa.Table, model: Model, frequent: tuple, sche
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
-def score(docs: DataFrame, train, ids: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def _parts(total: int, size: int) -> int:
+    """Bits that tell the parts of some bytes apart."""
+    return max(0, math.ceil(total / size) - 1).bit_length()
+
+
+def score(docs: DataFrame, train, ids: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a boolean column of the training rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    spark = docs.sparkSession
     rows = docs.select(F.col(ids).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), train.alias("train"))
-    vocab = written(vocabulary(rows.where("train")), "vocabulary")
-    blocks = max(1, math.ceil((vocab.agg(F.sum("c")).first()[0] or 0) / block_tokens))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", (~F.col("train")).alias("held_out"), "text")
-    same = Window.partitionBy("u", "w")
-    asked = dealt.groupBy("block").applyInArrow(_asked_pairs, "block long, u long, w long, n long")
-    counted = asked.select("block", "u", "w", "n", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-    told = F.col("c") != F.col("n")  # a block knows the counts of pairs that no other block has
-    counted = written(counted.where("c > 0").where(F.col("first") | told).select("block", "u", "w", "c", "first", told.alias("told")), "pairs")
-    model, words = fit_pairs(vocab, counted.where("first"))
-    top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    shared = spark.sparkContext.broadcast((model, _states(top, model.kept)))
-    known = dealt.groupBy("block").applyInArrow(lambda t: _asked(t, shared.value[1][0]), "block long, h long").join(words, "h").select("block", "h", "c", "state")
-    hashed = counted.where("told").mapInArrow(_keyed, "block long, h long, c long").select("block", "h", "c", F.lit(None).cast("binary").alias("state"))
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(total / block_bytes))))
+    dealt = rows.select(block.alias("block"), "doc_id", (~F.col("train")).alias("held_out"), "text")
+    found = fit(dealt, _parts(total, word_bytes), _parts(total, pair_bytes))
+    shared = rows.sparkSession.sparkContext.broadcast(found.model)
+    known = found.words.union(found.states).union(found.asked).groupBy("bucket").applyInArrow(lambda t: _known(t, shared.value) if _of(t, WORDS) else _rows([]), _ROW)
+    told = found.told.select("kind", F.col("other").alias("bucket"), F.col("bucket").alias("other"), "a", "b", "c")
     result = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(dict(dealt.dtypes)["doc_id"])
     schema = to_arrow_schema(_parse_datatype_string(result))
-    return dealt.groupBy("block").cogroup(known.union(hashed).groupBy("block")).applyInArrow(lambda d, k: _scored(d, k, *shared.value, schema), result)
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs by one key."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([column(batch, "block"), _long(_pair_seed(_hashes(batch, "u"), _hashes(batch, "w"))), column(batch, "c")], ["block", "h", "c"])
+    return dealt.groupBy("block").cogroup(known.union(told).groupBy("bucket")).applyInArrow(lambda d, k: _scored(d, k, shared.value, schema), result)
 
 
 def _split(docs: DataFrame):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import ann, pieces, pitmanyor, queries, tokencount, toolcalls, warc
+from docquarry.llm._text import NOT_SPACE, Words, buffers
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,41 +83,76 @@ def test_language_model(spark, odd):
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         assert (rows[i].held_out, rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert abs(rows[i].base_score - base) < 1e-6 * abs(base) and rows[i].score < 0
-    scored = pitmanyor.score(odd, F.lit(True), block_tokens=10_000)
+    scored = pitmanyor.score(odd, F.lit(True), block_bytes=60_000)
     assert scored.count() == odd.count() and pitmanyor.score(odd.limit(0), F.lit(True)).count() == 0
     assert scored.where("doc_id in (4, 5)").select("n_tokens").distinct().collect() == [(1,)]
     assert pitmanyor.score(odd, F.lit(False)).where("n_known > 0 or score >= 0").count() == 0
 
 
+def hashes(words):
+    """Hashes of whole words, as the model tells them apart."""
+    raw, offsets = buffers(pa.array(words))
+    w = Words(raw, offsets, NOT_SPACE)
+    out = np.zeros(len(words), np.uint64)
+    out[w.doc] = w.hash
+    return out
+
+
+def fitted(spark, texts, parts=0):
+    """The model of some texts, and of each word: customers and tables in its kept states."""
+    dealt = spark.createDataFrame([(k % (parts + 1), False, t) for k, t in enumerate(texts)], "block long, held_out boolean, text string")
+    found = pitmanyor.fit(dealt, parts, parts)
+    names, at = {}, {}
+    for r in found.words.collect():
+        words = pitmanyor._words(r.c).to_pylist()
+        names[r.bucket] = words
+        assert [int(x) for x in hashes(words)] == [int(x) for x in pitmanyor.unpacked(r.a, np.uint64)]
+        for w, c in zip(words, pitmanyor.unpacked(r.b, np.int64), strict=True):
+            at[w] = {"c": int(c), "k": [], "tt": []}
+    for r in sorted(found.states.collect(), key=lambda r: r.other):
+        for w, k, tt in zip(names[r.bucket], pitmanyor.unpacked(r.a, np.int64), pitmanyor.unpacked(r.b, np.int64), strict=True):
+            at[w]["k"].append(int(k))
+            at[w]["tt"].append(int(tt))
+    return found.model, at
+
+
+def test_customers_and_tables_add_up(spark):
+    """A word is served by each pair that ends in it, once at least and no more often than it occurs; parts change nothing."""
+    texts = ["a b a b c a b", "a b c a", "b b a", "c a b a b x", "y"]
+    model, at = fitted(spark, texts)
+    pairs = Counter()
+    for t in texts:
+        pairs.update(zip(["", *t.split()], [*t.split(), ""], strict=True))
+    for w, state in at.items():
+        ends, begins = [n for (_, x), n in pairs.items() if x == w], [n for (x, _), n in pairs.items() if x == w]
+        assert state["c"] == sum(ends) == sum(begins)
+        assert all(len(ends) <= k <= sum(ends) for k in state["k"]) and all(len(begins) <= tt <= sum(begins) for tt in state["tt"])
+    assert model.tokens == sum(pairs.values()) and model.distinct == len(at)
+    assert [sum(s["k"][j] for s in at.values()) for j in range(model.kept + 1)] == [s.customers for s in model.states[-model.kept - 1 :]]
+    assert fitted(spark, texts, 3)[1] == at
+
+
 def test_score_is_the_chain_of_restaurants(spark):
     """Scores again from the kept states of all restaurants, word by word."""
     texts = ["a b a b c", "a b c a", "b b a", "c a b a b", "zz a b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = F.col("doc_id") < 4
-    got = {r.doc_id: r.score for r in pitmanyor.score(docs, train).collect()}
+    got = {r.doc_id: r.score for r in pitmanyor.score(docs, F.col("doc_id") < 4).collect()}
+    model, at = fitted(spark, texts[:4])
     pairs, words = Counter(), Counter()
     for t in texts[:4]:
         for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
             pairs[u, w] += 1
             words[w] += 1
-    h = {w: int(pitmanyor._word_seed(pa.array([w]))[0]) for w in ["", "a", "b", "c", "zz"]}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    vocab = spark.createDataFrame(list(words.items()), "word string, c long")
-    frame = spark.createDataFrame([(signed(h[u]), signed(h[w]), n) for (u, w), n in pairs.items()], "u long, w long, c long")
-    model, known = pitmanyor.fit_pairs(vocab, frame)
-    state = {r.h: np.frombuffer(r.state, np.float32).reshape(2, -1) for r in known.collect()}
+    one = lambda w: hashes([w])
     for i, t in enumerate(texts):
         total = 0.0
         for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
             each = []
             for j, s in enumerate(model.states[-model.kept :], 1):
-                if w in words:
-                    p, before = state[signed(h[w])][0, j], state[signed(h[w])][0, j - 1]
-                else:
-                    p, before = s.log(pa.array([w]), np.zeros(1, np.int64), np.zeros(1, np.uint64))[0], 0.0
-                tt, old = (state[signed(h[u])][1, x] if u in words else 0.0 for x in (j, j - 1))
+                p, before = (model.states[-model.kept - 1 + x].log(pa.array([w]), np.array([at[w]["k"][x] if w in at else 0]), one(w))[0] for x in (j, j - 1))
+                tt, old = (at[u]["tt"][x] if u in at else 0 for x in (j, j - 1))
                 c = pairs[u, w]
-                seats = pitmanyor.pair_tables(*(np.array([h[x]], np.uint64) for x in (u, w)), np.array([c]), np.array([before]), np.array([old]), s.sweep)[0] if c else 0.0
+                seats = pitmanyor.pair_tables(one(u), one(w), np.array([c]), np.array([before], np.float32), np.array([old], np.float32), s.sweep)[0] if c else 0.0
                 n = words[u]  # every token but an end is a context once, and every text begins after an end
                 each.append((max(c - pitmanyor.DISCOUNT * seats, 0) + (pitmanyor.STRENGTH + pitmanyor.DISCOUNT * tt) * math.exp(p)) / (n + pitmanyor.STRENGTH))
             total += math.log10(sum(each) / len(each))
@@ -136,14 +172,13 @@ def test_seating_follows_the_rule():
 
 
 def test_language_model_probabilities_add_up(spark):
-    """Over all words of one and two bytes, and the rest by spelling, probabilities stay within one."""
-    texts = spark.createDataFrame([("a b a ab a",), ("b a",)], "text string")
-    model = pitmanyor.fit(pitmanyor.vocabulary(texts))
-    counts = {r.word: r.c for r in pitmanyor.vocabulary(texts).collect()}
+    """Over all words of one and two bytes, and the rest by spelling, probabilities in the word restaurant stay within one."""
+    model, at = fitted(spark, ["a b a ab a", "b a"])
     words = ["", *map(chr, range(0x21, 0x7F)), *(a + b for a in map(chr, range(0x21, 0x7F)) for b in map(chr, range(0x21, 0x7F)))]
     arr = pa.array(words)
-    p = 10 ** model.log10(arr, np.array([counts.get(w, 0) for w in words]), pitmanyor._word_seed(arr))
-    assert 0.5 < p.sum() <= 1 + 1e-9 and p[words.index("a")] > p[words.index("b")] > p[words.index("z")]
+    for j, state in enumerate(model.states[-model.kept - 1 :]):
+        p = np.exp(state.log(arr, np.array([at[w]["k"][j] if w in at else 0 for w in words]), hashes(words)))
+        assert 0.5 < p.sum() <= 1 + 1e-9 and p[words.index("a")] > p[words.index("z")]
 
 
 def test_language_model_reads_word_order(spark):
@@ -153,7 +188,7 @@ def test_language_model_reads_word_order(spark):
     got = {r.doc_id: r for r in pitmanyor.score(docs, F.col("doc_id") < 100).collect()}
     assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 3
     follow = spark.createDataFrame([(i, "a b a b a c b a") for i in range(9)] + [(100, "a"), *((200 + k, f"a {w}") for k, w in enumerate("abcdefgh"))], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in pitmanyor.score(follow, F.col("doc_id") < 100, block_tokens=20).collect()}
+    got = {r.doc_id: r.score for r in pitmanyor.score(follow, F.col("doc_id") < 100, block_bytes=100, word_bytes=50, pair_bytes=50).collect()}
     again = {r.doc_id: r.score for r in pitmanyor.score(follow, F.col("doc_id") < 100).collect()}
     assert got == pytest.approx(again)  # whatever the blocks
     assert got[201] > got[203]
