@@ -340,8 +340,7 @@ def _tell(t: pa.Table) -> pa.Table:
 
 
 def _facts(docs: pa.Table, told: pa.Table, word_bits: int, pair_bits: int) -> pa.Table:
-    """Of a block: the pairs it speaks for that occur more than once, by part; how many of those that occur once each word ends and
-    begins; and all its words."""
+    """Of a block: the pairs it speaks for that occur more than once, by part; and how many of those that occur once each word ends and begins."""
     key, u, w, _ = _pairs(docs)
     said = _all(sorted(told.to_pylist(), key=lambda r: r["bucket"]), "a", np.int64)
     block, c, own = column(docs, "block")[0].as_py(), said >> 1, (said & 1).astype(bool)
@@ -351,9 +350,18 @@ def _facts(docs: pa.Table, told: pa.Table, word_bits: int, pair_bits: int) -> pa
     h, back = np.unique(np.concatenate([w[once], u[once]]), return_inverse=True)
     n = int(once.sum())
     k, tt = np.bincount(back[:n], minlength=len(h)).astype(np.int32), np.bincount(back[n:], minlength=len(h)).astype(np.int32)
-    out += [(ONES, j, block, packed(h[x:y]), packed(k[x:y]), packed(tt[x:y])) for j, x, y in _cuts(h, word_bits)]
-    h = distinct(np.concatenate([u, w]))
-    return _rows(out + [(ASKED, j, block, packed(h[x:y]), None, None) for j, x, y in _cuts(h, word_bits)])
+    return _rows(out + [(ONES, j, block, packed(h[x:y]), packed(k[x:y]), packed(tt[x:y])) for j, x, y in _cuts(h, word_bits)])
+
+
+def _block_words(rows: pa.Table) -> np.ndarray:
+    """Sorted hashes of a block's words and of the empty one."""
+    buf, offsets = buffers(column(rows, "text"))
+    return distinct(np.concatenate([np.zeros(1, _U), Words(buf, offsets, NOT_SPACE).hash]))
+
+
+def _ask_words(rows: pa.Table, bits: int) -> pa.Table:
+    h, block = _block_words(rows), column(rows, "block")[0].as_py()
+    return _rows([(ASKED, j, block, packed(h[x:y]), None, None) for j, x, y in _cuts(h, bits)])
 
 
 def _dealt_pairs(t: pa.Table, word_bits: int) -> pa.Table:
@@ -382,7 +390,7 @@ def _based(t: pa.Table) -> pa.Table:
 def _sent(t: pa.Table, state: State) -> pa.Table:
     """To each part of pairs, of the words that it holds: log probability in the word restaurant, and tables of their own restaurants."""
     own, now = _of(t, WORDS)[0], _of(t, STATE)[0]
-    p = state.log(_words(own["c"]), unpacked(now["a"], np.int64), unpacked(own["a"], _U)).astype(np.float32)
+    p = _short(state.log(_words(own["c"]), unpacked(now["a"], np.int64), unpacked(own["a"], _U)))
     tt = unpacked(now["b"], np.int64).astype(np.float32)
     out = []
     for r in _of(t, ROUTE):
@@ -423,18 +431,27 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpacked(a, np.int64)), pa.array(unpacked(b, np.int64))], ["at", "n"])
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Numbers with 16 bits behind the first one, which compress; senders and scorers see the same."""
+    bits = x.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
 def _known(t: pa.Table, model: Model) -> pa.Table:
-    """For the words that each block asked for: c, and log probabilities and tables in the last kept + 1 states."""
-    own = _of(t, WORDS)[0]
-    h, c, words = unpacked(own["a"], _U), unpacked(own["b"], np.int64), _words(own["c"])
-    states = _of(t, STATE)
-    p = [s.log(words, unpacked(r["a"], np.int64), h) for r, s in zip(states, model.states[-model.kept - 1 :], strict=True)]
-    both = np.stack(p + [unpacked(r["b"], np.int64) for r in states], 1).astype(np.float32)
+    """For the words that each block asked for, in their order: c, and log probabilities and tables in the last kept + 1 states; zeros where they aren't known."""
+    s = model.kept + 1
+    if own := _of(t, WORDS):
+        h, c, words, states = unpacked(own[0]["a"], _U), unpacked(own[0]["b"], np.int64), _words(own[0]["c"]), _of(t, STATE)
+        p = [_short(state.log(words, unpacked(r["a"], np.int64), h)) for r, state in zip(states, model.states[-s:], strict=True)]
+        both = np.stack(p + [unpacked(r["b"], np.int64) for r in states], 1).astype(np.float32)
     out = []
     for r in _of(t, ASKED):
-        at, hit = _found(h, unpacked(r["a"], _U))
-        at = at[hit]
-        out.append((KNOWN, r["other"], own["bucket"], packed(h[at]), packed(c[at]), packed(both[at].ravel())))
+        asked = unpacked(r["a"], _U)
+        count, state = np.zeros(len(asked), np.int64), np.zeros((len(asked), 2 * s), np.float32)
+        if own:
+            at, hit = _found(h, asked)
+            count[hit], state[hit] = c[at[hit]], both[at[hit]]
+        out.append((KNOWN, r["other"], r["bucket"], packed(count), packed(np.ascontiguousarray(state.T).ravel()), None))
     return _rows(out)
 
 
@@ -452,13 +469,12 @@ def pair_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, tt:
 
 @dataclass
 class Fitted:
-    """The model, and packed tables: words, their states after the last sweeps, what blocks were told of their pairs, and what they asked for."""
+    """The model, and packed tables: words, their states after the last sweeps, and what blocks were told of their pairs."""
 
     model: Model
     words: DataFrame
     states: DataFrame
     told: DataFrame
-    asked: DataFrame
 
 
 def fit(dealt: DataFrame, word_bits: int, pair_bits: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Fitted:
@@ -474,7 +490,7 @@ def fit(dealt: DataFrame, word_bits: int, pair_bits: int, burn_in: int = BURN_IN
     facts = dealt.groupBy("block").cogroup(told.groupBy("other")).applyInArrow(lambda d, t: _facts(d, t, word_bits, pair_bits), _ROW)
     facts = written(facts, "facts")
     pairs = written(by(kind(facts, PAIRS), lambda t: _dealt_pairs(t, word_bits)), "pairs")
-    base = written(by(words.union(kind(facts, ONES)).union(kind(pairs, ROUTE)), _based), "base")
+    base = written(by(words.union(kind(facts, ONES)).union(kind(pairs, ROUTE)), _based), "base", [facts])
     states: list[State] = []
     kept: list[DataFrame] = []
     seats = kind(pairs, PAIRS, HASHES)
@@ -501,14 +517,14 @@ def fit(dealt: DataFrame, word_bits: int, pair_bits: int, burn_in: int = BURN_IN
     after = kept[0]
     for more in kept[1:]:
         after = after.union(more)
-    return Fitted(Model(total.n or 0, total.v or 0, states, samples), words, kind(after, STATE), told, kind(facts, ASKED))
+    return Fitted(Model(total.n or 0, total.v or 0, states, samples), words, kind(after, STATE), told)
 
 
 def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
     s = model.kept + 1
-    own = _of(known, KNOWN)  # parts are ranges of hashes, so their words follow one another
-    word_key, word_c = _all(own, "a", _U), _all(own, "b", np.int64)
-    both = np.concatenate([np.zeros((0, 2 * s), np.float32), *(unpacked(r["c"], np.float32).reshape(-1, 2 * s) for r in own)])
+    own = _of(known, KNOWN)  # parts are ranges of hashes, so what is known follows the order of the block's words
+    word_key, word_c = _block_words(docs), _all(own, "a", np.int64)
+    both = np.concatenate([np.zeros((0, 2 * s), np.float32), *(unpacked(r["b"], np.float32).reshape(2 * s, -1).T for r in own)])
     word_p, word_tt = both[:, :s], both[:, s:]
     pair_key, _, _, _ = _pairs(docs)
     pair_c = _all(_of(known, TOLD), "a", np.int64) >> 1
@@ -520,6 +536,7 @@ def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) ->
         hashes, first, back = np.unique(np.concatenate([np.zeros(1, _U), w.hash]), return_index=True, return_inverse=True)
         at, hit = _found(word_key, hashes)
         c, p, tt = np.zeros(len(hashes), np.int64), np.zeros((len(hashes), s)), np.zeros((len(hashes), s))
+        hit &= word_c[at] > 0
         c[hit], p[hit], tt[hit] = word_c[at[hit]], word_p[at[hit]], word_tt[at[hit]]
         miss = np.flatnonzero(~hit)
         if len(miss):
@@ -565,9 +582,11 @@ def score(docs: DataFrame, train, ids: str = "doc_id", text: str = "text", block
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(total / block_bytes))))
     dealt = rows.select(block.alias("block"), "doc_id", (~F.col("train")).alias("held_out"), "text")
-    found = fit(dealt, _parts(total, word_bytes), _parts(total, pair_bytes))
+    word_bits = _parts(total, word_bytes)
+    found = fit(dealt, word_bits, _parts(total, pair_bytes))
     shared = rows.sparkSession.sparkContext.broadcast(found.model)
-    known = found.words.union(found.states).union(found.asked).groupBy("bucket").applyInArrow(lambda t: _known(t, shared.value) if _of(t, WORDS) else _rows([]), _ROW)
+    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask_words(t, word_bits), _ROW)
+    known = found.words.union(found.states).union(asked).groupBy("bucket").applyInArrow(lambda t: _known(t, shared.value), _ROW)
     told = found.told.select("kind", F.col("other").alias("bucket"), F.col("bucket").alias("other"), "a", "b", "c")
     result = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double".format(dict(dealt.dtypes)["doc_id"])
     schema = to_arrow_schema(_parse_datatype_string(result))

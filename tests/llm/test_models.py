@@ -149,7 +149,7 @@ def test_score_is_the_chain_of_restaurants(spark):
         for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
             each = []
             for j, s in enumerate(model.states[-model.kept :], 1):
-                p, before = (model.states[-model.kept - 1 + x].log(pa.array([w]), np.array([at[w]["k"][x] if w in at else 0]), one(w))[0] for x in (j, j - 1))
+                p, before = (pitmanyor._short(model.states[-model.kept - 1 + x].log(pa.array([w]), np.array([at[w]["k"][x] if w in at else 0]), one(w)))[0] for x in (j, j - 1))
                 tt, old = (at[u]["tt"][x] if u in at else 0 for x in (j, j - 1))
                 c = pairs[u, w]
                 seats = pitmanyor.pair_tables(one(u), one(w), np.array([c]), np.array([before], np.float32), np.array([old], np.float32), s.sweep)[0] if c else 0.0
