@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where the tables of written() are.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -45,11 +47,16 @@ def written(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFra
     The tables of the frames in `drop`, from calls before, are deleted once this one stands: nothing may read them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this step's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     for old in drop:
         dropped(old)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of finished steps
+    spark.sparkContext._jvm.System.gc()  # keeps the driver's heap small
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -3,7 +3,10 @@
 Largest inner products become smallest Euclidean distances by one more component, the square root
 of the largest squared norm less the vector's own (0 for queries). The tree is fitted on SAMPLE
 vectors at most, those that come first by hash of the id: k-means with BRANCH centres, again within
-every cluster of over LEAF sampled vectors. Every vector is then indexed in its nearest leaf.
+every cluster of over LEAF sampled vectors. Leaves that more than SPLIT vectors of the table fall into
+are clustered further by a sample of their own, SAMPLE_LEAF at most, each in a task; so a leaf is
+small up to about SAMPLE_LEAF / LEAF times as many vectors as without. Every vector is then indexed
+in its nearest leaf.
 
 A query walks the tree with a priority queue of nodes by distance to their centres, and visits
 leaves until there are `visits` of them, and k + 1 candidates in them. `visits` is calibrated:
@@ -25,6 +28,7 @@ counts once for each different vector; fewer candidates than k give all; no vect
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,7 @@ from ._io import table, written
 from ._text import column
 
 SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 16, 128, 8
+SPLIT, SAMPLE_LEAF = 4096, 4096
 CALIBRATE, TARGET = 200, 0.95
 ROWS, QUERIES = 4096, 1024
 K = 20
@@ -82,6 +87,25 @@ class Tree:
         used = np.unique(of)
         return (c[used], np.searchsorted(used, of)) if len(used) > 1 else None
 
+    def graft(self, subtrees: dict[int, Tree]) -> None:
+        """Puts trees in the place of leaves; the first leaf of each takes the number of the old one."""
+        node_of = {leaf: node for node, leaf in enumerate(self.leaf_of) if leaf >= 0}
+        centres = [self.centres]
+        for leaf, sub in sorted(subtrees.items()):
+            if sub.leaves < 2:
+                continue
+            shift = len(self.first) - 1  # the subtree's root is the leaf's node
+            node = node_of[leaf]
+            number = {k: self.leaves + k - 1 if k else leaf for k in range(sub.leaves)}
+            self.leaves += sub.leaves - 1
+            self.leaf_of[node], self.first[node], self.last[node] = -1, sub.first[0] + shift, sub.last[0] + shift
+            for a, b, k in zip(sub.first[1:], sub.last[1:], sub.leaf_of[1:], strict=True):
+                self.first.append(a + shift if a < b else 0)
+                self.last.append(b + shift if a < b else 0)
+                self.leaf_of.append(number[k] if k >= 0 else -1)
+            centres.append(sub.centres[1:])
+        self.centres = np.concatenate(centres)
+
     def descend(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector, by the nearest centre at every level."""
         out = np.zeros(len(x), np.int64)
@@ -207,6 +231,25 @@ def search(vectors: DataFrame, queries, k: int = K, ids: str = "vec_id", vector:
     tree = Tree(_raised(_matrix(column(picked, "v")), top))
     shared = spark.sparkContext.broadcast(tree)
 
+    def within(it):
+        for b in it:
+            x = _raised(_matrix(column(b, "v")), top)
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "v"), pa.array(shared.value.descend(x))], ["id", "v", "leaf"])
+
+    def clustered(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        sub = Tree(_raised(_matrix(column(t, "v")), top))
+        return pa.table({"leaf": column(t, "leaf")[:1], "tree": pa.array([pickle.dumps(sub)], pa.binary())})
+
+    at = index.mapInArrow(within, "id long, v array<double>, leaf long")
+    full = at.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("leaf")
+    few = Window.partitionBy("leaf").orderBy(F.xxhash64("id"), "id")
+    some = at.join(F.broadcast(full), "leaf").withColumn("n", F.row_number().over(few)).where(F.col("n") <= SAMPLE_LEAF).select("id", "v", "leaf")  # no more leaves than SAMPLE
+    subtrees = some.groupBy("leaf").applyInArrow(clustered, "leaf long, tree binary").collect()  # of SAMPLE_LEAF vectors, for each leaf
+    if subtrees:
+        tree.graft({r.leaf: pickle.loads(r.tree) for r in subtrees})
+        shared = spark.sparkContext.broadcast(tree)
+
     def leaves(it):
         for b in it:
             leaf = shared.value.descend(_raised(_matrix(column(b, "v")), top))
