@@ -47,6 +47,17 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of an array, sorted; a place of each; and the number of the value at every place."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], order[new], back
+
+
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _MULT)
 #: Bytes that are hashed at once.
 STRIDE = 1 << 17

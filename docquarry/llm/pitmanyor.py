@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._io import dropped, table, written
-from ._text import NOT_SPACE, Words, buffers, column, distinct, gathered, mix
+from ._text import NOT_SPACE, Words, buffers, column, distinct, gathered, grouped, mix
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 #: Of byte restaurants.
@@ -101,18 +101,23 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
 def seated(count: np.ndarray, base: np.ndarray, seed: np.ndarray, discount: float, mass: np.ndarray | float) -> np.ndarray:
     """Tables of dishes with `count` customers each; mass: strength + discount * tables of the restaurant; base: the parent's probability."""
     tables = (count > 0).astype(float)
-    new = np.broadcast_to(mass * base, count.shape)
+    some = np.flatnonzero(count > 1)
+    some = some[np.argsort(-count[some])]  # those with most customers first: who still waits is always a first part
+    c, t, new, seed = count[some], np.ones(len(some)), np.broadcast_to(mass * base, count.shape)[some], seed[some]
+    less = -c
     done, step = 1, 0
-    live = np.flatnonzero(count > 1)
-    while len(live):
+    while n := int(np.searchsorted(less, -done)):
         block = max(1, done // ONE_BY_ONE)
-        block_n = np.minimum(block, count[live] - done)
-        p = new[live] / (np.maximum(done - discount * tables[live], 1e-12) + new[live])
+        p = new[:n] / (np.maximum(done - discount * t[:n], 1e-12) + new[:n])
         step += 1
-        u = _uniform(seed[live], step)
-        tables[live] += (u < p) if block == 1 else np.minimum(np.floor(block_n * p + u), block_n)
+        u = _uniform(seed[:n], step)
+        if block == 1:
+            t[:n] += u < p
+        else:
+            size = np.minimum(block, c[:n] - done)
+            t[:n] += np.minimum(np.floor(size * p + u), size)
         done += block
-        live = live[count[live] > done]
+    tables[some] = t
     return tables
 
 
@@ -217,9 +222,21 @@ def _byte_customers(words: pa.Array, k: np.ndarray, seed: np.ndarray, last: tupl
         spell, before, sweep = last
         t = seated(count, np.exp(spell.words(words).astype(float)), seed[seats] + _U(sweep), DISCOUNT, STRENGTH + DISCOUNT * before)
     context, byte, start = spelled(words)
-    at, back = np.unique(context << 8 | byte, return_inverse=True)
-    n = np.bincount(back, np.repeat(t, np.diff(np.append(start, len(byte)))), len(at)).astype(np.int64)
-    return np.append(at, -1), np.append(n, int(t.sum()))
+    each = np.repeat(t, np.diff(np.append(start, len(byte))))
+    used = np.flatnonzero(np.bincount(byte, minlength=256) > 0)
+    used = np.union1d(used, [_SPACE])
+    size = len(used)
+    if size**3 <= 1 << 23:  # few bytes occur: a dense count over all three of them
+        code = np.zeros(256, np.int64)
+        code[used] = np.arange(size)
+        n = np.bincount((code[context >> 8] * size + code[context & 255]) * size + code[byte], each, size**3)
+        at = np.flatnonzero(n)
+        n = n[at]
+        at = used[at // size**2] << 16 | used[at // size % size] << 8 | used[at % size]
+    else:
+        at, _, back = grouped(context << 8 | byte)
+        n = np.bincount(back, each, len(at))
+    return np.append(at, -1), np.append(n.astype(np.int64), int(t.sum()))
 
 
 def _stream(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +314,8 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
     """Words of training rows with their counts, packed by part; the empty word ends each text."""
     for rows, buf, offsets in gathered(batches, "text", BLOCK_BYTES, 1 << 20):
         w = Words(buf, offsets, NOT_SPACE)
-        h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+        h, first, back = grouped(w.hash)
+        n = np.bincount(back, minlength=len(h))
         h, n = np.concatenate([np.zeros(1, _U), h]), np.concatenate([[rows.num_rows], n]).astype(np.int64)
         words = pa.concat_arrays([pa.array([""], pa.string()), w.strings(first)])
         yield from _rows([(WORDS, j, 0, packed(h[x:y]), packed(n[x:y]), _text(words.slice(x, y - x))) for j, x, y in _cuts(h, bits)]).to_batches()
@@ -306,7 +324,7 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 def _merged(t: pa.Table) -> pa.Table:
     """The words of a part, sorted by hash, with their counts; `other` is the sum of these."""
     rows = _of(t, WORDS)
-    h, first, back = np.unique(_all(rows, "a", _U), return_index=True, return_inverse=True)
+    h, first, back = grouped(_all(rows, "a", _U))
     n = np.bincount(back, _all(rows, "b", np.int64), len(h)).astype(np.int64)
     words = pa.concat_arrays([_words(r["c"]) for r in rows]).take(pa.array(first))
     return _rows([(WORDS, rows[0]["bucket"], int(n.sum()), packed(h), packed(n), _text(words))])
@@ -317,8 +335,8 @@ def _pairs(rows: pa.Table) -> tuple[np.ndarray, ...]:
     buf, offsets = buffers(column(rows, "text"))
     before, word, doc = _stream(Words(buf, offsets, NOT_SPACE), len(offsets) - 1)
     train = ~column(rows, "held_out").to_numpy(zero_copy_only=False).astype(bool)
-    key, first, back = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
-    return key, before[first], word[first], np.bincount(back, train[doc].astype(float), len(first)).astype(np.int64)
+    key, one, back = grouped(_pair_seed(before, word))
+    return key, before[one], word[one], np.bincount(back, train[doc], len(one)).astype(np.int64)
 
 
 def _ask(rows: pa.Table, bits: int) -> pa.Table:
@@ -347,7 +365,7 @@ def _facts(docs: pa.Table, told: pa.Table, word_bits: int, pair_bits: int) -> pa
     many = np.flatnonzero(own & (c > 1))
     out = [(PAIRS, r, block, packed(u[many[x:y]]), packed(w[many[x:y]]), packed(c[many[x:y]])) for r, x, y in _cuts(key[many], pair_bits)]
     once = own & (c == 1)
-    h, back = np.unique(np.concatenate([w[once], u[once]]), return_inverse=True)
+    h, _, back = grouped(np.concatenate([w[once], u[once]]))
     n = int(once.sum())
     k, tt = np.bincount(back[:n], minlength=len(h)).astype(np.int32), np.bincount(back[n:], minlength=len(h)).astype(np.int32)
     return _rows(out + [(ONES, j, block, packed(h[x:y]), packed(k[x:y]), packed(tt[x:y])) for j, x, y in _cuts(h, word_bits)])
@@ -368,7 +386,7 @@ def _dealt_pairs(t: pa.Table, word_bits: int) -> pa.Table:
     """A part of the pairs: numbers of both words in its sorted hashes, and counts; its hashes; and these by the part of words that has them."""
     rows = _of(t, PAIRS)
     u, w, c = (_all(rows, x, kind) for x, kind in (("a", _U), ("b", _U), ("c", np.int64)))
-    h, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+    h, _, back = grouped(np.concatenate([u, w]))
     r, back = rows[0]["bucket"], back.astype(np.int32)
     out = [(PAIRS, r, 0, packed(back[: len(u)]), packed(back[len(u) :]), packed(c)), (HASHES, r, 0, packed(h), None, None)]
     return _rows(out + [(ROUTE, j, r, packed(h[x:y]), None, None) for j, x, y in _cuts(h, word_bits)])
@@ -521,51 +539,44 @@ def fit(dealt: DataFrame, word_bits: int, pair_bits: int, burn_in: int = BURN_IN
 
 
 def _scored(docs: pa.Table, known: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
+    """Scores of a block's documents, from what it was told of its words and pairs, both in the order of their hashes."""
     s = model.kept + 1
     own = _of(known, KNOWN)  # parts are ranges of hashes, so what is known follows the order of the block's words
-    word_key, word_c = _block_words(docs), _all(own, "a", np.int64)
-    both = np.concatenate([np.zeros((0, 2 * s), np.float32), *(unpacked(r["b"], np.float32).reshape(2 * s, -1).T for r in own)])
-    word_p, word_tt = both[:, :s], both[:, s:]
-    pair_key, _, _, _ = _pairs(docs)
+    c = _all(own, "a", np.int64)
+    both = np.concatenate([np.zeros((2 * s, 0), np.float32), *(unpacked(r["b"], np.float32).reshape(2 * s, -1) for r in own)], 1)
+    p, tt = both[:s].astype(float), both[s:]
     pair_c = _all(_of(known, TOLD), "a", np.int64) >> 1
-    out = []
-    for rows, buf, offsets in gathered(docs.to_batches(), "text", 8 << 20, 1 << 20):
-        w = Words(buf, offsets, NOT_SPACE)
-        n = len(offsets) - 1
-        before, word, doc = _stream(w, n)
-        hashes, first, back = np.unique(np.concatenate([np.zeros(1, _U), w.hash]), return_index=True, return_inverse=True)
-        at, hit = _found(word_key, hashes)
-        c, p, tt = np.zeros(len(hashes), np.int64), np.zeros((len(hashes), s)), np.zeros((len(hashes), s))
-        hit &= word_c[at] > 0
-        c[hit], p[hit], tt[hit] = word_c[at[hit]], word_p[at[hit]], word_tt[at[hit]]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            end = first[miss] == 0
-            texts = w.strings(first[miss][~end] - 1)
-            if end.any():
-                where = int(np.flatnonzero(end)[0])
-                texts = pa.concat_arrays([texts.slice(0, where), pa.array([""], pa.string()), texts.slice(where)])
-            none = np.zeros(len(miss), np.int64)
-            for j, state in enumerate(model.states[-s:]):
-                p[miss, j] = state.log(texts, none, none.astype(_U))
-        base = np.log10((c + ADDED) / (model.tokens + ADDED * (model.distinct + 1)))
-        _, one, which = np.unique(_pair_seed(before, word), return_index=True, return_inverse=True)
-        u, v = before[one], word[one]
-        at, hit = _found(pair_key, _pair_seed(u, v))
-        count = np.zeros(len(one), np.int64)
-        count[hit] = pair_c[at[hit]]
-        iu, iv = np.searchsorted(hashes, u), np.searchsorted(hashes, v)
-        lp = np.full(len(one), -np.inf)
-        for j, state in enumerate(model.states[-model.kept :], 1):
-            t = pair_tables(u, v, count, p[iv, j - 1], tt[iu, j - 1], state.sweep)
-            own = np.log(np.maximum(count - DISCOUNT * t, 1e-300))
-            lp = np.logaddexp(lp, np.logaddexp(own, np.log(STRENGTH + DISCOUNT * tt[iu, j]) + p[iv, j]) - np.log(STRENGTH + c[iu]))
-        lp = (lp - math.log(model.kept)) / math.log(10)
-        end, token = back[0], back[1:]
-        add = lambda x: np.bincount(w.doc, x[token], n) + x[end]
-        new = [pa.array(np.diff(w.bounds) + 1, pa.int64()), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, model.tokens), pa.int64()), pa.array(add(base)), pa.array(np.bincount(doc, lp[which], n))]
-        out.append(pa.Table.from_arrays([*(rows.column(f.name) for f in schema if f.name in rows.column_names), *new], schema=schema))
-    return pa.concat_tables(out) if out else schema.empty_table()
+
+    buf, offsets = buffers(column(docs, "text"))
+    w, n = Words(buf, offsets, NOT_SPACE), len(offsets) - 1
+    before, word, doc = _stream(w, n)
+    _, at, of_word = grouped(word)  # every text has an end, so the empty word is the first one, and the last before each text
+    if len(miss := np.flatnonzero(c == 0)):
+        some = miss[word[at[miss]] != 0]
+        texts, none = w.strings(at[some] - doc[at[some]]), np.zeros(len(some), np.int64)
+        for j, state in enumerate(model.states[-s:]):
+            p[j, some] = state.log(texts, none, none.astype(_U))
+            if len(some) < len(miss):  # no training row, so not even an end
+                p[j, miss[0]] = state.log(pa.array([""]), np.zeros(1, np.int64), np.zeros(1, _U))[0]
+    base = np.log10((c + ADDED) / (model.tokens + ADDED * (model.distinct + 1)))
+    _, one, pair = grouped(_pair_seed(before, word))
+    v = of_word[one]
+    u = np.where(one > 0, of_word[one - 1], 0)
+    u_word, v_word, served = before[one], word[one], c[u] + STRENGTH
+    many, some = np.flatnonzero(pair_c > 1), np.flatnonzero(pair_c)
+    total = np.full(len(one), -np.inf)
+    for j, state in enumerate(model.states[-model.kept :], 1):
+        tables = np.ones(len(one))
+        tables[many] = pair_tables(u_word[many], v_word[many], pair_c[many], p[j - 1, v[many]], tt[j - 1, u[many]], state.sweep)
+        lp = np.log(STRENGTH + DISCOUNT * tt[j, u]) + p[j, v]
+        lp[some] = np.logaddexp(np.log(pair_c[some] - DISCOUNT * tables[some]), lp[some])
+        total = np.logaddexp(total, lp - np.log(served))
+    total = (total - math.log(model.kept)) / math.log(10)
+    of_token = lambda x: np.bincount(doc, x, n)
+    new = [
+        pa.array(np.diff(w.bounds) + 1, pa.int64()), pa.array(of_token((c > 0)[of_word]).astype(np.int64)), pa.array(np.full(n, model.tokens), pa.int64()), pa.array(of_token(base[of_word])), pa.array(of_token(total[pair])),
+    ]
+    return pa.Table.from_arrays([*(docs.column(f.name) for f in schema if f.name in docs.column_names), *new], schema=schema)
 
 
 def _parts(total: int, size: int) -> int:
