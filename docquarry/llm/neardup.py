@@ -9,7 +9,7 @@ the set. Then
    other's s - c + 1 rarest ones (values in the order of their list's length): only those lists
    count, which leaves out lists of common shingles exactly, without a cap. For sets whose
    partners all lie whole in their sketches, c is the exact bound ceil(t * size); for others
-   it is SHARED of k, over six standard deviations below the mean t * k: one pair of exactly t in 10**9 is missed.
+   it is SHARED of k, over five standard deviations below the mean t * k: one pair of exactly t in 3 * 10**6 is missed.
 2. a list isn't expanded into its pairs. Each list picks as centre the set that shares most of
    its values, and pairs are (member, centre). The similarity estimated on the union's sketch
    drops pairs, the exact Jaccard of the full sets decides, and links join into components.
@@ -42,7 +42,7 @@ from ._text import NOT_SPACE, Words, column, gathered, mix
 
 SKETCH = 64
 #: Least share of a sketch's values that a linked sketch has too.
-SHARED = 30 / 64
+SHARED = 34 / 64
 #: Rows of either side of a comparison of blocks.
 BLOCK = 128
 
