@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -296,11 +297,22 @@ def length_report(spark, d):
     return found.select("doc_id", "documents", "section_documents", "max_tokens", "max_tokens_uid", "mismatched", "over_declared", _joined(F.col("over_declared_examples")).alias("examples"))
 
 
+def compass(texts: pd.Series) -> pd.Series:
+    """Stands for an embedder: the direction of the run that a text names, and whether it names a figure."""
+
+    def vector(text: str) -> list[float]:
+        run = re.search(r"r(\d{6})", text)
+        angle = int(run[1]) / 1e6 * math.pi if run else 0.0
+        return [math.cos(angle), math.sin(angle), float("Fig." in text)] if run else [0.0, 0.0, 1.0]
+
+    return texts.map(vector)
+
+
 @query(f"select p_partkey as query_id, {K} as doc_id, 'sec_3__chunk_1' as node_id, 1 as rank, 0.0::double as distance, {WIDE} as text, '3 Results' as section from part")
 def sheet_vector_search(spark, d):
     b = built(spark, d)
     asked = b.chunks.where("node_id = 'sec_3__chunk_1'").select(F.col("doc_id").cast("long").alias("query_id"), F.col("text").alias("normalized_query"), F.array(F.lit("results"), F.lit("discussion")).alias("retrieval_buckets"))
-    hits = embed.enriched(embed.search(asked, pipeline.vectors(b), 1), b.search_rows, b.nodes)
+    hits = embed.enriched(embed.search(asked, pipeline.vectors(b, compass), 1, compass), b.search_rows, b.nodes)
     return hits.select("query_id", "doc_id", "node_id", "rank", F.round("distance", 6).alias("distance"), "text", F.col("section_title_full").alias("section"))
 
 
