@@ -101,3 +101,29 @@ def test_example(spark):
     assert got.first().md_text == want
     n = parse.processing_info(parse.documents(got)).first()
     assert (n.n_sections, n.n_figures, n.n_tables, n.n_equations, n.n_additional) == (19, 13, 5, 1, 4)
+
+
+def test_odd_tables():
+    """Spans that aren't plain numbers count as one, wide ones as a thousand, and broken markup is an empty table or what can be read."""
+    assert parse.table_data('<table><tr><td colspan="²">a</td></tr></table>')["grid"] == [["a"]]
+    assert len(parse.table_data('<table><tr><td colspan="3000000">a</td></tr></table>')["grid"][0]) == parse.WIDEST
+    assert parse.table_data("<table><tr><td>a")["grid"] == [["a"]] and parse.table_data("")["grid"] == []
+
+
+def test_front_matter_pieces():
+    """Several blocks, one of them last, and a fence without a cue."""
+    md = "T\n\n## Introduction\nA\n\n---\nE-mail address: a\n---\n\nB\n\n---\nplain\n---\nC\n\n---\nPresent address: b\n---\n"
+    assert clean.move_front_matter(md) == "T\n\n---\nE-mail address: a\n---\n\n---\nPresent address: b\n---\n\n## Introduction\nA\n\nB\n\n---\nplain\n---\nC\n"
+    assert clean.move_front_matter("no headings") == "no headings"
+
+
+def test_models_plug_in(spark, built):
+    """A splitter and a tokenizer of one's own, and a vector search with an embedder of one's own."""
+    sections = parse.exploded(built.parsed, "sections")
+    halves = chunk.chunks(sections, limit=1000, sentences=lambda p: p.split(" "), tokens=lambda t: [(0, len(t))] if t else [])
+    assert halves.count() == chunk.chunks(sections).count() and halves.agg({"token_count": "max"}).first()[0] == 1 + chunk.SPECIAL
+    asked = spark.createDataFrame([(1, "Why?")], "query_id long, query string")
+    got = pipeline.answer(built, asked, search="vector", embed=lambda x: x.map(lambda t: [float(len(t)), 1.0]))
+    assert got.hits.count() >= 1 and got.packages().count() == 1
+    with pytest.raises(ValueError):
+        pipeline.answer(built, asked, search="else")

@@ -37,3 +37,15 @@ def test_lenient_json(spark):
     assert one(spark, J.first_object, 'so {"a":1} it is') == '{"a":1}'
     assert one(spark, J.first_object, "[1]") is None
     assert J.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": None}}) == {"a": {"b": None, "c": 2}}
+
+
+def test_citation_ranges_have_no_cap(spark):
+    assert len(one(spark, M.citations, "[1-20000]")) == 20_000
+    assert one(spark, M.citations, "[1-9999999999] [3]") == ["ref_3"]
+    assert [(s["first"], s["last"]) for s in one(spark, M.citation_spans, "[1–9999999999], [7, 5-4]")] == [(1, 9999999999), (7, 7)]
+
+
+def test_guarded_rules(spark):
+    """Texts without the string that a rule needs are passed over; null stays null."""
+    assert one(spark, T.normalize_units, "no money") == "no money" and one(spark, T.normalize_phases, None) is None
+    assert one(spark, T.strip, "　a\xa0b\n") == "a\xa0b" and one(spark, T.normalize_newlines, "a\r\nb\rc") == "a\nb\nc"

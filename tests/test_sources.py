@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from docquarry.sources import files
+from docquarry.sources import files, index
 from docquarry.streaming.ingest import ingest
 
 
@@ -38,3 +38,33 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("doc_id string, source_file string, md_text string").parquet(str(tmp_path / "in"))
     ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/nodes")).count() == 2
+
+
+def test_assets_and_secrets(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    (source / "images").mkdir(parents=True)
+    (source / "p.md").write_text("x")
+    (source / "images" / "a.png").write_bytes(b"1")
+    out = tmp_path / "out"
+    assert files.copy_assets(spark, f"file://{source}/p.md", f"file://{out}") == 2
+    assert (out / "p.md").read_text() == "x" and (out / "images" / "a.png").read_bytes() == b"1"
+    (source / "images" / "a.png").unlink()
+    (source / "images" / "b.png").write_bytes(b"2")
+    assert files.copy_assets(spark, f"file://{source}/p.md", f"file://{out}") == 2 and not (out / "images" / "a.png").exists()
+    env = tmp_path / ".env"
+    env.write_text("# no\nexport ONE='1'\nTWO=2\n")
+    monkeypatch.setenv("TWO", "3")
+    assert files.secret(("ZERO", "ONE"), str(env)) == ("1", "ONE") and files.secret(("TWO",), str(env)) == ("3", "TWO")
+    with pytest.raises(ValueError, match="ZERO"):
+        files.secret(("ZERO",))
+
+
+def test_index_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "f.md", "c1", "intro", [1.0, 0.0]), ("d", "f.md", "c2", "results", [0.0, 1.0])], "doc_id string, source_file string, node_id string, bucket string, v array<double>")
+    index.write(rows.union(rows.limit(1)), str(tmp_path / "i"), "m")
+    index.write(rows, str(tmp_path / "i"), "m", {"limit": "9"})  # the former index is gone
+    vectors, manifest = index.read(spark, str(tmp_path / "i"), "intro")
+    assert [r.node_id for r in vectors.collect()] == ["c1"]
+    said = {r.bucket: (r.documents, r.created, r.dimensions) for r in manifest.collect()}
+    assert said["intro"] == (1, True, 2) and said["metadata"] == (0, False, None) and len(said) == len(index.EVERY)
+    assert index.listed(spark, str(tmp_path / "i")).where("path like '%parquet'").count() >= 3
