@@ -278,8 +278,8 @@ def extraction_fields(spark, d):
 
 
 @query(f"""
-select {K} as doc_id, b as bucket, case b when 'intro' then 1 when 'method' then 1 when 'results' then 3 else 0 end as documents, b in ('intro', 'method', 'results') as created,
- case when b in ('intro', 'method', 'results') then {embed.DIMENSIONS} end::int as dimensions, '{{"limit":"480"}}' as chunking from part, unnest([{", ".join(f"'{b}'" for b in index.EVERY)}]) as u(b)""")
+select {K} as doc_id, b as bucket, case b when 'intro' then 1 when 'method' then 1 when 'results' then 3 when 'metadata' then 1 else 0 end as documents, b in ('intro', 'method', 'results', 'metadata') as created,
+ case when b in ('intro', 'method', 'results', 'metadata') then {embed.DIMENSIONS} end::int as dimensions, '{{"limit":"480"}}' as chunking from part, unnest([{", ".join(f"'{b}'" for b in index.EVERY)}]) as u(b)""")
 def index_manifest(spark, d):
     rows = pipeline.vectors(built(spark, d))
     return index.write(rows, new_folder(spark, "index"), "hashing", {"limit": "480"}).select("doc_id", "bucket", "documents", "created", "dimensions", "chunking")

@@ -83,8 +83,11 @@ class Answered:
 
 
 def vectors(built: Built, embed=embedding.hashing) -> DataFrame:
-    """The index rows of a built corpus: search rows with their vector. A text over the model's limit is refused by embed.refuse_overlong(embed.lengths(...))."""
-    return embedding.embedded(built.search_rows.select("doc_id", "node_id", "source_file", "evidence_uid", "bucket", "text"), "text", embed)
+    """The index rows of a built corpus: section chunks by bucket and metadata profiles in theirs, with their vectors. A text over a
+    model's limit is refused by embed.refuse_overlong(embed.lengths(...))."""
+    columns = ("doc_id", "node_id", "source_file", "evidence_uid", "bucket", "text")
+    rows = built.search_rows.select(*columns).union(profiles.documents(built.nodes).select(*columns))
+    return embedding.embedded(rows, "text", embed)
 
 
 def answer(

@@ -388,6 +388,17 @@ def image_addresses(spark, d):
     return files.image_uris(figures, images).select("s_suppkey", "image_uri")
 
 
+@query("select s_suppkey::varchar as doc_id, s_suppkey || '.pdf' as source_file, '# ' || s_name as md_text from supplier where s_suppkey % 3 = 1")
+def converted_files(spark, d):
+    """Of files of which a third were converted before, and a third can't be."""
+    k = F.col("s_suppkey").cast("string")
+    s = read(spark, d, "supplier")
+    found = s.select(F.concat(F.lit("/in/"), k, F.lit(".pdf")).alias("path"), F.when(F.col("s_suppkey") % 3 == 2, "").otherwise(F.col("s_name")).cast("binary").alias("content"))
+    done = s.where("s_suppkey % 3 = 0").select(k.alias("doc_id"))
+    client = lambda x: x.map(lambda b: f"# {bytes(b).decode()}" if len(b) else None)
+    return files.converted(found, client, done).select("doc_id", "source_file", "md_text")
+
+
 # ---- reranking, caps of text, captions, set differences
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.models import model
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +76,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(T.document_id(F.regexp_replace(label, r"\.[^.]*$", "")).alias("doc_id"), label.alias("source_file"), F.col("path").alias("source_markdown"), "md_text")
 
 
+def converted(found: DataFrame, client: Callable[[pd.Series], pd.Series], done: DataFrame | None = None) -> DataFrame:
+    """As read_markdown, from files (path, content) that a service turns into Markdown: `client` maps contents to texts, and null
+    leaves a file out. Documents in `done` (doc_id) aren't sent again."""
+    label = T.source_label(F.col("path"))
+    rows = found.select(T.document_id(F.regexp_replace(label, r"\.[^.]*$", "")).alias("doc_id"), label.alias("source_file"), F.col("path").alias("source_markdown"), "content")
+    if done is not None:
+        rows = rows.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
+    return rows.withColumn("md_text", model(client, "string")("content")).drop("content").where("md_text is not null")
+
+
 def image_uris(figures: DataFrame, images: DataFrame, base: str = "base_dir") -> DataFrame:
     """Figures with image_uri: a remote address as it is, else the data URI of the first image that is there of: an absolute path, the
     path under the document's folder, under that folder's parent, and the path alone. images: rows of the binaryFile source."""
