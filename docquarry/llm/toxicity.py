@@ -18,6 +18,7 @@ but the text reaches a score.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._io import table, written
-from ._text import chunks, column, distinct, mix
+from ._text import chunks, column, distinct, mix, released
 
 ORDERS = (4, 5, 6, 7, 8)
 BITS = 22
@@ -83,14 +84,26 @@ def present(texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarr
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
+def coded(features: np.ndarray) -> np.ndarray:
+    """Feature number to place among `features`, or -1."""
+    codes = np.full(1 << BITS, -1, np.int32)
+    codes[features] = np.arange(len(features))
+    return codes
+
+
 @dataclass
 class Model:
-    """codes: feature number to place in `weight`, or -1; `weight` holds coefficient times log-count ratio."""
+    """features: their numbers; `weight` holds coefficient times log-count ratio of each."""
 
-    codes: np.ndarray
+    features: np.ndarray
     weight: np.ndarray
     bias: float
 
+    @functools.cached_property
+    def codes(self) -> np.ndarray:
+        """Made where texts are scored: it is large, and the model is small without it."""
+        return coded(self.features)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.full(len(texts), self.bias)
         if len(texts) and len(self.weight):
@@ -114,8 +127,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(counts[k, part].astype(np.int64)) for k in (0, 1))], ["f", "q", "p"])
 
 
-def _marked(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The class of each text, and the codes of its features as 16-bit integers."""
+def _marked(batches: Iterator[pa.RecordBatch], features: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class of each text, and the places of its features as 16-bit integers."""
+    codes = coded(features)
     for rows, _, _ in chunks(batches, "text", STRETCH):
         doc, f = present([x or "" for x in column(rows, "text").to_pylist()], codes)
         ends = np.searchsorted(doc, np.arange(rows.num_rows + 1))
@@ -143,7 +157,11 @@ def fit(rows: pa.Table, ratio: np.ndarray) -> tuple[np.ndarray, float]:
         return z
 
     def backward(u: np.ndarray) -> np.ndarray:
-        return np.bincount(f, x * u[doc].astype(np.float32), len(ratio)) / n
+        out, u = np.zeros(len(ratio)), u.astype(np.float32)
+        for lo in range(0, len(f), 1 << 19):  # counts take doubles: some at a time
+            part = slice(lo, lo + (1 << 19))
+            out += np.bincount(f[part], x[part] * u[doc[part]], len(ratio))
+        return out / n
 
     w, b = np.zeros(len(ratio)), float(np.log(y.mean() / (1 - y.mean())))
     # a bound of the curvature by a few power iterations
@@ -167,7 +185,6 @@ def fit(rows: pa.Table, ratio: np.ndarray) -> tuple[np.ndarray, float]:
 
 def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from labelled documents; `labels` has `ids` and `label` (0 or 1)."""
-    codes = np.full(1 << BITS, -1, np.int32)
     known = labels.select(F.col(ids).alias("__id"), F.col(label).cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
@@ -179,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     P, Q = totals.get(1, 0), totals.get(0, 0)
     if not P or not Q:
         share = P / max(P + Q, 1)
-        return Model(codes, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     counts = rows.mapInArrow(_counted, "f long, q long, p long").groupBy("f").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     n = P + Q
 
@@ -191,13 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     best = counts.withColumn("g", F.round(told, 6)).where(F.col("g") >= TELLING).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
     f = np.array([r.f for r in best], np.int64)
     ratio = np.log((np.array([r.p for r in best]) + ALPHA) / (P + 2 * ALPHA)) - np.log((np.array([r.q for r in best]) + ALPHA) / (Q + 2 * ALPHA))
-    codes[f] = np.arange(len(f))
-    shared = rows.sparkSession.sparkContext.broadcast(codes)
+    shared = rows.sparkSession.sparkContext.broadcast(f)
     marked = rows.mapInArrow(lambda it: _marked(it, shared.value), "toxic int, f binary").toArrow()  # bounded by the sample
     w, b = fit(marked, ratio)
     shared.destroy()
     b += float(np.log(whole[1] / whole[0]) - np.log(P / Q))  # the classes' shares among all labelled rows, not in the sample
-    return Model(codes, w * ratio, b)
+    del marked
+    released()
+    return Model(f, w * ratio, b)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], text: str, model: Model, out: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
