@@ -72,6 +72,16 @@ def test_answer(spark, built):
     assert {r.bucket for r in plain.evidence.collect()} == {"chunks"}
 
 
+def test_tables_are_made_when_asked_for(spark, tmp_path):
+    docs = spark.createDataFrame([(str(k), "f.md", "# T\n\n## Abstract\nA.\n\n## 1. Introduction\nSee Fig. 1.\n") for k in range(40)], "doc_id string, source_file string, md_text string").coalesce(1)
+    made = pipeline.build(docs, keep=str(tmp_path), client=lambda prompts: prompts.map(lambda p: '{"bibliography": {"title": "T"}}'))
+    assert os.listdir(tmp_path) == []
+    assert made.parsed.count() == 40 and os.listdir(tmp_path) == ["parsed"]
+    assert len([f for f in os.listdir(tmp_path / "parsed") if f.endswith(".parquet")]) > 1  # one file in, several tasks
+    assert made.nodes.where("node_type = 'metadata_structured' and rank = -1 and title = 'T'").count() == 40
+    assert sorted(os.listdir(tmp_path)) == ["mentions", "nodes", "parsed"]
+
+
 def test_greedy_budget(spark):
     rows = spark.createDataFrame([("q", k, n) for k, n in enumerate((3, 9, 2, 4))], "q string, k int, n int")
     assert sorted(r.n for r in retrieve.greedy_budget(rows, "q", ["k"], "n", 9).collect()) == [2, 3, 4]
