@@ -82,6 +82,13 @@ def test_tables_are_made_when_asked_for(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["mentions", "nodes", "parsed"]
 
 
+def test_findings_rule_by_rule(spark, tmp_path):
+    rows = [spark.range(n).selectExpr("string(id) doc_id", "'error' severity", f"'C{n}' code", "'x' context") for n in (0, 2, 3)]
+    kept = validate.findings(rows, str(tmp_path))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, validate.findings(rows).collect()))
+    assert not any("Union" in x for x in kept._jdf.queryExecution().toString().split()) and sorted(os.listdir(tmp_path)) == ["rule=0", "rule=1", "rule=2"]
+
+
 def test_greedy_budget(spark):
     rows = spark.createDataFrame([("q", k, n) for k, n in enumerate((3, 9, 2, 4))], "q string, k int, n int")
     assert sorted(r.n for r in retrieve.greedy_budget(rows, "q", ["k"], "n", 9).collect()) == [2, 3, 4]
