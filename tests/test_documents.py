@@ -82,6 +82,14 @@ def test_tables_are_made_when_asked_for(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["mentions", "nodes", "parsed"]
 
 
+def test_lexical_terms_that_begin_alike(spark):
+    texts = ["see abcdefghijklmnopq1 now", "see xabcdefghijklmnopq2y", "run r000017", "run r000018", "x9 alone"]
+    rows = spark.createDataFrame([("results", "d", k, t) for k, t in enumerate(texts)], "bucket string, doc_id string, global_order int, text string")
+    asked = spark.createDataFrame([(1, ["results"], "abcdefghijklmnopq2 r000018"), (2, ["results"], "x9 r0000"), (3, ["results"], "abcdefghijklmnopq")], "query_id int, retrieval_buckets array<string>, normalized_query string")
+    got = {(r.query_id, r.global_order, r.score) for r in retrieve.lexical(asked, rows).collect()}
+    assert got == {(1, 1, 1), (1, 3, 1), (2, 2, 1), (2, 3, 1), (2, 4, 1), (3, 0, 1), (3, 1, 1)}
+
+
 def test_findings_rule_by_rule(spark, tmp_path):
     rows = [spark.range(n).selectExpr("string(id) doc_id", "'error' severity", f"'C{n}' code", "'x' context") for n in (0, 2, 3)]
     kept = validate.findings(rows, str(tmp_path))
