@@ -1,8 +1,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.operators import chunk, clean, parse, retrieve, validate
+from docquarry.operators import chunk, clean, embed, parse, retrieve, validate
 from docquarry.plans import pipeline
 
 PAPER = """# Title
@@ -90,6 +91,23 @@ def test_lexical_terms_that_begin_alike(spark):
     assert got == {(1, 1, 1), (1, 3, 1), (2, 2, 1), (2, 3, 1), (2, 4, 1), (3, 0, 1), (3, 1, 1)}
 
 
+def test_unit_takes_the_norm_once(spark):
+    v = F.array(*[F.lit(float(x)) for x in (3, 4, 0)])
+    rows = spark.range(1).select(retrieve.unit(v).alias("u"), retrieve.unit(F.array(F.lit(0.0))).alias("z"), retrieve.unit(F.lit(None).cast("array<double>")).alias("n"))
+    assert tuple(rows.first()) == ([0.6, 0.8, 0.0], [0.0], None)
+    unit = spark.range(1).select(F.array(F.col("id").cast("double"), F.lit(4.0)).alias("v")).select(retrieve.unit(F.col("v")).alias("u"))
+    assert "/ SQRT(" not in str(unit._jdf.queryExecution().analyzed()).upper()  # else each component sums the squares of all
+
+
+def test_length_examples_have_one_order(spark):
+    rows = spark.createDataFrame([("d", f"d::{k:02}", "results", "a b", 9 if k % 2 else 2) for k in range(30)], "doc_id string, evidence_uid string, bucket string, text string, token_count int")
+    report = embed.lengths(rows, F.lit(2), declared=1, model_max=1)
+    r = report.first()
+    assert (r.documents, r.mismatched, r.over_declared, r.over_model) == (30, 15, 30, 30)
+    assert r.mismatched_examples == [f"d::{k:02}" for k in range(1, 21, 2)] and r.over_model_examples == r.over_declared_examples == [f"d::{k:02}" for k in range(10)]
+    assert str(report._jdf.queryExecution().optimizedPlan()).count("Window [") == 1
+
+
 def test_findings_rule_by_rule(spark, tmp_path):
     rows = [spark.range(n).selectExpr("string(id) doc_id", "'error' severity", f"'C{n}' code", "'x' context") for n in (0, 2, 3)]
     kept = validate.findings(rows, str(tmp_path))
