@@ -1,9 +1,10 @@
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import chunk, clean, embed, parse, retrieve, validate
+from docquarry.operators import chunk, clean, embed, graph, parse, profiles, retrieve, validate
 from docquarry.plans import pipeline
 
 PAPER = """# Title
@@ -176,3 +177,39 @@ def test_models_plug_in(spark, built):
     assert got.hits.count() >= 1 and got.packages().count() == 1
     with pytest.raises(ValueError):
         pipeline.answer(built, asked, search="else")
+
+
+def test_packages_take_each_step_once(spark, tmp_path):
+    """A model's answer is parsed once for its profile, edges that don't cite aren't made, and objects to show are found once."""
+    md = "# T\n\n## Abstract\nA.\n\n## 1. Results\nBy Eq. (1) with $$a = 1 \\tag{1}$$ it holds.\n"
+    docs = spark.createDataFrame([("d", "f.md", md)], "doc_id string, source_file string, md_text string")
+    made = pipeline.build(docs, keep=str(tmp_path / "built"), client=lambda prompts: prompts.map(lambda p: '```\n{"bibliography": {"title": "T", "year": null, "authors": "x"}, "abstract_profile": null}\n```'))
+    rows = profiles.structured(made.parsed, lambda prompts: prompts.map(lambda p: "{}"))
+    assert str(profiles.nodes(rows)._jdf.queryExecution().optimizedPlan()).lower().count("schema_of_variant") <= 2  # else once for each field
+    got = pipeline.answer(made, spark.createDataFrame([(1, "Why does it hold?")], "query_id long, query string"), keep=str(tmp_path / "answered"))
+    packages = got.packages()
+    said = json.loads(packages.first().package)
+    assert said["paper_citation"] == "T" and said["render_payload"]["equations"][0]["number"] == "Eq.1" and said["evidence_trace"]["linked_render_evidence_uids"] == ["d::eq_1"]
+    assert said["evidence_trace"]["primary_retrieved_evidence_uids"] == ["d::sec_1__chunk_1"] and said["retrieval_debug"]["expanded_counts"]["equations"] == 1
+    assert "edges" not in os.listdir(tmp_path / "built")
+    assert str(packages._jdf.queryExecution().optimizedPlan()).count("AS payload#") == 1  # else what is shown is found for each list of it
+
+
+def test_uids_lead_to_nodes(spark):
+    """A node's own uid comes before the parts of one, whatever the node's type; parts are cut at the first '::'."""
+    nodes = spark.createDataFrame(
+        [("a", "x", "figure", "a::x"), ("b", "y", "figure", "own"), ("c", "z", "figure", "d::e"), ("d", "e", "table", "other"), ("f", "", "table", None), ("g::h", "i", "table", "q"), ("k", "l::m", "table", "r")],
+        "doc_id string, node_id string, node_type string, evidence_uid string",
+    )
+    asked = ["a::x", "own", "b::y", "c::z", "d::e", "other", "f", "f::", "g::h::i", "k::l::m", "none", None]
+    uids = spark.createDataFrame(list(enumerate(asked)), "n int, evidence_uid string")
+    got = {r.evidence_uid: (r.doc_id, r.node_id, r.node_type, r.kind) for r in graph.resolve_uids(uids, nodes, F.upper("node_type").alias("kind")).collect()}
+    fig, tab = ("figure", "FIGURE"), ("table", "TABLE")
+    assert got == {"a::x": ("a", "x", *fig), "own": ("b", "y", *fig), "b::y": ("b", "y", *fig), "c::z": ("c", "z", *fig), "d::e": ("c", "z", *fig), "other": ("d", "e", *tab), "f": ("f", "", *tab), "f::": ("f", "", *tab), "k::l::m": ("k", "l::m", *tab)}
+
+
+def test_token_count_of_any_text(spark):
+    texts = ["a b_1, c.", "μm \u00a0wide é", "", None, "x\ty\r\nz\x1cw"]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).orderBy("k").select(chunk.token_count(F.col("t")).alias("n")).collect()]
+    assert got[2] == got[3] == 0 and got[:2] == [chunk.count_tokens(t) for t in texts[:2]]
+    assert got[4] == spark.range(1).select(F.size(F.regexp_extract_all(F.lit(texts[4]), F.lit(rf"(?U){chunk.TOKEN}"), F.lit(0)))).first()[0] + chunk.SPECIAL

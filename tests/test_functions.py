@@ -49,3 +49,16 @@ def test_guarded_rules(spark):
     """Texts without the string that a rule needs are passed over; null stays null."""
     assert one(spark, T.normalize_units, "no money") == "no money" and one(spark, T.normalize_phases, None) is None
     assert one(spark, T.strip, "　a\xa0b\n") == "a\xa0b" and one(spark, T.normalize_newlines, "a\r\nb\rc") == "a\nb\nc"
+
+
+def test_literals_of_rules(spark):
+    """Every match of a rule has its literals, and a text that lacks them stays as it is."""
+    assert T.literals(r"(?U)\$\{(\d+)\}\\mathrm\{\s*\;?\{nm\}\}\$") == ["${", r"}\mathrm{", "{nm}}$"] and T.literals(r"(?U)γ\s*[’'′]") == ["γ"]
+    assert T.literals("(?i)abc") == T.literals("abc|de") == T.literals(r"a{2}b?[cd]+") == [] and T.literals(r"x(a[)]b(c)\))yz") == ["yz"]
+    for text in (r"${5\mu }\mathrm{m}$ and ${5}\mathrm{\; {nm}}$", r"${900}^{ \circ }\mathrm{C}/{24}\mathrm{ h }$ $\gamma / \gamma$ γ ’", "$ plain"):
+        for rules in (T.UNIT_RULES, T.TEMPERATURE_RULES, T.PHASE_RULES, T.NOTATION_RULES):
+            plain = F.lit(text)
+            for pattern, new in rules:
+                plain = F.regexp_replace(plain, F.lit(pattern), F.lit(new))
+            got = spark.range(1).select(T.rewrite(F.lit(text), rules).alias("a"), plain.alias("b")).first()
+            assert got.a == got.b
