@@ -2,8 +2,11 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.sources import files, index
+from docquarry.operators import validate
+from docquarry.plans import pipeline
+from docquarry.sources import files, index, shared
 from docquarry.streaming.ingest import ingest
 
 
@@ -68,3 +71,17 @@ def test_index_round_trip(spark, tmp_path):
     said = {r.bucket: (r.documents, r.created, r.dimensions) for r in manifest.collect()}
     assert said["intro"] == (1, True, 2) and said["metadata"] == (0, False, None) and len(said) == len(index.EVERY)
     assert index.listed(spark, str(tmp_path / "i")).where("path like '%parquet'").count() >= 3
+
+
+def test_steps_leave_nothing_in_the_driver(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    shuffles = lambda: sum("shuffle" in str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|"))
+    collected = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before, times, mode = shuffles(), collected(), spark.conf.get(shared.CLEANUP, None)
+    docs = spark.range(4).select(F.col("id").cast("string").alias("doc_id"), F.lit("f").alias("source_file"), F.lit("# A\n\n## 1. Introduction\nText.").alias("md_text"))
+    parsed = pipeline.build(docs, keep=str(tmp_path)).parsed
+    assert collected() > times and shuffles() <= before and spark.conf.get(shared.CLEANUP, None) == mode and parsed.count() == 4
+    rules = [docs.select("doc_id", F.lit("error").alias("severity"), F.lit("X").alias("code"), "md_text").groupBy("doc_id", "severity", "code").agg(F.max("md_text").alias("context"))]
+    before, times = shuffles(), collected()
+    found = validate.findings(rules, str(tmp_path))
+    assert collected() > times and shuffles() <= before and found.count() == 4
