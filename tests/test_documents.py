@@ -1,9 +1,11 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.operators import _near as near
 from docquarry.operators import chunk, clean, embed, graph, parse, profiles, retrieve, validate
 from docquarry.plans import pipeline
 
@@ -213,3 +215,26 @@ def test_token_count_of_any_text(spark):
     got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).orderBy("k").select(chunk.token_count(F.col("t")).alias("n")).collect()]
     assert got[2] == got[3] == 0 and got[:2] == [chunk.count_tokens(t) for t in texts[:2]]
     assert got[4] == spark.range(1).select(F.size(F.regexp_extract_all(F.lit(texts[4]), F.lit(rf"(?U){chunk.TOKEN}"), F.lit(0)))).first()[0] + chunk.SPECIAL
+
+
+def test_nearest_passes_over_far_vectors(monkeypatch):
+    rng = np.random.default_rng(7)
+    seen, plain = [], near._squared
+    monkeypatch.setattr(near, "_squared", lambda a, b: (seen.append(np.prod(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))), plain(a, b))[1])
+    q, x = (np.c_[np.cos(a), np.sin(a)] for a in (rng.random(4000), rng.random(4000).round(3)))
+    names = rng.permutation(4000) // 2
+    i, j, d = near.best(q, x, names, 3)
+    assert sum(seen) < len(q) * len(x) / 2
+    for n in (0, 999, 3999):
+        every: dict[int, float] = {}
+        for name, away in zip(names, plain(q[n], x), strict=True):
+            every[name] = min(every.get(name, np.inf), away)
+        assert sorted(zip(d[i == n], names[j[i == n]], strict=True)) == sorted((away, name) for name, away in every.items())[:3]
+
+
+def test_nearest_of_odd_vectors(spark):
+    index = spark.createDataFrame([("b", "k1", [0.0, 1.0]), ("b", "k2", [0.0, 1.0]), ("b", "k2", [3.0, 1.0]), ("b", "k3", [float("nan"), 1.0]), ("b", "k4", [1.0]), ("c", "k5", [0.0, 0.0])], "bucket string, node_id string, v array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0], "b"), (2, [3.0, 1.0], "b"), (3, [0.0, 0.0], "c"), (4, None, "c"), (5, [1.0], "none")], "query_id int, q array<double>, bucket string")
+    same = lambda a, b: retrieve.squared_distance(a, b)  # noqa: E731  goes pair by pair
+    rows = lambda **how: sorted((r.query_id, r.rank, r.node_id, str(r.distance)) for r in retrieve.nearest(asked, index, 4, parts=2, **how).collect())
+    assert rows() == rows(measure=same) and len(rows()) == 10
